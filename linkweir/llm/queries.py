@@ -6,16 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import quality_classifier, quality_rules, token_counts, token_file, toxicity
 from .common import read_table, small_batches
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return token_file.encode_and_read(read_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return quality_classifier.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_quality_rules": op4_quality_rules}
+    return {f.__name__: f for f in (op2_toxicity, op3_token_file, op4_quality_rules, op7_token_counts, op9_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
