@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_classifier, quality_rules, token_counts, token_file, toxicity
+from . import lm_scoring, quality_classifier, quality_rules, token_counts, token_file, toxicity
 from .common import read_table, small_batches
 
 
@@ -40,8 +40,13 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return lm_scoring.score_texts(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_token_file, op4_quality_rules, op7_token_counts, op9_quality_classifier)}
+    return {f.__name__: f for f in (op2_toxicity, op3_token_file, op4_quality_rules, op7_token_counts, op9_quality_classifier, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
