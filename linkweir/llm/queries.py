@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lm_scoring, quality_classifier, quality_rules, token_counts, token_file, toxicity
+from . import jaccard_join, lm_scoring, quality_classifier, quality_rules, token_counts, token_file, toxicity
 from .common import read_table, small_batches
 
 
@@ -30,6 +30,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return jaccard_join.near_duplicates(read_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
@@ -46,7 +51,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_token_file, op4_quality_rules, op7_token_counts, op9_quality_classifier, op10_lm_scoring)}
+    return {f.__name__: f for f in (op2_toxicity, op3_token_file, op4_quality_rules, op6_jaccard_join, op7_token_counts, op9_quality_classifier, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
