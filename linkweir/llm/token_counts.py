@@ -12,6 +12,7 @@ Null and empty texts have 0 tokens; a null id stays null; repeated rows are coun
 
 from __future__ import annotations
 
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import chain, pairwise
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Units that a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 800_000
 
 
 class MergeCounter:
@@ -99,13 +100,19 @@ class MergeCounter:
         return [sum(map(known.__getitem__, units)) + more for units, more in zip(parts, extra)]
 
 
+@lru_cache(maxsize=2)
+def counter_of(model_path: str) -> MergeCounter:
+    """The worker process's own counter: what it remembers serves all its tasks."""
+    return MergeCounter(model_path)
+
+
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, columns: list[str] | None = None) -> DataFrame:
     """``columns`` (default: doc_id) with n_bytes, n_tokens and over_limit (n_tokens over ``limit``)."""
     columns = columns or ["doc_id"]
     given = docs.select(*columns, F.coalesce(F.col("text"), F.lit("")).alias("_text"))
 
     def run(batches):
-        counter = MergeCounter(model_path)
+        counter = counter_of(model_path)
         for b in batches:
             texts = b.column("_text").to_pylist()
             out = [pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(counter.count_all(texts), pa.int64())]

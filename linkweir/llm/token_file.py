@@ -24,6 +24,7 @@ import re
 import struct
 import uuid
 import zlib
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -37,7 +38,7 @@ from .common import fresh_path, materialize
 MAGIC = b"LWTOK1\0\0"
 SAMPLE = 256
 #: Chunks that a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 800_000
 _UNSAFE = re.compile(r"\s \s")
 
 
@@ -89,6 +90,12 @@ class Encoder:
         return [head[h] + b"".join(map(known, c)) for h, c in zip(heads, chunks)]
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """The worker process's own encoder: what it remembers serves all its tasks."""
+    return Encoder(path)
+
+
 def elias_fano(values: np.ndarray, upper: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """Low bits, packed low parts, unary high parts and select samples of ascending ``values`` not over ``upper``."""
     n = len(values)
@@ -197,7 +204,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, file
     dealt = given.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
 
     def run(batches):
-        enc = Encoder(tokenizer_path)
+        enc = encoder(tokenizer_path)
         end = np.array([end_id], enc.dtype).tobytes()
         doc_ids, sizes, ids = [], [], []
         for b in batches:
