@@ -125,9 +125,12 @@ def base_failed() -> Column:
 def score_rules(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``keep``, the base measures, ``base_failed``, ``kept`` and the ratios of every document."""
     scored = ratios(base_measures(docs, text, keep))
+    # Always true, but not deterministic: without it the optimizer would move a later filter on ``kept`` below the
+    # projections and evaluate the whole tree of expressions once for each mention.
+    whole = F.monotonically_increasing_id() >= 0
     return scored.select(
         *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept"),
+        base_failed().alias("base_failed"), (~base_failed() & verdict(rules) & whole).alias("kept"),
         *[c for c in scored.columns if c.startswith("permille_") or c == "n_stop_words"],
     )
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, lm_scoring, packing, quality_classifier, quality_rules, token_counts, token_file, toxicity
+from . import decontamination, jaccard_join, lm_scoring, packing, quality_classifier, quality_rules, token_counts, token_file, toxicity, warc
 from .common import read_table, small_batches
 
 
@@ -35,6 +35,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return warc.archive_and_read(read_table(spark, sf_dir, "pages"), min_bytes=0)
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return jaccard_join.near_duplicates(read_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
@@ -60,7 +65,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_token_file, op4_quality_rules, op6_jaccard_join, op7_token_counts, op8_packing, op9_quality_classifier, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_token_file, op4_quality_rules, op5_warc, op6_jaccard_join, op7_token_counts, op8_packing, op9_quality_classifier, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -154,3 +154,17 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int
     """doc_id, held_out, score and predicted of every document; labels only from ids that are not held out."""
     scored = score(docs, fit(docs, labels, label, mod, remainder, per_class))
     return scored.select("doc_id", is_held_out("doc_id", mod, remainder).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below ``threshold``; no shuffle."""
+    table, bias = model
+    wanted = table != 0
+    limit = float(np.log(threshold / (1 - threshold)))
+
+    def run(batches):
+        for b in batches:
+            z = [float(table[present(t, wanted)].sum()) + bias for t in b.column("text").to_pylist()]
+            yield b.filter(pa.array([x < limit for x in z], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
