@@ -1,14 +1,16 @@
 """N-gram Jaccard join in the metric space of the Jaccard distance: pivots, regions, triangle-inequality windows.
 
-A document's set holds the 64-bit hashes of its word shingles. Equal sets are one class from the start. Among the
-classes:
+A document's set holds the 64-bit hashes of its word shingles. Equal sets are one class from the start, named by a 64-bit
+hash of the set. Among the classes:
 
 * **Pivots and regions.** Most documents are at distance 1 from nearly all others, so pivots drawn at random would not part
   them. A pivot is instead chosen for each shingle that stands in the prefixes of several classes (a prefix holds the first
   n - ceil(t*n) + 1 shingles in one fixed order of all shingles, so two sets within the threshold share a shingle of their
-  prefixes): the class with the least key. A class belongs to the regions of all its pivots; two classes within the
-  threshold meet in a region. The order puts shingles that are frequent in a bounded sample last, so that passages which
-  many documents share do not make regions; any order gives the same result.
+  prefixes): the class with the least name. A class belongs to the regions of all its pivots; two classes within the
+  threshold meet in a region. Any order gives the same result; this one makes regions few: first those of a hash-chosen
+  share of all shingles that stand in one class only (counted exactly; they meet nothing, so a class whose prefix they fill
+  is done), then the shingles outside that share, of which those frequent in a bounded sample of texts come last, then the
+  rest.
 * **Windows.** With the exact distance d of every member to its pivot: members within the threshold eps are linked to it, and
   pairs of them need no test. For the others, the triangle inequality leaves pairs whose distances differ by eps at most.
   Members are cut into rings of width eps around the pivot; a ring also takes the ring below it. Rings without an unlinked
@@ -19,7 +21,7 @@ classes:
 
 The result is exact: components of the graph of all linked pairs. A null id has a set but no links (component null); repeated
 ids are one node with the links of all their rows; null and blank texts have an empty set, linked with nothing. Ties between
-pivots are broken by key.
+pivots are broken by name.
 """
 
 from __future__ import annotations
@@ -28,7 +30,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,65 +91,72 @@ def _frequent(docs: DataFrame, k: int) -> np.ndarray:
     return np.sort(np.array([r["h"] for r in seen.orderBy(F.desc("count"), "h").limit(MAX_FREQUENT).collect()], np.int64))
 
 
-def _sketches(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
+def _name(items: np.ndarray) -> int:
+    """Signed 64-bit name of a set."""
+    return int(np.array(xxhash.xxh3_64_intdigest(items.tobytes()), np.uint64).view(np.int64))
+
+
+def _chosen(items: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which shingles are of the share that is counted: half as many again as a prefix holds."""
+    return (items & 0xFFFF) < int(65536 * min(0.5, 1.5 * (1 - num / den)))
+
+
+def _sketches(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, n, key and the counted shingles of every row."""
+
     def run(batches):
         memory = _WordHashes()
-        uid = TaskContext.get().partitionId() << 33
         for b in batches:
-            uids, ns, prints, prefixes = [], [], [], []
-            for t in b.column("text").to_pylist():
-                s = shingle_set(t, k, memory)
-                n = len(s)
-                uid += 1
-                uids.append(uid)
-                ns.append(n)
-                prints.append(xxhash.xxh3_128_digest(s.tobytes()))
-                if not n:
-                    prefixes.append(s)
-                    continue
-                size = n - _needed(n, num, den) + 1
-                if len(frequent):
-                    common = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
-                    s = np.concatenate([s[~common][:size], s[common][:size]])
-                prefixes.append(s[:size])
-            ends = np.cumsum([0, *map(len, prefixes)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(uids, pa.int64()), pa.array(ns, pa.int64()), pa.array(prints, pa.binary()), lists], ["doc_id", "uid", "n", "print", "prefix"])
+            sets = [shingle_set(t, k, memory) for t in b.column("text").to_pylist()]
+            counted = [x[_chosen(x, num, den)] for x in sets]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, counted)]), pa.int32()), pa.array(np.concatenate(counted) if counted else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_name(x) for x in sets], pa.int64()), lists], ["doc_id", "n", "key", "counted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return materialize(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, uid long, n long, print binary, prefix array<long>"), "sketches")
+    return materialize(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, key long, counted array<long>"), "sketches")
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """Bitmap of fixed size that has the hash of every id: at most BITMAP_BITS / 64 rows come to the driver."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS))
-    rows = ids.select((place / 64).cast("long").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(doc_id), {BITMAP_BITS}L), 64L) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+def _bitmap(ids: DataFrame, column: str) -> np.ndarray:
+    """Bitmap of fixed size that has the hash of every value: at most BITMAP_BITS / 64 rows come to the driver."""
+    place = F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS))
+    rows = ids.select((place / 64).cast("long").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64({column}), {BITMAP_BITS}L), 64L) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     words = np.zeros(BITMAP_BITS // 64, np.int64)
     words[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64)
     return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """uid, n and shingle set of the wanted classes (uid, doc_id, print), computed anew from their texts."""
-    bits = _bitmap(wanted)
+def _sets(docs: DataFrame, wanted: DataFrame, k: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
+    """key, items and prefix (beyond the counted shingles) of the wanted classes (key, doc_id), computed anew from texts.
+
+    Bitmaps pick the rows, so some classes come unasked and a class may come more than once."""
+    bits = _bitmap(wanted, "doc_id")
 
     def run(batches):
-        memory = _WordHashes()
+        memory, seen = _WordHashes(), set()
         for b in batches:
-            for start in range(0, b.num_rows, 200):
-                part = b.slice(start, 200)
-                take = np.flatnonzero(bits[part.column("place").to_numpy()])
-                if not len(take):
-                    continue
-                part = part.take(pa.array(take))
-                sets = [shingle_set(t, k, memory) for t in part.column("text").to_pylist()]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), lists], ["doc_id", "print", "items"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    given = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)).cast("long").alias("place"), "text")
-    made = given.mapInArrow(run, f"doc_id {kind}, print binary, items array<long>")
-    return materialize(wanted.join(made, ["doc_id", "print"]).groupBy("uid").agg(F.first("items").alias("items")), "sets")
+            take = np.flatnonzero(bits[b.column("place").to_numpy()])
+            texts = b.column("text").take(pa.array(take)).to_pylist()
+            for start in range(0, len(texts), 200):
+                keys, sets, prefixes = [], [], []
+                for t in texts[start : start + 200]:
+                    x = shingle_set(t, k, memory)
+                    if not len(x) or (key := _name(x)) in seen:
+                        continue
+                    seen.add(key)
+                    size = len(x) - _needed(len(x), num, den) + 1
+                    counted = _chosen(x, num, den)
+                    rest = x[~counted]
+                    if len(frequent):
+                        common = frequent[np.minimum(np.searchsorted(frequent, rest), len(frequent) - 1)] == rest
+                        rest = np.concatenate([rest[~common][:size], rest[common][:size]])
+                    keys.append(key)
+                    sets.append(x)
+                    prefixes.append(rest[:size] if len(rest) >= size else np.concatenate([rest, x[counted]]))
+                arrays = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, v)]), pa.int32()), pa.array(np.concatenate(v) if v else np.zeros(0, np.int64))) for v in (sets, prefixes)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *arrays], ["key", "items", "prefix"])
+
+    given = docs.where(F.col("doc_id").isNotNull()).select(F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)).cast("long").alias("place"), "text")
+    return materialize(given.mapInArrow(run, "key long, items array<long>, prefix array<long>"), "sets")
 
 
 def overlaps(sets: list[np.ndarray]):
@@ -223,35 +231,44 @@ def join_region(sets: list[np.ndarray], done: np.ndarray, num: int, den: int) ->
 
 
 def _join_rings(ring: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
-    ring = ring.drop_duplicates("uid")
+    ring = ring.drop_duplicates("key")
     sets = [np.asarray(s, np.int64) for s in ring["items"]]
-    uids = ring["uid"].to_numpy()
+    keys = ring["key"].to_numpy()
     pairs = join_region(sets, ring["absorbed"].to_numpy(bool), num, den)
-    return pd.DataFrame({"a": uids[[i for i, _ in pairs]] if pairs else np.zeros(0, np.int64), "b": uids[[j for _, j in pairs]] if pairs else np.zeros(0, np.int64)})
+    return pd.DataFrame({"a": keys[[i for i, _ in pairs]] if pairs else np.zeros(0, np.int64), "b": keys[[j for _, j in pairs]] if pairs else np.zeros(0, np.int64)})
 
 
-def _links(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _links(docs: DataFrame, sketches: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Edges (a, b) between classes that give all components of the linked classes."""
-    tokens = classes.select("uid", F.explode("prefix").alias("h"))
-    pivots = materialize(tokens.groupBy("h").agg(F.min("uid").alias("pivot"), F.count("*").alias("n")).where(F.col("n") > 1).select("h", "pivot"), "pivots")
-    members = materialize(tokens.join(pivots, "h").where(F.col("uid") != F.col("pivot")).select("uid", "pivot").distinct(), "members")
-    named = members.select("uid").unionByName(members.select(F.col("pivot").alias("uid"))).distinct()
-    wanted = materialize(classes.join(named, "uid").select("uid", "doc_id", "print"), "wanted")
-    sets = _sets(docs, wanted, k)
-    of_pivot = sets.select(F.col("uid").alias("pivot"), F.col("items").alias("center"))
+    alone = sketches.select("key", F.explode("counted").alias("h")).groupBy("h").agg(F.min("key").alias("key"), F.max("key").alias("other")).where("key = other")
+    alone = alone.groupBy("key").agg(F.count("*").alias("alone"))
+    size = F.col("n") - F.ceil(F.lit(num) * F.col("n") / den) + 1
+    wanted = classes.join(alone, "key", "left").withColumn("more", (size - F.coalesce("alone", F.lit(0))).cast("int")).where("more > 0")
+    wanted = materialize(wanted.select("key", "doc_id", "more"), "open-classes")
+    sets = _sets(docs, wanted, k, num, den, _frequent(docs, k))
+    long = F.when(F.size("prefix") > F.col("size"), F.col("prefix")).otherwise(F.slice("prefix", F.lit(1), F.col("more")))
+    size = F.size("items") - F.ceil(F.lit(num) * F.size("items") / den) + 1
+    prefixes = sets.select("key", "prefix", size.alias("size")).join(wanted.select("key", "more"), "key").select("key", F.explode(long).alias("h")).distinct()
+    tokens = materialize(prefixes, "prefixes")
+    pivots = materialize(tokens.groupBy("h").agg(F.min("key").alias("pivot"), F.count("*").alias("n")).where(F.col("n") > 1).select("h", "pivot"), "pivots")
+    members = materialize(tokens.join(pivots, "h").where(F.col("key") != F.col("pivot")).select("key", "pivot").distinct(), "members")
+    named = members.select("key").unionByName(members.select(F.col("pivot").alias("key"))).distinct()
+    items = materialize(sets.select("key", "items").join(materialize(named, "named"), "key", "left_semi").groupBy("key").agg(F.first("items").alias("items")), "items")
+    center = items.select(F.col("key").alias("pivot"), F.col("items").alias("center"))
     inter = F.size(F.array_intersect("items", "center"))
-    near = members.join(sets, "uid").join(of_pivot, "pivot").select("pivot", "uid", inter.alias("i"), (F.size("items") + F.size("center") - inter).alias("u"))
-    near = materialize(near.select("pivot", "uid", (1 - F.col("i") / F.col("u")).alias("d"), (den * F.col("i") >= num * F.col("u")).alias("absorbed")), "distances")
-    star = near.where("absorbed").select(F.col("uid").alias("a"), F.col("pivot").alias("b"))
+    near = members.join(items, "key").join(center, "pivot").select("pivot", "key", inter.alias("i"), (F.size("items") + F.size("center")).alias("both"))
+    near = near.select("pivot", "key", "i", (F.col("both") - F.col("i")).alias("u"))
+    near = materialize(near.select("pivot", "key", (1 - F.col("i") / F.col("u")).alias("d"), (den * F.col("i") >= num * F.col("u")).alias("absorbed")), "distances")
+    star = near.where("absorbed").select(F.col("key").alias("a"), F.col("pivot").alias("b"))
     eps = 1 - num / den + 1e-6
     region = materialize(near.groupBy("pivot").agg(F.min(F.when(~F.col("absorbed"), F.col("d"))).alias("least"), F.count("*").alias("n")).where(F.col("least").isNotNull() & (F.col("n") > 1)).select("pivot", "least"), "regions")
     left = near.join(region, "pivot").where(F.col("d") >= F.col("least") - eps)
     ring = F.floor(F.col("d") / eps)
-    left = materialize(left.select("pivot", "uid", "absorbed", F.explode(F.array(ring, ring + 1)).alias("ring")), "rings")
+    left = materialize(left.select("pivot", "key", "absorbed", F.explode(F.array(ring, ring + 1)).alias("ring")), "rings")
     kept = left.groupBy("pivot", "ring").agg(F.count("*").alias("n"), F.count(F.when(~F.col("absorbed"), 1)).alias("open")).where((F.col("n") > 1) & (F.col("open") > 0))
     kept = materialize(kept.select("pivot", "ring", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "kept-rings")
-    cells = left.join(kept, ["pivot", "ring"]).withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("pivot", "ring", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "uid", "absorbed").join(sets, "uid")
+    cells = left.join(kept, ["pivot", "ring"]).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("pivot", "ring", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "key", "absorbed").join(items, "key")
     found = cells.groupBy("pivot", "ring", "lo", "hi").applyInPandas(lambda pdf: _join_rings(pdf, num, den), "a long, b long")
     return materialize(star.unionByName(found).distinct(), "links")
 
@@ -260,18 +277,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     """doc_id, n_shingles and component_id (least id reachable by links) of every row of ``docs``.
 
     Two documents are linked if ``den * |intersection| >= num * |union|`` of their sets of ``k``-word shingles."""
-    rows = _sketches(docs, k, num, den, _frequent(docs, k))
+    rows = _sketches(docs, k, num, den)
     full = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = full.groupBy("n", "print").agg(F.min("uid").alias("uid"), F.min_by("doc_id", "uid").alias("doc_id"), F.min("doc_id").alias("least_id"), F.first("prefix").alias("prefix"))
-    classes = materialize(classes, "classes")
-    links = _links(docs, classes, k, num, den)
-    repeated = full.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")  # ids of several rows
-    several = full.select("doc_id", "n", "print").join(repeated, "doc_id").join(classes.select("n", "print", F.col("uid").alias("b")), ["n", "print"]).select("doc_id", "b").distinct()
-    several = several.join(several.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id").select("a", "b")
+    classes = materialize(full.groupBy("key").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id")), "classes")
+    links = _links(docs, full, classes, k, num, den)
+    repeated = full.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a != z").select("doc_id", "a")  # ids of several texts
+    several = full.select("doc_id", F.col("key").alias("b")).join(repeated, "doc_id").select("a", "b").distinct()
     roots = materialize(components(links.unionByName(several)), "roots")
-    labelled = classes.join(roots, classes["uid"] == roots["node"], "left").select("n", "print", F.coalesce("root", "uid").alias("root"), "least_id")
-    least = materialize(labelled.groupBy("root").agg(F.min("least_id").alias("component_id")), "least")
-    labels = materialize(labelled.join(least, "root").select("n", "print", "component_id"), "labels")
-    out = rows.select("doc_id", "n", "print").join(labels, ["n", "print"], "left")
+    labelled = classes.join(roots, classes["key"] == roots["node"], "left").select("key", F.coalesce("root", "key").alias("root"), "doc_id")
+    least = materialize(labelled.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    labels = materialize(labelled.join(least, "root").select("key", "component_id"), "labels")
+    out = rows.select("doc_id", "n", "key").join(labels, "key", "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
