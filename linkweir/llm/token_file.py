@@ -42,6 +42,16 @@ REMEMBERED = 800_000
 _UNSAFE = re.compile(r"\s \s")
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letter for each byte: printable Latin-1 stands for itself, the rest for U+0100 and up in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 class Encoder:
     """Ids of the tokenizers library for byte-level BPE, with a memory of chunks.
 
@@ -68,8 +78,21 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word_ids(self, chunk: str) -> bytes | None:
+        """Ids of a space and a word of Latin letters, with or without a full stop or comma, straight from the library's
+        BPE model: the split pattern takes the space and the letters as one piece, the mark as another."""
+        end = chunk[-1:] if chunk[-1:] in (".", ",") else ""
+        word = chunk[:-1] if end else chunk
+        if not word.isalpha() or not (word.isascii() or max(word) < "\u0250"):
+            return None
+        bpe = self.tok.model.tokenize("\u0120" + (word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)))
+        return np.array([t.id for t in (bpe + self.tok.model.tokenize(end) if end else bpe)], self.dtype).tobytes()
+
     def _learn(self, memory: dict[str, bytes], chunks: set[str], before: str) -> None:
         fresh = list(chunks.difference(memory))
+        if before:
+            memory.update((c, ids) for c in fresh if (ids := self._word_ids(c)) is not None)
+            fresh = [c for c in fresh if c not in memory]
         for i in range(0, len(fresh), 5000):
             memory.update(zip(fresh[i : i + 5000], self._whole([before + c for c in fresh[i : i + 5000]])))
 
