@@ -100,7 +100,7 @@ def year_of_html_id(doc_id: Column) -> Column:
 
 def split_multi(x: Column) -> Column:
     """Parts between semicolons, trimmed."""
-    return F.transform(F.split(x, ";"), F.trim)
+    return F.transform(F.split(x, ";"), lambda x: F.trim(x))
 
 
 def split_quoted(x: Column) -> Column:
@@ -110,7 +110,7 @@ def split_quoted(x: Column) -> Column:
 
 
 def split_plain(x: Column) -> Column:
-    return F.transform(F.split(x, ","), F.trim)
+    return F.transform(F.split(x, ","), lambda x: F.trim(x))
 
 
 def token_cost(tokens_in: Column, tokens_out: Column, price_in: float = 1.0, price_out: float = 5.0) -> Column:

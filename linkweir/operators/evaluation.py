@@ -100,7 +100,7 @@ def characteristics(gt: DataFrame) -> DataFrame:
     one = lambda name, arr: gt.select("paper_id", "url", F.lit(name).alias("dimension"), F.explode(arr).alias("value"))
     out = gt.where(F.col("location").isNotNull()).select("paper_id", "url", F.lit("location").alias("dimension"), F.col("location").alias("value"))
     for name in ("spatial", "lexical", "representational"):
-        out = out.unionByName(one(name, F.transform(F.split(name, ","), F.trim)))
+        out = out.unionByName(one(name, F.transform(F.split(name, ","), lambda x: F.trim(x))))
     return out
 
 

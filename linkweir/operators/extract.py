@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from linkweir.functions import patterns as P
 from linkweir.functions import scalars as S
@@ -32,7 +33,7 @@ def latex_commands(source: Column) -> Column:
     return _tidy(F.concat(S.find_all(source, P.LATEX_URL, 1), S.find_all(source, P.LATEX_URLADDR, 1)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def detex(source: pd.Series) -> pd.Series:
     """A small reading of LaTeX: comments go, escapes and groups open up, commands leave their arguments."""
     out = source.str.replace(r"(?<!\\)%.*", "", regex=True).str.replace(r"\\([%&#_$])", r"\1", regex=True)
@@ -69,7 +70,7 @@ class _Anchors(HTMLParser):
 
 
 def html_anchors(html: Column, tag: str | None = "div", name: str | None = "ltx_page_content") -> Column:
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(ArrayType(StringType()))
     def run(pages: pd.Series) -> pd.Series:
         def one(page):
             p = _Anchors(tag, name)
@@ -84,7 +85,7 @@ def html_anchors(html: Column, tag: str | None = "div", name: str | None = "ltx_
     return run(html)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _targets(docs: pd.Series) -> pd.Series:
     def one(doc):
         try:
@@ -130,7 +131,7 @@ def _answer(text: Column) -> Column:
 
 def response_lines(text: Column) -> Column:
     """Trimmed lines after the last assistant mark, blank ones dropped, without a test for URLs."""
-    return F.filter(F.transform(F.split(_answer(text), "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(_answer(text), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def response_first_matches(text: Column) -> Column:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import DoubleType
 
 
 def average_rank(partition: list[str], order: str) -> Column:
@@ -31,13 +32,13 @@ def friedman(scores: DataFrame, k: int) -> DataFrame:
     return one.select(n, F.lit(k).alias("k"), F.round(F.try_divide(raw, 1 - F.col("ties") / (k * (k * k - 1) * n)), 6).alias("chi2"), F.lit(k - 1).alias("df"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_sf5(x: pd.Series) -> pd.Series:
     """Upper tail of the chi-squared distribution with five degrees of freedom."""
     return x.map(lambda v: None if v is None or math.isnan(v) else math.erfc(math.sqrt(v / 2)) + math.sqrt(2 * v / math.pi) * math.exp(-v / 2) * (1 + v / 3))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if v is None or math.isnan(v) else math.erfc(abs(v) / math.sqrt(2)))
 

@@ -1,17 +1,560 @@
-"""Registry of queries and their SQL."""
+"""Registry: a query for every operator family, and where SQL can say it the same in DuckDB's SQL."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linkweir.functions import patterns as P
+from linkweir.functions import scalars as S
+from linkweir.operators import evaluation as E
+from linkweir.operators import extract as X
+from linkweir.operators import longitudinal as L
+from linkweir.operators import resample as R
+from linkweir.operators import stats as T
+from linkweir.plans.fixtures import duck, load
+from linkweir.sources import files
+from linkweir.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder that executors share: below spark.checkpoint.dir, or the warehouse where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def _gt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.first_of(load(spark, sf_dir, "gt_raw"), ["paper_id", "url"], "row_idx")
+
+
+GT = f"(SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, url ORDER BY row_idx) AS n FROM {duck('gt_raw')}) WHERE n = 1)"
+MASKS = f"(SELECT paper_id, url, bit_or(bit) AS mask, max(g) AS is_gt FROM (SELECT paper_id, url, (1 << (format - 1))::INT AS bit, 0 AS g FROM {duck('ext')} UNION ALL SELECT paper_id, url, 0, 1 FROM {GT}) GROUP BY paper_id, url)"
+COMBOS = "(SELECT i::INT AS combo, bit_count(i::INT)::INT AS n_formats, array_to_string(list_transform(list_filter([1,2,3,4,5,6], lambda k: (i >> (k - 1)) & 1 = 1), lambda k: (['TEXTWAL','LaTeX','HTML','XML','Qwen2-VL','Markdown'])[k]), ' + ') AS label, row_number() OVER (ORDER BY bit_count(i::INT), list_filter([1,2,3,4,5,6], lambda k: (i >> (k - 1)) & 1 = 1))::INT AS ord FROM range(1, 64) t(i))"
+
+
+def _vectors(masks: str) -> str:
+    return f"(SELECT paper_id, combo, sum(is_gt)::BIGINT AS gt, sum(is_gt * (mask & combo <> 0)::INT)::BIGINT AS tp, sum((mask & combo <> 0)::INT)::BIGINT AS ext FROM {masks}, {COMBOS} GROUP BY paper_id, combo HAVING sum(is_gt) > 0)"
+
+
+VECTORS = _vectors(MASKS)
+DIV = "CASE WHEN {1} = 0 THEN 0.0 ELSE {0}::DOUBLE / {1} END"
+PREC, REC = DIV.format("tp", "ext"), DIV.format("tp", "gt")
+F1 = f"CASE WHEN ({PREC}) + ({REC}) = 0 THEN 0.0 ELSE 2 * ({PREC}) * ({REC}) / (({PREC}) + ({REC})) END"
+FORMATS = range(1, 7)
+
+
+# Sources, projections, scalars
+
+
+@query("SELECT l_orderkey AS paper_id, l_linenumber AS format FROM lineitem WHERE l_quantity > 45 AND l_linenumber <= 6")
+def scan_parquet_projection(spark, d):
+    return spark.read.parquet(f"{d}/lineitem.parquet").where("l_quantity > 45 and l_linenumber <= 6").select(F.col("l_orderkey").alias("paper_id"), F.col("l_linenumber").alias("format"))
+
+
+@query("SELECT paper_id::VARCHAR AS arxiv_id, url::VARCHAR AS url, location, label FROM " + GT)
+def csv_json_roundtrip(spark, d):
+    rows = _gt(spark, d).select(F.col("paper_id").cast("string").alias("arxiv_id"), F.col("url").cast("string").alias("url"), "location", "label")
+    one, two = _scratch(spark, "csv"), _scratch(spark, "json")
+    files.write_csv(rows, one)
+    files.read_csv(spark, one, "arxiv_id string, url string, location string, label string").write.json(two)
+    return files.read_json(spark, two, "arxiv_id string, url string, location string, label string", multiline=False)
+
+
+@query(r"SELECT paper_id, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)', 1) AS domain FROM " + duck("urls"))
+def url_domain(spark, d):
+    return load(spark, d, "urls").select("paper_id", S.netloc(F.col("url")).alias("domain"))
+
+
+@query(r"SELECT paper_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*):', 1)) AS scheme FROM " + duck("urls"))
+def url_scheme(spark, d):
+    return load(spark, d, "urls").select("paper_id", S.scheme(F.col("url")).alias("scheme"))
+
+
+_STRIP = r"""[.,;:)\]}>"'']+$"""
+
+
+@query(f"SELECT paper_id, regexp_replace(split_part(concat(url, ').\"><b>'), '<', 1), '{_STRIP}', '') AS url FROM {duck('urls')}")
+def url_clean(spark, d):
+    return load(spark, d, "urls").select("paper_id", S.clean_url(F.concat("url", F.lit(').\"><b>'))).alias("url"))
+
+
+@query(r"""SELECT paper_id, regexp_replace(concat(url, '!?).'), '[.,;:!?)\]}''"]+$', '') AS url FROM """ + duck("urls"))
+def url_strip_trailing(spark, d):
+    return load(spark, d, "urls").select("paper_id", S.strip_trailing(F.concat("url", F.lit("!?)."))).alias("url"))
+
+
+@query(r"SELECT paper_id, regexp_replace(text, '[^\x20-\x7E\t\n\r]', ' ', 'g') AS text FROM " + duck("raw"))
+def sanitize_ascii(spark, d):
+    return load(spark, d, "raw").select("paper_id", S.sanitize(F.col("text")).alias("text"))
+
+
+_STEM = "CASE paper_id % 3 WHEN 0 THEN 'hep-ph' || lpad((paper_id % 10000000)::VARCHAR, 7, '0') WHEN 1 THEN lpad((paper_id % 100)::VARCHAR, 2, '0') || '03.1' || paper_id::VARCHAR ELSE 'x_' || paper_id::VARCHAR END"
+_IDS = f"(SELECT paper_id, regexp_replace({_STEM}, '^([a-z][a-z\\-]+)(\\d{{7}})$', '\\1/\\2') AS id FROM {duck('papers')})"
+
+
+def _ids(spark, d):
+    n = F.col("paper_id")
+    text = n.cast("string")
+    s = F.when(n % 3 == 0, F.concat(F.lit("hep-ph"), F.lpad((n % 10000000).cast("string"), 7, "0"))).when(n % 3 == 1, F.concat(F.lpad((n % 100).cast("string"), 2, "0"), F.lit("03.1"), text)).otherwise(F.concat(F.lit("x_"), text))
+    return load(spark, d, "papers").select("paper_id", S.id_from_stem(s).alias("id"))
+
+
+@query(f"SELECT paper_id, id FROM {_IDS}")
+def stem_to_id(spark, d):
+    return _ids(spark, d)
+
+
+@query(f"SELECT paper_id, replace(id, '/', '_') AS name, regexp_replace(replace(id, '/', '_'), '^([^_]*)_', '\\1/') AS back FROM {_IDS}")
+def id_safe_name(spark, d):
+    name = S.safe_name(F.col("id"))
+    return _ids(spark, d).select("paper_id", name.alias("name"), S.from_safe_name(name).alias("back"))
+
+
+_YY = "TRY_CAST(CASE WHEN contains(id, '/') THEN regexp_extract(id, '/(\\d\\d)', 1) ELSE regexp_extract(id, '^(\\d\\d)', 1) END AS INT)"
+_PIVOT = lambda cond: f"CASE WHEN yy IS NULL THEN NULL WHEN {cond} THEN 1900 + yy ELSE 2000 + yy END"
+
+
+@query(f"SELECT paper_id, {_PIVOT('yy >= 90')} AS y90, {_PIVOT('yy > 50')} AS y50, CASE WHEN contains(id, '/') OR contains(id, '.') THEN coalesce(({_PIVOT('yy >= 90')})::VARCHAR, 'Unknown') ELSE 'Unknown' END AS known, CASE WHEN regexp_matches(id, '^\\d{{4}}\\.') THEN '20' || id[1:2] WHEN regexp_matches(id, '(^|\\D)\\d{{7}}$') THEN (CASE WHEN regexp_extract(id, '(?:^|\\D)(\\d\\d)\\d{{5}}$', 1)::INT >= 91 THEN 1900 ELSE 2000 END + regexp_extract(id, '(?:^|\\D)(\\d\\d)\\d{{5}}$', 1)::INT)::VARCHAR ELSE 'unknown_year' END AS y91 FROM (SELECT *, {_YY} AS yy FROM {_IDS})")
+def year_pivots(spark, d):
+    i = F.col("id")
+    return _ids(spark, d).select("paper_id", F.when(S._two_digits(i).isNotNull(), S.year_by_pivot(i, 90)).alias("y90"), F.when(S._two_digits(i).isNotNull(), S.year_of_tei_id(i)).alias("y50"), S.year_or_unknown(i).alias("known"), S.year_of_html_id(i).alias("y91"))
+
+
+_MIXED = f"(SELECT paper_id, CASE paper_id % 6 WHEN 0 THEN 'http://NS.adobe.com/xap/1.0/' WHEN 1 THEN 'https://arxiv.org/abs/' || paper_id::VARCHAR WHEN 2 THEN url || '#top' WHEN 3 THEN 'https://einstein.org/x' WHEN 4 THEN ' https://github.com/kermitt2/grobid ' ELSE url END AS url FROM {duck('urls')})"
+
+
+def _mixed(spark, d):
+    n, text = F.col("paper_id"), F.col("paper_id").cast("string")
+    u = F.when(n % 6 == 0, F.lit("http://NS.adobe.com/xap/1.0/")).when(n % 6 == 1, F.concat(F.lit("https://arxiv.org/abs/"), text)).when(n % 6 == 2, F.concat("url", F.lit("#top"))).when(n % 6 == 3, F.lit("https://einstein.org/x")).when(n % 6 == 4, F.lit(" https://github.com/kermitt2/grobid ")).otherwise(F.col("url"))
+    return load(spark, d, "urls").select("paper_id", u.alias("url"))
+
+
+@query(f"SELECT paper_id, url FROM {_MIXED} WHERE NOT regexp_matches(lower(url), '{P.NOISE}')")
+def noise_filter(spark, d):
+    return _mixed(spark, d).where(~S.is_noise(F.col("url")))
+
+
+@query(f"SELECT paper_id, url, NOT (contains(url, 'arxiv.org/abs/' || paper_id::VARCHAR)) AS keep_text FROM {_MIXED} WHERE NOT (contains(url, 'arxiv.org/abs/' || paper_id::VARCHAR) OR contains(url, 'arxiv.org/pdf/' || paper_id::VARCHAR) OR contains(url, 'arxiv.org/html/' || paper_id::VARCHAR) OR contains(url, '#'))")
+def self_ref_filter(spark, d):
+    key = F.col("paper_id").cast("string")
+    return _mixed(spark, d).where(~S.is_self_reference_html(F.col("url"), key)).withColumn("keep_text", ~S.is_self_reference_text(F.col("url"), key))
+
+
+@query(f"SELECT paper_id, url FROM {_MIXED} WHERE url <> '' AND NOT contains(lower(url), 'tei') AND NOT starts_with(url, '#') AND lower(trim(url)) <> '{P.CONVERTER_URL}'")
+def tei_filter(spark, d):
+    return _mixed(spark, d).where(S.keeps_tei_target(F.col("url"), corpus=True))
+
+
+# Extraction
+
+
+def _extract(fixture: str, fmt: str, urls):
+    def run(spark, d):
+        return X.explode_urls(load(spark, d, fixture), urls(F.col("text")), fmt)
+
+    return run
+
+
+def _duck_extract(fixture: str, fmt: str, lists: list[str]) -> str:
+    return f"SELECT DISTINCT paper_id, '{fmt}' AS format, unnest({' || '.join(lists)}) AS url FROM {duck(fixture)}"
+
+
+_q = lambda p: "'" + p.replace("(?iU)", "").replace("'", "''") + "'"
+_all = lambda p, g=0, flags=", 'i'": f"regexp_extract_all(text, {_q(p)}, {g}{flags})"
+
+
+@query(_duck_extract("markdown", "markdown", [_all(P.MARKDOWN_LINK, 1)]))
+def extract_md_links(spark, d):
+    return _extract("markdown", "markdown", X.markdown_links)(spark, d)
+
+
+@query(_duck_extract("markdown", "markdown", [_all(P.HTML_ATTRIBUTE, 1)]))
+def extract_html_attr(spark, d):
+    return _extract("markdown", "markdown", X.html_attributes)(spark, d)
+
+
+@query(_duck_extract("latex", "latex", [_all(P.LATEX_URL, 1, ""), _all(P.LATEX_URLADDR, 1, "")]))
+def extract_latex_cmd(spark, d):
+    return _extract("latex", "latex", X.latex_commands)(spark, d)
+
+
+@query(_duck_extract("raw", "bytes", [_all(P.RAW_BYTES.replace("(?i)", ""), 1)]))
+def extract_bytes(spark, d):
+    return _extract("raw", "bytes", lambda t: X.raw_bytes(F.encode(t, "UTF-8")))(spark, d)
+
+
+@query()
+def extract_comprehensive(spark, d):
+    return _extract("markdown", "text", X.comprehensive)(spark, d)
+
+
+@query()
+def extract_bare(spark, d):
+    return _extract("markdown", "text", X.bare)(spark, d)
+
+
+@query()
+def extract_markdown_all(spark, d):
+    return _extract("markdown", "markdown", X.markdown)(spark, d)
+
+
+@query()
+def extract_textwal(spark, d):
+    t = load(spark, d, "raw")
+    urls = X.text_layer(F.col("text"), F.array(F.regexp_extract("text", r"\(([^)]*)\)", 1)), F.col("text"), F.col("paper_id").cast("string"))
+    return X.explode_urls(t, urls, "textwal")
+
+
+@query()
+def extract_latex_text(spark, d):
+    return X.explode_urls(load(spark, d, "latex"), X.latex(F.col("text"), F.lit(False), sanitize=True), "latex")
+
+
+@query("""SELECT DISTINCT page_id AS paper_id, 'html' AS format, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS url FROM pages""")
+def extract_html_anchors(spark, d):
+    t = spark.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("paper_id"), "html")
+    return X.explode_urls(t, X.html_anchors(F.col("html"), tag=None), "html")
+
+
+@query(f"""SELECT DISTINCT paper_id, 'xml' AS format, replace(url, '&amp;', '&') AS url FROM (SELECT paper_id, unnest(regexp_extract_all(text, 'target="([^"]*)"', 1)) AS url FROM {duck('tei')}) WHERE url <> '' AND NOT contains(lower(url), 'tei') AND NOT starts_with(url, '#')""")
+def extract_tei_targets(spark, d):
+    return _extract("tei", "xml", X.tei_targets)(spark, d)
+
+
+@query(f"SELECT paper_id, unnest(list_filter(list_transform(string_split(string_split(text, 'Assistant:')[-1], chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS line FROM {duck('vlm')}")
+def parse_vlm_qwen(spark, d):
+    return load(spark, d, "vlm").select("paper_id", F.explode(X.response_lines(F.col("text"))).alias("line"))
+
+
+_EDGE = "'.,;:!?) ]'"
+
+
+@query(f"SELECT DISTINCT paper_id, url FROM (SELECT paper_id, unnest(list_transform(string_split(text, chr(10)), lambda x: rtrim(regexp_extract(replace(trim(x, {_EDGE}), ' ', ''), {_q(P.STRICT)}, 0, 'i'), {_EDGE}))) AS url FROM {duck('vlm')}) WHERE url <> ''")
+def parse_vlm_deepseek(spark, d):
+    return load(spark, d, "vlm").select("paper_id", F.explode(X.response_first_matches(F.col("text"))).alias("url"))
+
+
+@query(f"SELECT DISTINCT paper_id, url FROM (SELECT paper_id, rtrim(trim(unnest({_all(P.STRICT)})), {_EDGE}) AS url FROM {duck('vlm')}) WHERE url <> '' AND NOT regexp_matches(url, '^\\d+\\.')")
+def parse_vlm_minicpm(spark, d):
+    return load(spark, d, "vlm").select("paper_id", F.explode(X.response_all_matches(F.col("text"))).alias("url"))
+
+
+@query(f"SELECT paper_id, unnest(regexp_extract_all(text, '\"([^\"]*)\"', 1)) AS url FROM {duck('llm')} WHERE paper_id % 4 < 2")
+def parse_llm_json(spark, d):
+    return load(spark, d, "llm").select("paper_id", F.explode(X.response_json(F.col("text"))).alias("url"))
+
+
+@query(f"SELECT paper_id, len(list_distinct(list(url)))::INT AS url_count FROM (SELECT DISTINCT paper_id, url FROM {duck('ext')}) GROUP BY paper_id")
+def page_rollup(spark, d):
+    pages = load(spark, d, "ext").groupBy("paper_id", F.col("format").alias("page")).agg(F.collect_list("url").alias("urls"))
+    return X.page_rollup(pages).select("paper_id", "url_count")
+
+
+# Evaluation
+
+
+@query(f"SELECT format, count(DISTINCT paper_id) AS with_urls, count(*) AS urls, (SELECT count(DISTINCT paper_id) FROM {duck('ext')}) AS papers FROM {duck('ext')} GROUP BY format")
+def stage_summary(spark, d):
+    e = load(spark, d, "ext")
+    return E.stage_summary(e, e)
+
+
+@query(f"SELECT format, count(*) AS urls FROM {duck('ext')} GROUP BY format")
+def format_totals(spark, d):
+    return load(spark, d, "ext").groupBy("format").agg(F.count("*").alias("urls"))
+
+
+@query(f"SELECT p.paper_id, f.format::INT AS format, count(e.url)::INT AS url_count, coalesce(sum(e.url), 0)::BIGINT AS url_sum FROM (SELECT DISTINCT paper_id FROM {duck('ext')}) p CROSS JOIN range(1, 7) f(format) LEFT JOIN {duck('ext')} e ON e.paper_id = p.paper_id AND e.format = f.format GROUP BY ALL")
+def merge_formats(spark, d):
+    e = load(spark, d, "ext")
+    return E.merge_formats(e.select("paper_id"), e).select("paper_id", "format", "url_count", F.aggregate("urls", F.lit(0).cast("long"), lambda a, b: a + b).alias("url_sum"))
+
+
+@query(f"SELECT paper_id, count(DISTINCT url) AS url_count, array_to_string(list_sort(list(DISTINCT url)), ',') AS urls FROM {duck('ext')} GROUP BY paper_id")
+def superset(spark, d):
+    return E.superset(load(spark, d, "ext")).select("paper_id", "url_count", F.array_join(F.col("urls").cast("array<string>"), ",").alias("urls"))
+
+
+@query(f"SELECT paper_id, url, label, row_idx FROM {GT}")
+def gt_dedup_first(spark, d):
+    return _gt(spark, d).select("paper_id", "url", "label", "row_idx")
+
+
+@query(f"SELECT p.paper_id, count(g.url) AS url_count FROM (SELECT DISTINCT paper_id FROM {duck('ext')}) p LEFT JOIN {GT} g USING (paper_id) GROUP BY p.paper_id")
+def gt_attach(spark, d):
+    papers = load(spark, d, "ext").select("paper_id").distinct()
+    truth = _gt(spark, d).groupBy("paper_id").agg(F.count("url").alias("url_count"))
+    return papers.join(truth, "paper_id", "left").select("paper_id", F.coalesce("url_count", F.lit(0)).cast("long").alias("url_count"))
+
+
+@query(f"SELECT paper_id, string_agg(url::VARCHAR || '=' || coalesce(label, ''), ',' ORDER BY url) AS pairs FROM {GT} GROUP BY paper_id")
+def label_pairs(spark, d):
+    pairs = F.array_sort(F.collect_list(F.struct("url", "label")))
+    return _gt(spark, d).groupBy("paper_id").agg(pairs.alias("p")).select("paper_id", F.array_join(F.transform("p", lambda x: F.concat(x["url"].cast("string"), F.lit("="), F.coalesce(x["label"], F.lit("")))), ",").alias("pairs"))
+
+
+_FLAGS = f"(SELECT paper_id, url, {', '.join(f'((mask >> {i - 1}) & 1)::INT AS f{i}' for i in FORMATS)} FROM {MASKS} WHERE is_gt = 1)"
+
+
+@query(f"SELECT * FROM {_FLAGS}")
+def availability_pivot(spark, d):
+    return E.availability(load(spark, d, "ext"), _gt(spark, d))
+
+
+_AVG = ", ".join(f"round(avg(f{i}), 6) AS f{i}" for i in FORMATS)
+
+
+@query(f"SELECT 'host' || (url % 20)::VARCHAR || '.org' AS domain, count(*) AS n, {_AVG} FROM {_FLAGS} GROUP BY 1 ORDER BY n DESC, domain LIMIT 15")
+def domain_coverage(spark, d):
+    flags = E.availability(load(spark, d, "ext"), _gt(spark, d))
+    url = F.concat(F.lit("https://host"), (F.col("url") % 20).cast("string"), F.lit(".org/x"))
+    return E.coverage(flags.withColumn("domain", S.netloc(url)).where("domain <> ''"), "domain", top=15)
+
+
+@query(f"SELECT CASE url % 3 WHEN 0 THEN 'http' WHEN 1 THEN 'https' ELSE 'none' END AS scheme, count(*) AS n, {_AVG} FROM {_FLAGS} GROUP BY 1")
+def scheme_coverage(spark, d):
+    flags = E.availability(load(spark, d, "ext"), _gt(spark, d))
+    url = F.when(F.col("url") % 3 == 0, F.lit("http://x")).when(F.col("url") % 3 == 1, F.lit("https://x")).otherwise(F.lit("www.x"))
+    return E.coverage(flags.withColumn("scheme", S.coverage_scheme(url)).where("scheme <> 'arxiv'"), "scheme")
+
+
+def _combo_vectors(spark, d):
+    c = E.combos(spark)
+    return c, E.per_paper_combos(E.masks(load(spark, d, "ext"), _gt(spark, d)), c)
+
+
+_PRF = f"SELECT ord, combo, label, n_formats, gt, tp, ext, round({PREC}, 6) AS precision, round({REC}, 6) AS recall, round({F1}, 6) AS f1 FROM (SELECT combo, sum(gt)::BIGINT AS gt, sum(tp)::BIGINT AS tp, sum(ext)::BIGINT AS ext FROM {VECTORS} GROUP BY combo) JOIN {COMBOS} USING (combo)"
+
+
+@query(_PRF + " WHERE n_formats = 1")
+def micro_prf_single(spark, d):
+    c, v = _combo_vectors(spark, d)
+    return E.prf(v, c).where("n_formats = 1")
+
+
+@query(_PRF)
+def prf_63_combos(spark, d):
+    c, v = _combo_vectors(spark, d)
+    return E.prf(v, c)
+
+
+_OMASKS = MASKS.replace(f"FROM {GT})", f"FROM {GT} WHERE label IS DISTINCT FROM 'GenURL')")
+
+
+@query(f"SELECT ord, label, n_formats, tp AS found, gt AS total, round({REC}, 6) AS recall, round(100 * (1 - ({REC})), 1) AS missing_pct FROM (SELECT combo, sum(gt)::BIGINT AS gt, sum(tp)::BIGINT AS tp FROM {_vectors(_OMASKS)} GROUP BY combo) JOIN {COMBOS} USING (combo)")
+def oads_recall_63(spark, d):
+    return E.oads_recall(load(spark, d, "ext"), _gt(spark, d), E.combos(spark))
+
+
+@query(f"SELECT f.format::INT AS format, paper_id, url FROM {MASKS} CROSS JOIN range(1, 7) f(format) WHERE is_gt = 1 AND (mask >> (f.format - 1)::INT) & 1 = 0")
+def missed_urls(spark, d):
+    return E.missed(load(spark, d, "ext"), _gt(spark, d))
+
+
+_CHAR = f"(SELECT paper_id, url, 'location' AS dimension, location AS value FROM {GT} WHERE location IS NOT NULL" + "".join(f" UNION ALL SELECT paper_id, url, '{c}', trim(unnest(string_split({c}, ','))) FROM {GT} WHERE {c} IS NOT NULL" for c in ("spatial", "lexical", "representational")) + ")"
+
+
+@query(f"SELECT format, dimension, value, rank::INT AS rank, missed, n, round(missed / n, 6) AS share FROM (SELECT *, row_number() OVER (PARTITION BY format, dimension ORDER BY missed DESC, value) AS rank FROM (SELECT f.format::INT AS format, dimension, value, count(*) FILTER ((mask >> (f.format - 1)::INT) & 1 = 0) AS missed, count(*) AS n FROM {_CHAR} JOIN {MASKS} USING (paper_id, url) CROSS JOIN range(1, 7) f(format) GROUP BY ALL) WHERE missed > 0) WHERE rank <= 8")
+def failure_modes_top8(spark, d):
+    return E.failure_modes(load(spark, d, "ext"), _gt(spark, d))
+
+
+_HITS = ", ".join(f"count(*) FILTER ((mask >> {i - 1}) & 1 = 1) AS f{i}" for i in FORMATS)
+
+
+@query(f"WITH m AS (SELECT * FROM {GT} JOIN (SELECT paper_id, url, mask FROM {MASKS} WHERE is_gt = 1) USING (paper_id, url)) SELECT 'split_line' AS target, count(*) AS total, {_HITS} FROM m WHERE contains(lower(spatial), 'split across lines') UNION ALL SELECT 'annotation_only', count(*), {_HITS} FROM m WHERE contains(lower(representational), 'hidden in annotation layers')")
+def complexity_hits(spark, d):
+    return E.complexity_hits(load(spark, d, "ext"), _gt(spark, d))
+
+
+@query(f"WITH v AS (SELECT 'location' AS dimension, trim(unnest(string_split(location, ';'))) AS value FROM {duck('gt_raw')} UNION ALL SELECT 'spatial', trim(trim(unnest(regexp_extract_all(spatial, '\"[^\"]+\"|[^,]+')), '\"')) FROM {duck('gt_raw')} UNION ALL SELECT 'label', label FROM {duck('gt_raw')}) SELECT dimension, value, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (PARTITION BY dimension), 4) AS pct FROM v WHERE value IS NOT NULL GROUP BY dimension, value")
+def multivalue_counts(spark, d):
+    g = load(spark, d, "gt_raw")
+    out = None
+    for name, arr in (("location", S.split_multi(F.col("location"))), ("spatial", S.split_quoted(F.col("spatial"))), ("label", F.array("label"))):
+        one = E.value_counts(g, arr).select(F.lit(name).alias("dimension"), "value", "n", "pct")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# Resampling
+
+
+_REPS = 40
+_MULT = f"(SELECT rep, place, count(*) AS m FROM (SELECT rep, (rep * 7919 + slot * 104729 + 13) % p AS place FROM range(0, {_REPS}) r(rep), (SELECT count(DISTINCT paper_id) AS p FROM {VECTORS}), LATERAL (SELECT unnest(range(0, p)) AS slot)) GROUP BY rep, place)"
+_BOOT = f"(SELECT rep, combo, sum(gt * m)::BIGINT AS gt, sum(tp * m)::BIGINT AS tp, sum(ext * m)::BIGINT AS ext FROM {VECTORS} JOIN (SELECT paper_id, row_number() OVER (ORDER BY paper_id) - 1 AS place FROM (SELECT DISTINCT paper_id FROM {VECTORS})) USING (paper_id) JOIN {_MULT} USING (place) GROUP BY rep, combo)"
+_Q = ", ".join(f"round(quantile_cont({e}, {q}), 6) AS {c}_{n}" for c, e in (("p", PREC), ("r", REC), ("f", F1)) for q, n in ((0.025, "low"), (0.975, "high")))
+
+
+@query(f"SELECT combo, {_Q} FROM {_BOOT} GROUP BY combo")
+def bootstrap_ci(spark, d):
+    return R.intervals(R.bootstrap_by_join(_combo_vectors(spark, d)[1], _REPS))
+
+
+@query()
+def bootstrap_ci_10k(spark, d):
+    return R.intervals(R.bootstrap_by_blocks(_combo_vectors(spark, d)[1], 10_000))
+
+
+_POOL = f"(SELECT * FROM {duck('corpus')} WHERE (year, paper_id) IN (SELECT (year, paper_id) FROM {duck('corpus')} GROUP BY year, paper_id HAVING count(DISTINCT format) = 5))"
+_YB = f"(SELECT year, rep, format, sum(u * m)::BIGINT AS urls FROM (SELECT year, paper_id, format, sum(num_urls) AS u FROM {_POOL} GROUP BY ALL) JOIN (SELECT year, paper_id, row_number() OVER (PARTITION BY year ORDER BY paper_id) - 1 AS place FROM (SELECT DISTINCT year, paper_id FROM {_POOL})) USING (year, paper_id) JOIN (SELECT year, rep, ((rep * 7919 + slot * 104729 + 13) % 1073741824) % n AS place, count(*) AS m FROM (SELECT year, count(DISTINCT paper_id) AS n FROM {_POOL} GROUP BY year), range(0, 20) r(rep), range(0, 100) s(slot) GROUP BY ALL) USING (year, place) GROUP BY year, rep, format)"
+
+
+@query(f"SELECT year, format, round(avg(urls), 6) AS mean, round(quantile_cont(urls, 0.25), 6) AS q1, round(quantile_cont(urls, 0.5), 6) AS median, round(quantile_cont(urls, 0.75), 6) AS q3 FROM {_YB} GROUP BY year, format")
+def year_bootstrap(spark, d):
+    return L.trend(L.yearly_bootstrap(L.common_pool(load(spark, d, "corpus")), 20, 100))
+
+
+# Statistics
+
+
+_SCORES = f"(SELECT paper_id, combo, tp::DOUBLE / gt AS recall FROM {VECTORS})"
+_SINGLE = f"(SELECT * FROM {_SCORES} WHERE bit_count(combo) = 1)"
+_RANKS = f"(SELECT *, rank() OVER (PARTITION BY paper_id ORDER BY recall) + (count(*) OVER (PARTITION BY paper_id, recall) - 1) / 2 AS r FROM {_SINGLE})"
+
+
+def _scores(spark, d, single=False):
+    v = _combo_vectors(spark, d)[1].select("paper_id", "combo", (F.col("tp") / F.col("gt")).alias("recall"))
+    return v.where(F.bit_count("combo") == 1) if single else v
+
+
+@query(f"SELECT combo, round(avg(r), 6) AS mean_rank FROM {_RANKS} GROUP BY combo")
+def avg_rank(spark, d):
+    return T.mean_ranks(_scores(spark, d, True))
+
+
+@query(f"SELECT n, 6 AS k, round((12.0 / (6 * n * 7) * ss - 3 * n * 7) / (1 - ties / (6 * 35 * n)), 6) AS chi2, 5 AS df FROM (SELECT sum(s * s) AS ss, max(n) AS n FROM (SELECT combo, sum(r) AS s, count(*) AS n FROM {_RANKS} GROUP BY combo)), (SELECT sum(t * t * t - t)::DOUBLE AS ties FROM (SELECT paper_id, recall, count(*) AS t FROM {_RANKS} GROUP BY ALL))")
+def friedman_chi2(spark, d):
+    return T.friedman(_scores(spark, d, True), 6)
+
+
+@query()
+def friedman_p(spark, d):
+    return friedman_chi2(spark, d).withColumn("p", T.chi2_sf5(F.col("chi2")))
+
+
+_DIFF = f"(SELECT *, rank() OVER (PARTITION BY combo ORDER BY a) + (count(*) OVER (PARTITION BY combo, a) - 1) / 2 AS r FROM (SELECT s.combo, s.paper_id, s.recall - b.recall AS diff, round(abs(s.recall - b.recall), 12) AS a FROM {_SCORES} s JOIN {_SCORES} b ON s.paper_id = b.paper_id AND b.combo = 1 WHERE s.combo <> 1) WHERE a > 0)"
+_WSUM = f"(SELECT combo, n, up, down, ties FROM (SELECT combo, count(*) AS n, sum(CASE WHEN diff > 0 THEN r ELSE 0 END) AS up, sum(CASE WHEN diff < 0 THEN r ELSE 0 END) AS down FROM {_DIFF} GROUP BY combo) JOIN (SELECT combo, sum(t * t * t - t)::DOUBLE AS ties FROM (SELECT combo, a, count(*) AS t FROM {_DIFF} GROUP BY ALL) GROUP BY combo) USING (combo))"
+_WZ = f"SELECT combo, n, round((least(up, down) - n * (n + 1) / 4) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24), 6) AS z FROM {_WSUM}"
+
+
+@query(_WZ)
+def wilcoxon_z(spark, d):
+    return T.wilcoxon(_scores(spark, d), 1).select("combo", "n", "z")
+
+
+@query(f"SELECT combo, round((up - down) / (up + down), 6) AS effect FROM {_WSUM}")
+def rank_biserial(spark, d):
+    return T.wilcoxon(_scores(spark, d), 1).select("combo", "effect")
+
+
+@query(f"WITH t AS (SELECT combo, round(exp(z / 100), 9) AS p FROM ({_WZ})), o AS (SELECT *, row_number() OVER (ORDER BY p, combo) AS i, count(*) OVER () AS m FROM t) SELECT combo, p, round(least(1.0, max(p * (m - i + 1)) OVER (ORDER BY p, combo ROWS UNBOUNDED PRECEDING)), 6) AS holm_p, least(1.0, max(p * (m - i + 1)) OVER (ORDER BY p, combo ROWS UNBOUNDED PRECEDING)) < 0.05 AS significant FROM o")
+def holm(spark, d):
+    tests = T.wilcoxon(_scores(spark, d), 1).select("combo", F.round(F.exp(F.col("z") / 100), 9).alias("p"))
+    return T.holm(tests).withColumn("holm_p", F.round("holm_p", 6))
+
+
+@query()
+def significance(spark, d):
+    """p values, Holm's correction, effect and stars of every combination against the first format."""
+    tests = T.wilcoxon(_scores(spark, d), 1).withColumn("p", T.normal_two_sided(F.col("z")))
+    return T.holm(tests).withColumn("stars", S.stars(F.col("holm_p")))
+
+
+# Sampling
+
+
+_COUNTS = f"(SELECT year, month, count(*) AS n FROM {duck('papers')} GROUP BY ALL)"
+_SEATS = f"(SELECT year, month, n, (CASE WHEN total <= 100 THEN n ELSE base + (place <= 100 - used)::INT END)::BIGINT AS seats FROM (SELECT *, sum(base) OVER (PARTITION BY year) AS used, row_number() OVER (PARTITION BY year ORDER BY rest DESC, month) AS place FROM (SELECT *, (n * 100) // total AS base, (n * 100) % total AS rest FROM (SELECT *, sum(n) OVER (PARTITION BY year)::BIGINT AS total FROM {_COUNTS}))))"
+
+
+@query(f"SELECT year, month, n, seats FROM {_SEATS}")
+def stratified_alloc(spark, d):
+    counts = load(spark, d, "papers").groupBy("year", "month").agg(F.count("*").alias("n"))
+    return R.allocate(counts, 100)
+
+
+@query(f"SELECT year, month, paper_id FROM (SELECT *, row_number() OVER (PARTITION BY year, month ORDER BY (paper_id * 7919) % 104729, paper_id) AS place FROM {duck('papers')}) JOIN {_SEATS} USING (year, month) WHERE place <= seats")
+def stratified_sample(spark, d):
+    return R.stratified(load(spark, d, "papers"), 100, (F.col("paper_id") * 7919) % 104729).select("year", "month", "paper_id")
+
+
+_CLASS = f"(SELECT paper_id, year, CASE WHEN n_chars < 50 AND n_images > 0 THEN 'scanned' WHEN layout = 'single' AND n_pages >= 30 THEN 'etd' WHEN layout = 'single' AND n_pages <= 20 THEN 'single_column' WHEN layout = 'double' AND n_pages <= 15 THEN 'double_column' END AS category FROM {duck('layout')})"
+
+
+def _classes(spark, d):
+    c = R.layout_class(F.col("n_chars"), F.col("n_images"), F.col("layout"), F.col("n_pages"))
+    return load(spark, d, "layout").select("paper_id", "year", c.alias("category"))
+
+
+@query(f"SELECT year, category, count(*) AS n FROM {_CLASS} GROUP BY ALL")
+def layout_classify(spark, d):
+    return _classes(spark, d).groupBy("year", "category").agg(F.count("*").alias("n"))
+
+
+_QUOTAS = {"single_column": 10, "double_column": 10, "etd": 6, "scanned": 6}
+_QSQL = "CASE category WHEN 'single_column' THEN 10 WHEN 'double_column' THEN 10 WHEN 'etd' THEN 6 WHEN 'scanned' THEN 6 END"
+
+
+@query(f"WITH r AS (SELECT *, {_QSQL} AS quota, row_number() OVER (PARTITION BY year ORDER BY (paper_id * 7919) % 104729, paper_id) AS place, row_number() OVER (PARTITION BY year, category ORDER BY (paper_id * 7919) % 104729, paper_id) AS nth FROM {_CLASS}), s AS (SELECT *, count(*) FILTER (nth = quota) OVER (PARTITION BY year) AS filled, max(place) FILTER (nth = quota) OVER (PARTITION BY year) AS last, count(*) OVER (PARTITION BY year) AS total FROM r) SELECT year, paper_id, category, place::INT AS place, coalesce(nth <= quota, false) AS selected FROM s WHERE place <= CASE WHEN filled = 4 THEN last ELSE total END")
+def quota_sample(spark, d):
+    return R.quota_sample(_classes(spark, d), _QUOTAS, (F.col("paper_id") * 7919) % 104729)
+
+
+# Corpus by year
+
+
+@query(f"SELECT year, paper_id, format, num_urls FROM {_POOL}")
+def common_pool(spark, d):
+    return L.common_pool(load(spark, d, "corpus")).select("year", "paper_id", "format", "num_urls")
+
+
+@query(f"SELECT DISTINCT year, paper_id FROM {_POOL}")
+def common_ids(spark, d):
+    return L.common_ids(load(spark, d, "corpus"))
+
+
+@query(f"SELECT year, format, count(DISTINCT paper_id) AS papers, sum(num_urls)::BIGINT AS urls FROM {duck('corpus')} GROUP BY CUBE (year, format)")
+def year_rollup(spark, d):
+    return L.year_report(load(spark, d, "corpus"))
+
+
+@query(f"SELECT status, count(*) AS n, round(100 * count(*) / 467767, 4) AS pct FROM {duck('papers')} GROUP BY status")
+def status_report(spark, d):
+    return L.status_report(load(spark, d, "papers"), 467_767)
+
+
+@query(_duck_extract("markdown", "markdown", [_all(P.MARKDOWN_LINK, 1)]).replace("'markdown' AS format, ", ""))
+def incremental_extract(spark, d):
+    source, target, state = (_scratch(spark, t) for t in ("in", "out", "state"))
+    docs = load(spark, d, "markdown")
+    docs.where("paper_id % 2 = 0").write.parquet(source)
+    run = lambda: incremental.extract_incrementally(spark, source, "paper_id long, text string", X.markdown_links(F.col("text")), target, state)
+    run()
+    docs.where("paper_id % 2 = 1 or paper_id % 10 = 0").write.mode("append").parquet(source)
+    return run()
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
