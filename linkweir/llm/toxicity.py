@@ -41,7 +41,7 @@ def _hashes(codes: np.ndarray) -> list[np.ndarray]:
             h = h * np.uint32(0x01000193) + x[k : len(x) - n + 1 + k]
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x85EBCA6B) + np.uint32(n * 2)
-        out.append(h >> np.uint32(32 - 18))
+        out.append(h >> np.uint32(33 - BUCKETS.bit_length()))
     return out
 
 
