@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 from linkweir.plans import catalog
@@ -14,7 +15,7 @@ def normal(frame):
     frame = frame[sorted(frame.columns)].astype(object)
 
     def cell(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return ""
         return f"{float(v):.5f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
