@@ -150,3 +150,16 @@ def value_counts(rows: DataFrame, value: Column) -> DataFrame:
     out = rows.select(F.explode(value).alias("value")).where(F.col("value").isNotNull()).groupBy("value").agg(F.count("*").alias("n"))
     total = out.agg(F.sum("n").alias("total"))
     return out.crossJoin(F.broadcast(total)).select("value", "n", F.round(100 * F.col("n") / F.col("total"), 4).alias("pct"))
+
+
+def labelled_papers(gt: DataFrame) -> DataFrame:
+    """Papers with a labelled row, and those that keep one without GenURL."""
+    n = F.count_if(~F.col("label").eqNullSafe("GenURL"))
+    per = gt.groupBy("paper_id").agg(n.alias("kept"))
+    return per.agg(F.count("*").alias("papers"), F.count_if(F.col("kept") > 0).alias("papers_kept"))
+
+
+def recall_order(scores: DataFrame) -> DataFrame:
+    """Recall of the combinations in ascending order, with the row of what the source itself has."""
+    whole = scores.sparkSession.createDataFrame([("Available in PDF", 1.0)], "label string, recall double")
+    return scores.select("label", "recall").unionByName(whole).orderBy("recall", "label")

@@ -46,3 +46,25 @@ def trend(reps: DataFrame) -> DataFrame:
     """Mean and quartiles of the replicates by year and format."""
     q = [F.round(F.percentile("urls", x), 6).alias(n) for x, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
     return reps.groupBy("year", "format").agg(F.round(F.avg("urls"), 6).alias("mean"), *q)
+
+
+def of_years(rows: DataFrame, folder: str, first: int = 1992, last: int = 2024) -> DataFrame:
+    """Rows whose folder is a year of four digits in the range, with it as ``year``."""
+    ok = F.col(folder).rlike(r"^\d{4}$")
+    return rows.where(ok).withColumn("year", F.col(folder).try_cast("int")).where(F.col("year").between(first, last))
+
+
+def reindex(rows: DataFrame, key: str, order: list, value: str) -> DataFrame:
+    """The values of the keys in ``order``, 0 where there is none; other keys go."""
+    dim = rows.sparkSession.createDataFrame([(i, k) for i, k in enumerate(order)], f"ord int, {key} {rows.schema[key].dataType.simpleString()}")
+    return dim.join(rows.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(0))).select("ord", key, value)
+
+
+def sampled_and_done(sample: DataFrame, done: DataFrame) -> DataFrame:
+    """Sampled papers that a tracker names for the same year."""
+    return sample.join(done.select("year", "paper_id"), ["year", "paper_id"], "left_semi")
+
+
+def sampler_totals(log: DataFrame) -> DataFrame:
+    """Rows read, selected and without a class, by year and category, with totals (nulls)."""
+    return log.cube("year", "category").agg(F.count("*").alias("processed"), F.count_if("selected").alias("selected"), F.count_if(F.col("category").isNull()).alias("unmatched"), F.grouping_id().alias("level"))

@@ -518,9 +518,42 @@ def quota_sample(spark, d):
     return R.quota_sample(_classes(spark, d), _QUOTAS, (F.col("paper_id") * 7919) % 104729)
 
 
+@query("SELECT year, category, count(*) AS processed, count(*) FILTER (selected) AS selected, count(*) FILTER (category IS NULL) AS unmatched, (2 * grouping(year) + grouping(category))::BIGINT AS level FROM (" + _SQL["quota_sample"] + ") GROUP BY CUBE (year, category)")
+def sampler_totals(spark, d):
+    return L.sampler_totals(quota_sample(spark, d))
+
+
+@query(f"SELECT count(*) AS papers, count(*) FILTER (kept > 0) AS papers_kept FROM (SELECT paper_id, count(*) FILTER (label IS DISTINCT FROM 'GenURL') AS kept FROM {GT} GROUP BY paper_id)")
+def labelled_papers(spark, d):
+    return E.labelled_papers(_gt(spark, d))
+
+
+@query(f"SELECT label, recall FROM ({_PRF}) UNION ALL SELECT 'Available in PDF', 1.0")
+def recall_order(spark, d):
+    return E.recall_order(prf_63_combos(spark, d))
+
+
 # Corpus by year
 
 
+@query(f"SELECT year, paper_id FROM {duck('papers')} WHERE year BETWEEN 1996 AND 1998 AND paper_id IN (SELECT paper_id FROM {duck('corpus')} WHERE format = 2)")
+def sampled_and_done(spark, d):
+    papers = L.of_years(load(spark, d, "papers").select(F.col("year").cast("string").alias("folder"), "paper_id"), "folder", 1996, 1998)
+    return L.sampled_and_done(papers, load(spark, d, "corpus").where("format = 2")).select("year", "paper_id")
+
+
+@query(f"SELECT o.ord::INT AS ord, o.year::INT AS year, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest(range(0, 10)) AS ord, unnest(range(1992, 2002)) AS year) o LEFT JOIN (SELECT year, count(*) AS n FROM {duck('papers')} GROUP BY year) USING (year)")
+def years_reindexed(spark, d):
+    counts = load(spark, d, "papers").groupBy("year").agg(F.count("*").alias("n"))
+    return L.reindex(counts, "year", list(range(1992, 2002)), "n")
+
+
+@query(f"SELECT paper_id FROM {duck('markdown')} WHERE paper_id % 3 <> 0")
+def resume_anti_join(spark, d):
+    todo = load(spark, d, "markdown")
+    return incremental.not_done(todo, todo.where("paper_id % 3 = 0")).select("paper_id")
+
+
 @query(f"SELECT year, paper_id, format, num_urls FROM {_POOL}")
 def common_pool(spark, d):
     return L.common_pool(load(spark, d, "corpus")).select("year", "paper_id", "format", "num_urls")

@@ -94,6 +94,21 @@ def read_status_files(spark: SparkSession, path: str) -> DataFrame:
     return t.select(F.when(bad, F.col("file")).otherwise(F.col("r.arxiv_id")).alias("paper_id"), F.when(bad, F.lit("corrupted_json")).otherwise(F.col("r.status")).alias("status"), F.try_to_timestamp("r.timestamp").alias("at"), F.col("r.error").alias("error"))
 
 
+def read_success_markers(spark: SparkSession, path: str, schema: str = "arxiv_id string, html_path string") -> DataFrame:
+    """One JSON object a line or file; what does not parse is skipped."""
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
+def write_selected(rows: DataFrame, path: str) -> None:
+    """A list of paths for each category."""
+    rows.select("category", F.col("path").alias("value")).write.mode("overwrite").partitionBy("category").text(path)
+
+
+def converted_path(pdf_path: Column, ext: str = ".md") -> Column:
+    """Where a conversion of a PDF lies: every ".pdf" of the path is replaced."""
+    return F.replace(pdf_path, F.lit(".pdf"), F.lit(ext))
+
+
 def read_tracker_logs(spark: SparkSession, path: str) -> DataFrame:
     """Distinct (year, paper_id) of logs named <year>_task_<n>.log with an id a line."""
     t = spark.read.text(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(\d{4})_task_\d+\.log$", 1).try_cast("int").alias("year"), F.trim("value").alias("paper_id"))
