@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality_rules.sql()}
+    return {"op4_quality_rules": quality_rules.sql(), "op5_warc": warc.sql(), "op6_jaccard_join": jaccard_join.sql(3, 90, 100)}

@@ -376,6 +376,19 @@ def test_every_operator_has_one_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
 
 
+@pytest.mark.parametrize("name", list(queries.oracle_sql()))
+def test_queries_equal_their_sql(spark, name):
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
+    want = con.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    got = queries.queries()[name](spark, d)
+    assert sorted(got.columns) == sorted(columns)
+    assert Counter(tuple(r) for r in got.select(*columns).collect()) == Counter(want.fetchall())
+
+
 def test_pipeline_stages(spark, odd):
     d = "/root/testdata/sf0.001"
     docs = common.materialize(common.read_table(spark, d, "documents"), "t")
