@@ -41,6 +41,8 @@ SAMPLE_DOCS, MAX_FREQUENT, LEAST_SEEN = 4000, 1 << 18, 4
 #: Members of a ring that one task joins, and members below which a ring is joined by counting.
 BLOCK, SMALL = 3000, 128
 BITMAP_BITS = 1 << 24
+#: Classes for each task of the narrow tables, beyond the first eight tasks.
+CLASSES_OF_TASK = 10_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -186,11 +188,30 @@ def overlaps(sets: list[np.ndarray]):
 def join_region(sets: list[np.ndarray], done: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     """Linked pairs that, with those implied between ``done`` members, give the components of a region.
 
-    ``done`` marks members known to be linked with one another."""
+    ``done`` marks members known to be linked with one another. Of the pairs found only those that join two components are
+    returned, so there are fewer than members."""
     sizes = np.array([len(s) for s in sets])
     found: list[tuple[int, int]] = []
     eps = 1 - num / den + 1e-6
 
+    root = list(range(len(sets)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    def link(i: int, j: int) -> None:
+        a, b = find(i), find(j)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            found.append((i, j))
+
+    same = np.flatnonzero(done).tolist()
+    for i in same[1:]:
+        root[i] = same[0]
+
     def linked(inter, a, b):
         return den * inter >= num * (a + b - inter)
 
@@ -205,7 +226,8 @@ def join_region(sets: list[np.ndarray], done: np.ndarray, num: int, den: int) ->
             hit = own[np.minimum(np.searchsorted(own, items), len(own) - 1)] == items
             inter = np.bincount(np.repeat(np.arange(len(rest)), sizes[rest]), weights=hit, minlength=len(rest))
             close = linked(inter, sizes[rest], len(own))
-            found.extend((pivot, int(i)) for i in rest[close])
+            for i in rest[close].tolist():
+                link(pivot, i)
             d = 1 - inter / (sizes[rest] + len(own) - inter)
             ring = (d / eps).astype(int)
             if np.bincount(ring).max() <= 0.7 * len(rest) or close.mean() > 0.3:
@@ -218,13 +240,11 @@ def join_region(sets: list[np.ndarray], done: np.ndarray, num: int, den: int) ->
                     recurse(rest[here], both, depth + 1)
                 return
             idx, known = rest, state
-        pairs_known = dict(zip(idx.tolist(), known.tolist()))
         list_idx = idx.tolist()
         for i, others, inter in overlaps([sets[j] for j in list_idx]):
             ok = linked(inter, sizes[list_idx[i]], sizes[idx[others]])
             for j in others[ok].tolist():
-                if not (pairs_known[list_idx[i]] and pairs_known[list_idx[j]]):
-                    found.append((list_idx[i], list_idx[j]))
+                link(list_idx[i], list_idx[j])
 
     recurse(np.arange(len(sets)), done.copy(), 0)
     return found
@@ -238,22 +258,22 @@ def _join_rings(ring: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     return pd.DataFrame({"a": keys[[i for i, _ in pairs]] if pairs else np.zeros(0, np.int64), "b": keys[[j for _, j in pairs]] if pairs else np.zeros(0, np.int64)})
 
 
-def _links(docs: DataFrame, sketches: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _links(docs: DataFrame, sketches: DataFrame, classes: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame:
     """Edges (a, b) between classes that give all components of the linked classes."""
     alone = sketches.select("key", F.explode("counted").alias("h")).groupBy("h").agg(F.min("key").alias("key"), F.max("key").alias("other")).where("key = other")
     alone = alone.groupBy("key").agg(F.count("*").alias("alone"))
     size = F.col("n") - F.ceil(F.lit(num) * F.col("n") / den) + 1
     wanted = classes.join(alone, "key", "left").withColumn("more", (size - F.coalesce("alone", F.lit(0))).cast("int")).where("more > 0")
-    wanted = materialize(wanted.select("key", "doc_id", "more"), "open-classes")
+    wanted = materialize(wanted.select("key", "doc_id", "more"), "open-classes", parts)
     sets = _sets(docs, wanted, k, num, den, _frequent(docs, k))
     long = F.when(F.size("prefix") > F.col("size"), F.col("prefix")).otherwise(F.slice("prefix", F.lit(1), F.col("more")))
     size = F.size("items") - F.ceil(F.lit(num) * F.size("items") / den) + 1
     prefixes = sets.select("key", "prefix", size.alias("size")).join(wanted.select("key", "more"), "key").select("key", F.explode(long).alias("h")).distinct()
-    tokens = materialize(prefixes, "prefixes")
-    pivots = materialize(tokens.groupBy("h").agg(F.min("key").alias("pivot"), F.count("*").alias("n")).where(F.col("n") > 1).select("h", "pivot"), "pivots")
-    members = materialize(tokens.join(pivots, "h").where(F.col("key") != F.col("pivot")).select("key", "pivot").distinct(), "members")
+    tokens = materialize(prefixes, "prefixes", parts)
+    pivots = materialize(tokens.groupBy("h").agg(F.min("key").alias("pivot"), F.count("*").alias("n")).where(F.col("n") > 1).select("h", "pivot"), "pivots", parts)
+    members = materialize(tokens.join(pivots, "h").where(F.col("key") != F.col("pivot")).select("key", "pivot").distinct(), "members", parts)
     named = members.select("key").unionByName(members.select(F.col("pivot").alias("key"))).distinct()
-    items = materialize(sets.select("key", "items").join(materialize(named, "named"), "key", "left_semi").groupBy("key").agg(F.first("items").alias("items")), "items")
+    items = materialize(sets.select("key", "items").join(materialize(named, "named", parts), "key", "left_semi").groupBy("key").agg(F.first("items").alias("items")), "items")
     center = items.select(F.col("key").alias("pivot"), F.col("items").alias("center"))
     inter = F.size(F.array_intersect("items", "center"))
     near = members.join(items, "key").join(center, "pivot").select("pivot", "key", inter.alias("i"), (F.size("items") + F.size("center")).alias("both"))
@@ -261,16 +281,16 @@ def _links(docs: DataFrame, sketches: DataFrame, classes: DataFrame, k: int, num
     near = materialize(near.select("pivot", "key", (1 - F.col("i") / F.col("u")).alias("d"), (den * F.col("i") >= num * F.col("u")).alias("absorbed")), "distances")
     star = near.where("absorbed").select(F.col("key").alias("a"), F.col("pivot").alias("b"))
     eps = 1 - num / den + 1e-6
-    region = materialize(near.groupBy("pivot").agg(F.min(F.when(~F.col("absorbed"), F.col("d"))).alias("least"), F.count("*").alias("n")).where(F.col("least").isNotNull() & (F.col("n") > 1)).select("pivot", "least"), "regions")
+    region = materialize(near.groupBy("pivot").agg(F.min(F.when(~F.col("absorbed"), F.col("d"))).alias("least"), F.count("*").alias("n")).where(F.col("least").isNotNull() & (F.col("n") > 1)).select("pivot", "least"), "regions", parts)
     left = near.join(region, "pivot").where(F.col("d") >= F.col("least") - eps)
     ring = F.floor(F.col("d") / eps)
-    left = materialize(left.select("pivot", "key", "absorbed", F.explode(F.array(ring, ring + 1)).alias("ring")), "rings")
+    left = materialize(left.select("pivot", "key", "absorbed", F.explode(F.array(ring, ring + 1)).alias("ring")), "rings", parts)
     kept = left.groupBy("pivot", "ring").agg(F.count("*").alias("n"), F.count(F.when(~F.col("absorbed"), 1)).alias("open")).where((F.col("n") > 1) & (F.col("open") > 0))
-    kept = materialize(kept.select("pivot", "ring", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "kept-rings")
+    kept = materialize(kept.select("pivot", "ring", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "kept-rings", parts)
     cells = left.join(kept, ["pivot", "ring"]).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("pivot", "ring", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "key", "absorbed").join(items, "key")
     found = cells.groupBy("pivot", "ring", "lo", "hi").applyInPandas(lambda pdf: _join_rings(pdf, num, den), "a long, b long")
-    return materialize(star.unionByName(found).distinct(), "links")
+    return materialize(star.unionByName(found).distinct(), "links", parts)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -280,13 +300,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     rows = _sketches(docs, k, num, den)
     full = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = materialize(full.groupBy("key").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id")), "classes")
-    links = _links(docs, full, classes, k, num, den)
+    parts = 8 + classes.count() // CLASSES_OF_TASK
+    links = _links(docs, full, classes, k, num, den, parts)
     repeated = full.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a != z").select("doc_id", "a")  # ids of several texts
     several = full.select("doc_id", F.col("key").alias("b")).join(repeated, "doc_id").select("a", "b").distinct()
-    roots = materialize(components(links.unionByName(several)), "roots")
+    roots = materialize(components(links.unionByName(several)), "roots", parts)
     labelled = classes.join(roots, classes["key"] == roots["node"], "left").select("key", F.coalesce("root", "key").alias("root"), "doc_id")
-    least = materialize(labelled.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
-    labels = materialize(labelled.join(least, "root").select("key", "component_id"), "labels")
+    least = materialize(labelled.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least", parts)
+    labels = materialize(labelled.join(least, "root").select("key", "component_id"), "labels", parts)
     out = rows.select("doc_id", "n", "key").join(labels, "key", "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
