@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, words_of
+from .common import materialize, release, words_of
 from .graph import components
 
 #: Documents of the sample that tells frequent shingles, and most of those shingles. Both only shape the order of shingles.
@@ -265,6 +265,7 @@ def _links(docs: DataFrame, sketches: DataFrame, classes: DataFrame, k: int, num
     size = F.col("n") - F.ceil(F.lit(num) * F.col("n") / den) + 1
     wanted = classes.join(alone, "key", "left").withColumn("more", (size - F.coalesce("alone", F.lit(0))).cast("int")).where("more > 0")
     wanted = materialize(wanted.select("key", "doc_id", "more"), "open-classes", parts)
+    release(docs.sparkSession)
     sets = _sets(docs, wanted, k, num, den, _frequent(docs, k))
     long = F.when(F.size("prefix") > F.col("size"), F.col("prefix")).otherwise(F.slice("prefix", F.lit(1), F.col("more")))
     size = F.size("items") - F.ceil(F.lit(num) * F.size("items") / den) + 1
@@ -274,11 +275,13 @@ def _links(docs: DataFrame, sketches: DataFrame, classes: DataFrame, k: int, num
     members = materialize(tokens.join(pivots, "h").where(F.col("key") != F.col("pivot")).select("key", "pivot").distinct(), "members", parts)
     named = members.select("key").unionByName(members.select(F.col("pivot").alias("key"))).distinct()
     items = materialize(sets.select("key", "items").join(materialize(named, "named", parts), "key", "left_semi").groupBy("key").agg(F.first("items").alias("items")), "items")
+    release(docs.sparkSession)
     center = items.select(F.col("key").alias("pivot"), F.col("items").alias("center"))
     inter = F.size(F.array_intersect("items", "center"))
     near = members.join(items, "key").join(center, "pivot").select("pivot", "key", inter.alias("i"), (F.size("items") + F.size("center")).alias("both"))
     near = near.select("pivot", "key", "i", (F.col("both") - F.col("i")).alias("u"))
     near = materialize(near.select("pivot", "key", (1 - F.col("i") / F.col("u")).alias("d"), (den * F.col("i") >= num * F.col("u")).alias("absorbed")), "distances")
+    release(docs.sparkSession)
     star = near.where("absorbed").select(F.col("key").alias("a"), F.col("pivot").alias("b"))
     eps = 1 - num / den + 1e-6
     region = materialize(near.groupBy("pivot").agg(F.min(F.when(~F.col("absorbed"), F.col("d"))).alias("least"), F.count("*").alias("n")).where(F.col("least").isNotNull() & (F.col("n") > 1)).select("pivot", "least"), "regions", parts)
