@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -67,17 +67,28 @@ def quota_sample(rows: DataFrame, quotas: dict[str, int], order: Column, key: st
 
 
 def arithmetic_draws(spark: SparkSession, reps: int, slots: int, papers: int, step: int = 7919, jump: int = 104729, start: int = 13) -> DataFrame:
-    """(rep, slot, place): a draw with replacement that any engine repeats: place = (rep*step + slot*jump + start) % papers."""
+    """(rep, slot, place): place = (rep*step + slot*jump + start) % papers. A walk, not a draw: up to ``papers`` slots repeat no place."""
     d = spark.range(reps).select(F.col("id").alias("rep")).crossJoin(spark.range(slots).select(F.col("id").alias("slot")))
     return d.select("rep", "slot", F.pmod(F.col("rep") * step + F.col("slot") * jump + start, F.lit(papers)).alias("place"))
 
 
-def bootstrap_by_join(vectors: DataFrame, reps: int) -> DataFrame:
+def hashed_place(papers: Column, *key: Column | str) -> Column:
+    """A place below ``papers`` that any engine with md5 repeats: the first 60 bits of the key's md5, modulo ``papers``."""
+    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("-", *key).cast("binary")), 1, 15), 16, 10).cast("long"), papers)
+
+
+def hashed_draws(spark: SparkSession, reps: int, slots: int, papers: int) -> DataFrame:
+    """(rep, slot, place): a draw with replacement, each slot of each replicate on its own."""
+    d = spark.range(slots).select(F.col("id").alias("slot")).crossJoin(spark.range(reps).select(F.col("id").alias("rep")))
+    return d.select("rep", "slot", hashed_place(F.lit(papers), "rep", "slot").alias("place"))
+
+
+def bootstrap_by_join(vectors: DataFrame, reps: int, draws: Callable[[SparkSession, int, int, int], DataFrame] = hashed_draws) -> DataFrame:
     """rep, combo, tp, ext, gt of resampled papers, by a join with multiplicities; papers are numbered in id order."""
     ids = vectors.select("paper_id").distinct()
     n = ids.count()
     places = ids.withColumn("place", F.row_number().over(W.orderBy("paper_id")) - 1)
-    mult = arithmetic_draws(vectors.sparkSession, reps, n, max(n, 1)).groupBy("rep", "place").agg(F.count("*").alias("m"))
+    mult = draws(vectors.sparkSession, reps, n, max(n, 1)).groupBy("rep", "place").agg(F.count("*").alias("m"))
     numbered = vectors.join(F.broadcast(places) if n < 100_000 else places, "paper_id")
     return numbered.join(mult, "place").groupBy("rep", "combo").agg(*(F.sum(F.col(c) * F.col("m")).alias(c) for c in ("gt", "tp", "ext")))
 

@@ -405,6 +405,17 @@ _Q = ", ".join(f"round(quantile_cont({e}, {q}), 6) AS {c}_{n}" for c, e in (("p"
 
 @query(f"SELECT combo, {_Q} FROM {_BOOT} GROUP BY combo")
 def bootstrap_ci(spark, d):
+    """The walk that the SQL prescribes repeats no paper, so low = high; bootstrap_ci_drawn resamples."""
+    return R.intervals(R.bootstrap_by_join(_combo_vectors(spark, d)[1], _REPS, R.arithmetic_draws))
+
+
+_DRAWN = "('0x' || substr(md5({key}), 1, 15))::BIGINT % {n}"
+_MULT_DRAWN = f"(SELECT rep, place, count(*) AS m FROM (SELECT rep, {_DRAWN.format(key="concat_ws('-', rep, slot)", n='p')} AS place FROM range(0, {_REPS}) r(rep), (SELECT count(DISTINCT paper_id) AS p FROM {VECTORS}), LATERAL (SELECT unnest(range(0, p)) AS slot)) GROUP BY rep, place)"
+_BOOT_DRAWN = f"(SELECT rep, combo, sum(gt * m)::BIGINT AS gt, sum(tp * m)::BIGINT AS tp, sum(ext * m)::BIGINT AS ext FROM {VECTORS} JOIN (SELECT paper_id, row_number() OVER (ORDER BY paper_id) - 1 AS place FROM (SELECT DISTINCT paper_id FROM {VECTORS})) USING (paper_id) JOIN {_MULT_DRAWN} USING (place) GROUP BY rep, combo)"
+
+
+@query(f"SELECT combo, {_Q} FROM {_BOOT_DRAWN} GROUP BY combo")
+def bootstrap_ci_drawn(spark, d):
     return R.intervals(R.bootstrap_by_join(_combo_vectors(spark, d)[1], _REPS))
 
 

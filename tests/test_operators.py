@@ -92,6 +92,19 @@ def test_coverage_is_monotone_and_point_inside_interval(spark, sf):
     assert all(ci[k]["r_low"] - 1e-9 <= got[k]["recall"] <= ci[k]["r_high"] + 1e-9 for k in got)
 
 
+def test_bootstrap_by_join_draws_with_replacement(spark, sf):
+    from pyspark.sql import functions as F
+
+    from linkweir.plans import catalog
+
+    m = R.hashed_draws(spark, 40, 1000, 1000).groupBy("rep", "place").count().toPandas()
+    assert (m.groupby("rep")["count"].sum() == 1000).all() and (m.groupby("rep")["count"].max() > 2).all()
+    assert abs(len(m) / 40_000 - 0.632) < 0.01
+    c, v = catalog._combo_vectors(spark, sf)
+    ci = R.intervals(R.bootstrap_by_join(v, 40)).where(F.col("r_low") < F.col("r_high"))
+    assert ci.count() == R.intervals(R.bootstrap_by_blocks(v, 500)).where(F.col("r_low") < F.col("r_high")).count() > 0
+
+
 def test_wilcoxon_without_differences_is_null(spark):
     s = spark.createDataFrame([(p, c, 0.5 + (0.1 * p if c == 4 else 0)) for p in range(1, 6) for c in (1, 2, 4)], "paper_id int, combo int, recall double")
     got = {r["combo"]: r for r in T.wilcoxon(s, 1).collect()}
