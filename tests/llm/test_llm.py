@@ -125,6 +125,18 @@ def test_long_texts_are_read_in_overlapping_pieces(monkeypatch):
     assert set(np.concatenate(list(toxicity.bucket_runs(text))).tolist()) == want[0]
 
 
+def test_clean_texts_of_millions_of_characters_stay_clean(spark):
+    docs, labels = (common.read_table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels, "toxic", 3, 1)
+    held = docs.join(labels, "doc_id").where(common.is_held_out("doc_id", 3, 1) & F.col("text").isNotNull())
+    scored = toxicity.score(held, model, ["doc_id", "toxic"]).join(docs.select("doc_id", "text"), "doc_id").toPandas().sort_values("doc_id")
+    clean, toxic = (scored[(scored.toxic == y) & ((scored.score >= 0.7) == y)].text.tolist() for y in (0, 1))
+    half = " ".join(clean * 3)[:1_000_000]
+    long = [half + " " + " ".join(clean[k:] + clean[:k])[:1_000_000] for k in (0, 200)] + [f"{half} {' '.join(toxic)} {half}"]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string"), model).collect()}
+    assert got[0] < 0.7 and got[1] < 0.7 and got[2] >= 0.7
+
+
 # 3 and 7
 
 
