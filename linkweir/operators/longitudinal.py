@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .resample import arithmetic_draws
+from .resample import arithmetic_draws, hashed_place
 
 
 def common_pool(stages: DataFrame, formats: int = 5) -> DataFrame:
@@ -33,11 +33,15 @@ def wide_totals(stages: DataFrame, formats: int = 5) -> DataFrame:
     return stages.groupBy("year", "paper_id").pivot("format", list(range(1, formats + 1))).agg(F.sum("num_urls")).na.fill(0)
 
 
-def yearly_bootstrap(pool: DataFrame, reps: int, size: int) -> DataFrame:
-    """(year, rep, format, urls): sums over ``size`` papers of a year drawn with replacement, in an arithmetic order."""
+def yearly_bootstrap(pool: DataFrame, reps: int, size: int, walk: bool = False) -> DataFrame:
+    """(year, rep, format, urls): sums over ``size`` papers of a year drawn with replacement.
+
+    ``walk`` takes places in an arithmetic order instead, which repeats none before all are taken."""
     ids = pool.select("year", "paper_id").distinct().withColumn("place", F.row_number().over(W.partitionBy("year").orderBy("paper_id")) - 1).withColumn("n", F.count("*").over(W.partitionBy("year")))
     years = ids.select("year", "n").distinct()
-    draws = years.crossJoin(arithmetic_draws(pool.sparkSession, reps, size, 1 << 30)).select("year", "rep", F.pmod("place", "n").alias("place")).groupBy("year", "rep", "place").agg(F.count("*").alias("m"))
+    slots = years.crossJoin(arithmetic_draws(pool.sparkSession, reps, size, 1 << 30))
+    place = F.pmod("place", "n") if walk else hashed_place(F.col("n"), "year", "rep", "slot")
+    draws = slots.select("year", "rep", place.alias("place")).groupBy("year", "rep", "place").agg(F.count("*").alias("m"))
     sums = pool.groupBy("year", "paper_id", "format").agg(F.sum("num_urls").alias("u")).join(ids.select("year", "paper_id", "place"), ["year", "paper_id"])
     return sums.join(draws, ["year", "place"]).groupBy("year", "rep", "format").agg(F.sum(F.col("u") * F.col("m")).alias("urls"))
 

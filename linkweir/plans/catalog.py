@@ -430,7 +430,16 @@ _YB = f"(SELECT year, rep, format, sum(u * m)::BIGINT AS urls FROM (SELECT year,
 
 @query(f"SELECT year, format, round(avg(urls), 6) AS mean, round(quantile_cont(urls, 0.25), 6) AS q1, round(quantile_cont(urls, 0.5), 6) AS median, round(quantile_cont(urls, 0.75), 6) AS q3 FROM {_YB} GROUP BY year, format")
 def year_bootstrap(spark, d):
-    return L.trend(L.yearly_bootstrap(L.common_pool(load(spark, d, "corpus")), 20, 100))
+    """The small walk that the SQL prescribes; year_bootstrap_drawn is the reference's size, with replacement."""
+    return L.trend(L.yearly_bootstrap(L.common_pool(load(spark, d, "corpus")), 20, 100, walk=True))
+
+
+_YB_DRAWN = f"(SELECT year, rep, format, sum(u * m)::BIGINT AS urls FROM (SELECT year, paper_id, format, sum(num_urls) AS u FROM {_POOL} GROUP BY ALL) JOIN (SELECT year, paper_id, row_number() OVER (PARTITION BY year ORDER BY paper_id) - 1 AS place FROM (SELECT DISTINCT year, paper_id FROM {_POOL})) USING (year, paper_id) JOIN (SELECT year, rep, {_DRAWN.format(key="concat_ws('-', year, rep, slot)", n='n')} AS place, count(*) AS m FROM (SELECT year, count(DISTINCT paper_id) AS n FROM {_POOL} GROUP BY year), range(0, 100) r(rep), range(0, 1000) s(slot) GROUP BY ALL) USING (year, place) GROUP BY year, rep, format)"
+
+
+@query(f"SELECT year, format, round(avg(urls), 6) AS mean, round(quantile_cont(urls, 0.25), 6) AS q1, round(quantile_cont(urls, 0.5), 6) AS median, round(quantile_cont(urls, 0.75), 6) AS q3 FROM {_YB_DRAWN} GROUP BY year, format")
+def year_bootstrap_drawn(spark, d):
+    return L.trend(L.yearly_bootstrap(L.common_pool(load(spark, d, "corpus")), 100, 1000))
 
 
 # Statistics

@@ -105,6 +105,15 @@ def test_bootstrap_by_join_draws_with_replacement(spark, sf):
     assert ci.count() == R.intervals(R.bootstrap_by_blocks(v, 500)).where(F.col("r_low") < F.col("r_high")).count() > 0
 
 
+def test_yearly_bootstrap_draws_with_replacement(spark):
+    from linkweir.operators import longitudinal as L
+
+    pool = spark.range(1000).selectExpr("1993 AS year", "id AS paper_id", "1 AS format", "id AS num_urls")
+    got = [r["urls"] for r in L.yearly_bootstrap(pool, 100, 1000).collect()]
+    assert len(got) == 100 and len(set(got)) > 90
+    assert abs(np.mean(got) - 499_500) < 4 * 9_129 / 10 and 6_500 < np.std(got) < 12_000
+
+
 def test_wilcoxon_without_differences_is_null(spark):
     s = spark.createDataFrame([(p, c, 0.5 + (0.1 * p if c == 4 else 0)) for p in range(1, 6) for c in (1, 2, 4)], "paper_id int, combo int, recall double")
     got = {r["combo"]: r for r in T.wilcoxon(s, 1).collect()}
