@@ -1,7 +1,9 @@
 """Packing into optimal length buckets.
 
 The global histogram of lengths (bins of width 1 up to ``EXACT``, beyond within 1/256 of the length, so their number is
-bounded) goes to the driver, where dynamic programming chooses the bucket boundaries that make the padding least. Documents
+bounded) goes to the driver with each bin's largest length, where dynamic programming chooses among these the bucket
+boundaries that make the padding least (the lengths' sum is the same for all choices). Below ``EXACT`` that is the optimum;
+a best boundary inside a wider bin is missed by at most 1/256 of its length. Documents
 get the least boundary not below their length; inside a bucket, batches hold as many documents as fit the token budget when
 padded to the boundary, and at least one.
 
@@ -67,8 +69,8 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS,
     ``length`` defaults to the words of ``text`` and one end."""
     length = F.size(words_column(F.col("text"))) + 1 if length is None else length
     rows = docs.select("doc_id", F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)).cast("long").alias("n_tokens"))
-    hist = rows.groupBy(bin_edge(F.col("n_tokens")).alias("edge")).count().toPandas().sort_values("edge")
-    edges, counts = hist["edge"].to_numpy(), hist["count"].to_numpy()
+    hist = rows.groupBy(bin_edge(F.col("n_tokens")).alias("edge")).agg(F.count("*").alias("count"), F.max("n_tokens").alias("longest")).toPandas().sort_values("edge")
+    edges, counts = hist["longest"].to_numpy(), hist["count"].to_numpy()
     bounds = best_boundaries(edges, counts, buckets)
     sizes = np.bincount(np.searchsorted(bounds, edges), weights=counts, minlength=max(1, len(bounds))) if bounds else np.zeros(1)
     n = F.col("n_tokens")

@@ -338,6 +338,12 @@ def test_packing(spark, odd):
 # 10
 
 
+def test_packing_boundaries_are_lengths_that_occur(spark):
+    lengths = [10, 2049, 4099, 4099, 70_001]
+    docs = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n long")
+    assert [(r["bucket_len"], r["padding"]) for r in packing.pack(docs, F.col("n")).orderBy("doc_id").collect()] == [(n, 0) for n in lengths]
+
+
 def test_lm_base_and_model(spark):
     texts = [(i, random.Random(i % 40).choice(["", "the cat sat on the mat ", "A dog "]) * (i % 7) + f"w{i % 9}") for i in range(120)] + [(500, None), (None, "the")]
     got = lm_scoring.score_texts(docs_of(spark, texts)).collect()
