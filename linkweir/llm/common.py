@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -20,11 +19,13 @@ _own_dirs: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """URI of a folder that driver and executors share: ``spark.checkpoint.dir`` where it is set.
 
-    Only a session without that setting (tests, one machine) gets a temporary folder.
+    A session on one machine without that setting (tests) gets a temporary folder; on a cluster it is an error.
     """
     app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _own_dirs.setdefault(app, "file://" + tempfile.mkdtemp(prefix="linkweir-"))
     return f"{base.rstrip('/')}/linkweir-{app}"
 
@@ -33,23 +34,26 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str, parts: int | None = None) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors.
+def written(df: DataFrame, tag: str, parts: int | None = None) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet into the shared folder: the table read back, and its path. Cuts the lineage, survives lost executors.
 
     ``parts`` is the most tasks and files of tables whose size the caller knows to be small for each task."""
     path = fresh_path(df.sparkSession, tag)
     (df.coalesce(parts) if parts else df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, tag: str, parts: int | None = None) -> DataFrame:
+    return written(df, tag, parts)[0]
 
 
-def release(spark: SparkSession) -> None:
-    """Ask the driver's JVM to collect its garbage, so that Spark deletes the shuffle files of tables already written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def discard(spark: SparkSession, path: str) -> None:
+    """Put an empty table in the place of a written one that nothing reads any more; Spark deletes its files."""
+    spark.createDataFrame([], "gone int").write.mode("overwrite").parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound the rows of an Arrow batch, so that very long texts do not pile up in a Python worker."""
+    """Bound the rows of an Arrow batch where the session has Spark's default (which bounds its bytes to 64 MB already)."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

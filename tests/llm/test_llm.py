@@ -258,22 +258,59 @@ def brute_components(texts, k, num, den):
     return {i: find(i) for i in sets}
 
 
-def test_jaccard_join_against_brute_force(spark):
-    rng = random.Random(8)
-    vocabulary = [f"w{i}" for i in range(60)]
-    texts = [(0, None), (1, ""), (2, "a b"), (3, "A  b"), (4, "b a"), (5, "w")]
-    passage = rng.choices(vocabulary, k=20)
-    for g in range(12):
-        base = rng.choices(vocabulary, k=rng.choice([8, 30, 90])) + passage * (g % 3 == 0)
+def near_texts(rng, vocabulary, groups, sizes=(8, 30, 90)):
+    passage, texts = rng.choices(vocabulary, k=20), []
+    for g in range(groups):
+        base = rng.choices(vocabulary, k=rng.choice(sizes)) + passage * (g % 3 == 0)
         for _ in range(rng.choice([1, 2, 12, 25])):
             w = list(base)
             for _ in range(rng.randint(0, 4)):
                 w[rng.randrange(len(w))] = rng.choice(vocabulary)
-            texts.append((len(texts), " ".join(w)))
+            texts.append(" ".join(w))
+    return texts
+
+
+def components_of(spark, texts, k, num):
+    return {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(docs_of(spark, texts), k, num, 100).collect()}
+
+
+def test_jaccard_join_against_brute_force(spark):
+    rng = random.Random(8)
+    texts = list(enumerate([None, "", "a b", "A  b", "b a", "w", *near_texts(rng, [f"w{i}" for i in range(60)], 12)]))
     for k, num in ((3, 90), (5, 80), (1, 50)):
-        want = brute_components(texts, k, num, 100)
-        got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(docs_of(spark, texts), k, num, 100).collect()}
-        assert got == want, (k, num)
+        assert components_of(spark, texts, k, num) == brute_components(texts, k, num, 100), (k, num)
+
+
+@pytest.mark.parametrize("num", [34, 50, 67, 80, 100])
+def test_jaccard_join_of_sets_of_one_to_three(spark, num):
+    texts = list(enumerate(f"x{i} y{i}"[: None if j else -len(f" y{i}")] + " z" * (i % 3 == 0 and j > 1) for i in range(30) for j in range(3)))
+    assert components_of(spark, texts, 1, num) == brute_components(texts, 1, num, 100)
+
+
+@pytest.mark.parametrize(("growth", "num"), [(3, 90), (3, 60), (100, 80), (0, 80)])
+def test_regions_parted_by_spark_join_exactly(spark, monkeypatch, growth, num):
+    """Blocks of a few members: neighbourhoods are parted level by level, or joined in pairs of blocks."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 6)
+    monkeypatch.setattr(jaccard_join, "GROWTH", growth)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 4)
+    rng = random.Random(11)
+    texts = list(enumerate(near_texts(rng, [f"w{i}" for i in range(200)], 9, (20, 40, 60))))
+    assert components_of(spark, texts, 2, num) == brute_components(texts, 2, num, 100)
+
+
+def test_odd_sketches_bound_the_difference_and_fold():
+    rng = np.random.default_rng(5)
+    for n in (1, 40, 250, 260, 3000):
+        x = np.unique(rng.integers(-(2**63), 2**63 - 1, n))
+        y = np.concatenate([x[: n - n // 20], rng.integers(-(2**63), 2**63 - 1, n // 15)])
+        a, b = (jaccard_join.odd_sketch(v)[None] for v in (x, y))
+        width = min(a.shape[1], b.shape[1])
+        a, b = jaccard_join.fold(a, width), jaccard_join.fold(b, width)
+        assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(x, y))
+    sets = [np.unique(np.concatenate([np.arange(g * 1000, g * 1000 + 95), rng.integers(10**6, 10**7, rng.integers(0, 30))])) * 0x9E3779B97F4A7C1 for g in range(30) for _ in range(4)]
+    keep = jaccard_join.possible(np.array([len(s) for s in sets]), [jaccard_join.odd_sketch(s).tobytes() for s in sets], 80, 100)
+    near = [any(100 * (n := len(np.intersect1d(a, b))) >= 80 * (len(a) + len(b) - n) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+    assert not (np.array(near) & ~keep).any()
 
 
 def test_join_region_recurses_exactly():
