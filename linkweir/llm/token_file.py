@@ -1,21 +1,23 @@
 """Token-id output: ids concatenated in ascending doc_id order, document boundaries in Elias-Fano form.
 
-A file holds one range of documents::
+A file holds a run of documents, of about ``FILE_BYTES`` of ids at most (or one document)::
 
-    8 bytes   magic b"LWTOK1\\0\\0"
-    8 x int64 n_docs, n_tokens, id bytes (2 or 4), low bits, words of low part, words of high part, select samples, 0
-    int64     doc ids
-    uint64    low parts of the boundaries, packed
-    uint64    high parts, unary: bit (b_i >> low) + i is set for boundary i
-    uint32    position of every 256th set bit of the high part (the select structure)
-    uint16/32 token ids
+    8 bytes    magic b"LWTOK2\\0\\0"
+    12 x int64 n_docs, n_null, n_tokens, id bytes (2 or 4), first doc id, and of boundaries and doc ids each: low bits,
+               words of the low part, words of the high part; last how many select samples the boundaries have
+    uint64     of boundaries, then of doc ids: low parts, packed
+    uint64     high parts, unary: bit (b_i >> low) + i is set for value i
+    uint32     position of every 256th set bit of the high part (the select structure)
+    uint16/32  token ids
 
 Boundary i is where document i starts, so documents and offsets take about 2 + log2(n_tokens / n_docs) bits a document,
-without a table of 64-bit offsets. Select finds boundary i from the nearest sample and popcounts.
+and the doc ids, ascending too, are kept in the same way, as distances from the first. There is no table of 64-bit offsets:
+readers select boundaries i and i + 1, one by one or for a run of documents, from the nearest sample on.
 
-Writing deals the documents out by ranges of doc_id, so every task sorts and writes one file; a task that runs again
-writes a file of another name, and only files in the committed manifest are read. Null ids come first; repeated ids are
-kept next to each other; a null text is empty (its only id is the end id).
+Writing deals the documents out by ranges of (doc_id, hash of the text), so every task sorts its range and writes its files
+one after another; a task that runs again writes files of other names, and only those in the committed manifest are read.
+Ids are integers. Null ids come first; repeated ids are kept next to each other; a null text is empty (its only id is the
+end id).
 """
 
 from __future__ import annotations
@@ -26,32 +28,26 @@ import uuid
 import zlib
 from functools import lru_cache
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_path, materialize
 
-MAGIC = b"LWTOK1\0\0"
+MAGIC = b"LWTOK2\0\0"
 SAMPLE = 256
+#: Bytes of ids after which a task closes a file and opens the next; documents whose boundaries are selected together.
+FILE_BYTES, RUN = 1 << 26, 8192
 #: Chunks that a worker remembers before it starts anew.
 REMEMBERED = 800_000
 _UNSAFE = re.compile(r"\s \s")
 
 
-def _byte_letters() -> dict[int, str]:
-    """Byte-level BPE's letter for each byte: printable Latin-1 stands for itself, the rest for U+0100 and up in order."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
-_BYTE_LETTERS = _byte_letters()
-
-
 class Encoder:
     """Ids of the tokenizers library for byte-level BPE, with a memory of chunks.
 
@@ -72,27 +68,36 @@ class Encoder:
         self.cuts = self.cuts and not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", []))
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.uint16 if self.width == 2 else np.uint32
+        #: Which ids begin with a space: in a text cut before its spaces, those that begin a chunk.
+        self.opens = np.array([(self.tok.id_to_token(i) or "").startswith("\u0120") for i in range(self.tok.get_vocab_size())])
         self.heads: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word_ids(self, chunk: str) -> bytes | None:
-        """Ids of a space and a word of Latin letters, with or without a full stop or comma, straight from the library's
-        BPE model: the split pattern takes the space and the letters as one piece, the mark as another."""
-        end = chunk[-1:] if chunk[-1:] in (".", ",") else ""
-        word = chunk[:-1] if end else chunk
-        if not word.isalpha() or not (word.isascii() or max(word) < "\u0250"):
-            return None
-        bpe = self.tok.model.tokenize("\u0120" + (word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)))
-        return np.array([t.id for t in (bpe + self.tok.model.tokenize(end) if end else bpe)], self.dtype).tobytes()
+    def _joined(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks, each after a space. They are encoded as long texts, whose ids are parted where a space begins one.
+
+        No chunk has a space inside; ends that are other white space would make the next space unsafe."""
+        out: list[bytes] = []
+        groups = [chunks[i : i + 4000] for i in range(0, len(chunks), 4000)]
+        for group, e in zip(groups, self.tok.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, self.dtype)
+            at = (np.flatnonzero(self.opens[ids]) * self.width).tolist()
+            if len(at) != len(group):
+                out += self._whole([" " + c for c in group])
+                continue
+            raw = ids.tobytes()
+            out += [raw[a:z] for a, z in zip(at, [*at[1:], len(raw)])]
+        return out
 
     def _learn(self, memory: dict[str, bytes], chunks: set[str], before: str) -> None:
         fresh = list(chunks.difference(memory))
         if before:
-            memory.update((c, ids) for c in fresh if (ids := self._word_ids(c)) is not None)
-            fresh = [c for c in fresh if c not in memory]
+            plain = [c for c in fresh if c and not c[0].isspace() and not c[-1].isspace()]
+            memory.update(zip(plain, self._joined(plain)))
+            fresh = [c for c in fresh if c not in memory] if len(plain) < len(fresh) else []
         for i in range(0, len(fresh), 5000):
             memory.update(zip(fresh[i : i + 5000], self._whole([before + c for c in fresh[i : i + 5000]])))
 
@@ -140,65 +145,59 @@ def _to_words(bits: np.ndarray) -> np.ndarray:
     return np.frombuffer(packed.tobytes() + bytes(-len(packed) % 8), np.uint64)
 
 
-class Boundaries:
-    """Access to Elias-Fano boundaries: ``select(i)`` is where document i starts."""
-
-    def __init__(self, low: int, lows: np.ndarray, high: np.ndarray, samples: np.ndarray, n: int):
-        self.low, self.lows, self.high, self.samples, self.n = low, lows, high, samples, n
+class EliasFano(NamedTuple):
+    """Ascending values: ``select(i)`` is value i."""
 
-    def _low(self, i: int) -> int:
-        if not self.low:
-            return 0
-        word, shift = divmod(i * self.low, 64)
-        got = int(self.lows[word]) >> shift
-        if shift + self.low > 64:
-            got |= int(self.lows[word + 1]) << (64 - shift)
-        return got & ((1 << self.low) - 1)
+    low: int
+    lows: np.ndarray
+    high: np.ndarray
+    samples: np.ndarray
 
     def select(self, i: int) -> int:
-        place = int(self.samples[i // SAMPLE])
-        left = i % SAMPLE
-        word, bit = divmod(place, 64)
-        x = int(self.high[word]) >> bit << bit
-        while (c := x.bit_count()) <= left:
-            left -= c
-            word += 1
-            x = int(self.high[word])
-        for _ in range(left):
-            x &= x - 1
-        return ((word * 64 + (x & -x).bit_length() - 1 - i) << self.low) | self._low(i)
-
-    def all(self) -> np.ndarray:
-        """All boundaries at once, from the same parts."""
-        at = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))[: self.n]
-        out = (at - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low)
+        return int(self.select_run(i, i + 1)[0])
+
+    def select_run(self, i: int, j: int) -> np.ndarray:
+        """Values i to j - 1, from the words of the parts that hold them: those after the last sample before i."""
+        first = i // SAMPLE * SAMPLE
+        start = int(self.samples[i // SAMPLE])
+        last = -(-j // SAMPLE)
+        stop = int(self.samples[last]) if last < len(self.samples) else len(self.high) * 64
+        word = start // 64
+        bits = np.unpackbits(self.high[word : -(-stop // 64)].view(np.uint8), bitorder="little")
+        at = np.flatnonzero(bits[start - word * 64 :])[i - first : j - first] + start
+        out = (at - np.arange(i, j)) << self.low
         if self.low:
-            bits = np.unpackbits(self.lows.view(np.uint8), bitorder="little")[: self.n * self.low].reshape(self.n, self.low)
-            out |= (bits.astype(np.uint64) << np.arange(self.low, dtype=np.uint64)).sum(1, dtype=np.uint64)
-        return out.astype(np.int64)
+            bit, end = i * self.low, j * self.low
+            bits = np.unpackbits(self.lows[bit // 64 : -(-end // 64)].view(np.uint8), bitorder="little")[bit % 64 :][: end - bit]
+            out |= bits.reshape(j - i, self.low).astype(np.int64) @ (np.int64(1) << np.arange(self.low, dtype=np.int64))
+        return out
 
 
-def dump(stream, doc_ids: np.ndarray, sizes: np.ndarray, ids: list[bytes], width: int) -> None:
-    """Write one file: ``sizes`` tokens of each document, their ids in ``ids``."""
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else np.zeros(0, np.int64)
+def dump(stream, doc_ids: np.ndarray, n_null: int, sizes: np.ndarray, ids: list[bytes], width: int) -> None:
+    """Write one file: ``n_null`` documents without an id, then those of ascending ``doc_ids``; ``sizes`` tokens of each, their ids in ``ids``."""
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    first = int(doc_ids[0]) if len(doc_ids) else 0
+    far = doc_ids.astype(np.uint64) - np.uint64(first % (1 << 64))  # distances are below 2**64 whatever the signs
     total = int(np.sum(sizes))
-    low, lows, high, samples = elias_fano(np.asarray(starts), total)
-    stream.write(MAGIC + struct.pack("<8q", len(sizes), total, width, low, len(lows), len(high), len(samples), 0))
-    for a in (np.asarray(doc_ids, np.int64), lows, high, samples):
-        stream.write(a.tobytes())
+    parts = elias_fano(starts, total), elias_fano(far, int(far[-1]) if len(far) else 0)
+    shape = [x for low, lows, high, _ in parts for x in (low, len(lows), len(high))]
+    stream.write(MAGIC + struct.pack("<12q", len(sizes), n_null, total, width, first, *shape, len(parts[0][3])))
+    for _, lows, high, samples in parts:
+        for a in (lows, high, samples):
+            stream.write(a.tobytes())
     for b in ids:
         stream.write(b)
 
 
 class TokenFile:
-    """A file read back: ``doc_ids``, ``boundaries`` and the tokens of document i."""
+    """A file read back: doc ids, boundaries and the tokens of document i."""
 
     def __init__(self, data: bytes | pa.Buffer):
         view = memoryview(data)
         if bytes(view[:8]) != MAGIC:
             raise ValueError("not a token file")
-        n, self.total, width, low, a, b, c, _ = struct.unpack("<8q", view[8:72])
-        at = 72
+        self.n, self.n_null, self.total, width, self.first, *shape, samples = struct.unpack("<12q", view[8:104])
+        at = 104
 
         def take(count, kind):
             nonlocal at
@@ -206,50 +205,82 @@ class TokenFile:
             at += out.nbytes
             return out
 
-        self.doc_ids = take(n, np.int64)
-        lows, high, samples = take(a, np.uint64), take(b, np.uint64), take(c, np.uint32)
-        self.boundaries = Boundaries(low, lows, high, samples, n)
-        self.ids = take(self.total, np.uint16 if width == 2 else np.uint32)
-
-    def tokens(self, i: int) -> np.ndarray:
-        end = self.boundaries.select(i + 1) if i + 1 < self.boundaries.n else self.total
-        return self.ids[self.boundaries.select(i) : end]
+        def values(low, lows, high, samples):
+            return EliasFano(low, take(lows, np.uint64), take(high, np.uint64), take(samples, np.uint32))
 
+        self.boundaries = values(*shape[:3], samples)
+        self.far = values(*shape[3:], -(-(self.n - self.n_null) // SAMPLE))
+        self.ids = take(self.total, np.uint16 if width == 2 else np.uint32)
 
-NULL_ID = np.iinfo(np.int64).min
+    def bounds(self, i: int, j: int) -> np.ndarray:
+        """Where documents i to j - 1 start, and where the last of them ends."""
+        if j < self.n:
+            return self.boundaries.select_run(i, j + 1)
+        return np.append(self.boundaries.select_run(i, j), self.total)
 
+    def doc_ids(self, i: int, j: int) -> pa.Array:
+        """Ids of documents i to j - 1, null for the first ``n_null``."""
+        a, z = max(0, i - self.n_null), max(0, j - self.n_null)
+        got = (self.far.select_run(a, z).astype(np.uint64) + np.uint64(self.first % (1 << 64))).astype(np.int64) if z > a else np.zeros(0, np.int64)
+        return pa.concat_arrays([pa.nulls(j - i - len(got), pa.int64()), pa.array(got)])
 
-def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, files: int | None = None) -> DataFrame:
-    """Encode and write all documents below ``path``; the committed manifest: file, n_docs, n_tokens, first_id, start."""
+    def tokens(self, i: int) -> np.ndarray:
+        start, end = self.bounds(i, i + 1)
+        return self.ids[start:end]
+
+
+class _Writer:
+    """Files of one task."""
+
+    def __init__(self, path: str, width: int):
+        self.path, self.width = path, width
+        self.doc_ids, self.sizes, self.ids, self.bytes, self.seq = [], [], [], 0, 0
+
+    def add(self, doc_id: int | None, ids: bytes, end: bytes) -> None:
+        self.doc_ids.append(doc_id)
+        self.sizes.append((len(ids) + len(end)) // self.width)
+        self.ids += (ids, end)
+        self.bytes += len(ids) + len(end)
+
+    def close(self) -> pa.RecordBatch:
+        """Write what is held to a new file; its row of the manifest."""
+        where, at = fs.FileSystem.from_uri(self.path)
+        where.create_dir(at, recursive=True)
+        name = f"{uuid.uuid4().hex}.lwtok"
+        n_null = sum(x is None for x in self.doc_ids)
+        with where.open_output_stream(f"{at}/{name}") as out:
+            dump(out, np.array(self.doc_ids[n_null:], np.int64), n_null, np.array(self.sizes), self.ids, self.width)
+        row = {"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "seq": pa.array([self.seq], pa.int32()), "file": [name], "n_docs": [len(self.sizes)], "n_tokens": [int(sum(self.sizes))]}
+        self.doc_ids, self.sizes, self.ids, self.bytes, self.seq = [], [], [], 0, self.seq + 1
+        return pa.RecordBatch.from_pydict(row)
+
+
+def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, parts: int | None = None) -> DataFrame:
+    """Encode and write all documents below ``path``; the committed manifest: file, n_docs, n_tokens and start (tokens of all files before it)."""
     spark = docs.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    given = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    dealt = given.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]  # equal ids, or many null ones, need not be one task's
+    dealt = given.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def run(batches):
         enc = encoder(tokenizer_path)
         end = np.array([end_id], enc.dtype).tobytes()
-        doc_ids, sizes, ids = [], [], []
+        out = _Writer(path, enc.width)
         for b in batches:
-            doc_ids += b.column("doc_id").to_pylist()
-            for got in enc.encode(b.column("text").to_pylist()):
-                sizes.append(len(got) // enc.width + 1)
-                ids += (got, end)
-        if doc_ids:
-            where, at = fs.FileSystem.from_uri(path)
-            where.create_dir(at, recursive=True)
-            name = f"{uuid.uuid4().hex}.lwtok"
-            with where.open_output_stream(f"{at}/{name}") as out:
-                dump(out, np.array(doc_ids), np.array(sizes), ids, enc.width)
-            yield pa.RecordBatch.from_pydict({"file": [name], "n_docs": [len(sizes)], "n_tokens": [int(sum(sizes))], "first_id": [doc_ids[0]]})
-
-    made = materialize(dealt.mapInArrow(run, "file string, n_docs long, n_tokens long, first_id long"), "tokens")
-    rows = sorted(made.collect(), key=lambda r: r["first_id"])  # one row a file
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist())):
+                out.add(doc_id, ids, end)
+                if out.bytes > FILE_BYTES:
+                    yield out.close()
+        if out.sizes:
+            yield out.close()
+
+    made = materialize(dealt.mapInArrow(run, "part int, seq int, file string, n_docs long, n_tokens long"), "tokens")
     start, out = 0, []
-    for r in rows:
-        out.append((f"{path}/{r['file']}", r["n_docs"], r["n_tokens"], r["first_id"], start))
+    for r in made.orderBy("part", "seq").collect():  # one row a file
+        out.append((f"{path}/{r['file']}", r["n_docs"], r["n_tokens"], start))
         start += r["n_tokens"]
-    return spark.createDataFrame(out, "file string, n_docs long, n_tokens long, first_id long, start long")
+    return spark.createDataFrame(out, "file string, n_docs long, n_tokens long, start long")
 
 
 def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -260,16 +291,12 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
             for file, start in zip(b.column("file").to_pylist(), b.column("start").to_pylist()):
                 where, at = fs.FileSystem.from_uri(file)
                 with where.open_input_file(at) as f:
-                    t = TokenFile(f.read())
-                bounds = np.append(t.boundaries.all(), t.total)
-                for i in range(0, t.boundaries.n, 50_000):
-                    part = range(i, min(i + 50_000, t.boundaries.n))
-                    crc = [zlib.crc32(t.ids[bounds[k] : bounds[k + 1]].astype("<u4").tobytes()) for k in part]
-                    ids = t.doc_ids[part.start : part.stop]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids, mask=ids == NULL_ID), pa.array(start + bounds[part.start : part.stop]), pa.array(np.diff(bounds[part.start : part.stop + 1])), pa.array(crc, pa.int64())],
-                        ["doc_id", "start", "n_tokens", "ids_crc32"],
-                    )
+                    t = TokenFile(f.read_buffer())
+                for i in range(0, t.n, RUN):
+                    j = min(i + RUN, t.n)
+                    bounds = t.bounds(i, j)
+                    crc = [zlib.crc32(t.ids[a:z].astype("<u4").tobytes()) for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+                    yield pa.RecordBatch.from_arrays([t.doc_ids(i, j), pa.array(start + bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = max(1, manifest.count())
     return manifest.repartition(n).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -160,12 +160,34 @@ def test_elias_fano_select():
         sizes = rng.integers(0, high, 1500)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         parts = token_file.elias_fano(starts, int(sizes.sum()))
-        b = token_file.Boundaries(*parts, len(sizes))
-        assert (b.all() == starts).all()
-        assert all(b.select(i) == starts[i] for i in range(0, 1500, 7))
+        b = token_file.EliasFano(*parts)
+        assert (b.select_run(0, 1500) == starts).all()
+        assert all(b.select(i) == starts[i] for i in range(1500))
+        for i, j in ((0, 1), (255, 257), (256, 512), (1499, 1500), (300, 1400)):
+            assert (b.select_run(i, j) == starts[i:j]).all()
         assert sum(p.nbytes for p in parts[1:]) * 8 / 1500 < 2 + math.log2(max(2, sizes.sum() / 1500)) + 1.5
 
 
+def test_token_files_of_far_and_repeated_ids(tmp_path):
+    ids = [-(2**63), -(2**63), -5, 0, 0, 7, 2**63 - 1]
+    tokens = [np.arange(n, dtype=np.uint16).tobytes() for n in (3, 0, 2, 4, 1, 0, 9, 5, 6)]
+    with open(tmp_path / "f", "wb") as out:
+        token_file.dump(out, np.array(ids), 2, np.array([len(t) // 2 for t in tokens]), tokens, 2)
+    t = token_file.TokenFile((tmp_path / "f").read_bytes())
+    assert t.doc_ids(0, 9).to_pylist() == [None, None, *ids] and t.doc_ids(1, 4).to_pylist() == [None, *ids[:2]]
+    assert [t.tokens(i).tobytes() for i in range(9)] == tokens
+
+
+def test_token_files_are_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(None if i % 3 else i // 2, f"some words {i}") for i in range(200)], "doc_id long, text string")
+    monkeypatch.setattr(token_file, "FILE_BYTES", 100)
+    manifest = token_file.write(docs, BYTE_BPE, common.fresh_path(spark, "bounded"))
+    assert manifest.count() > 5
+    rows = token_file.read(spark, manifest).orderBy("start").collect()
+    assert len(rows) == 200 and [r["doc_id"] for r in rows] == sorted((r["doc_id"] for r in rows), key=lambda x: (x is not None, x or 0))
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(rows, rows[1:]))
+
+
 def test_counts_and_ids_equal_the_libraries():
     import sentencepiece
     from tokenizers import Tokenizer
