@@ -1,20 +1,19 @@
 """Language-model scores by context-tree weighting over bytes.
 
-A text is its words (A-Z lower-cased) and one end. The model codes the words byte by byte, each followed by a space, the
-end as a space alone. A byte is decomposed into eight binary decisions; the context of each is the decisions before it in
-the byte and up to ``DEPTH`` bytes before it in the word (spaces stand before a word's first byte). Every node of the
-context tree has a Krichevsky-Trofimov estimate of its counts, and a node's probability mixes its own estimate with its
+A text is its words (A-Z lower-cased), each followed by a space, and one end, a space alone. A byte is decomposed into eight
+binary decisions; the context of each is the decisions before it in the byte and the bytes before it in the running text: the
+first ``CROSS`` bytes of a word (its space among them) see ``CROSS + 1`` bytes, back into the words before (at the start of a
+text, spaces); later bytes see the word's own bytes and the space before it, ``DEPTH`` bytes at most. Every node of the
+context tree has a Krichevsky-Trofimov estimate of its counts, and its probability mixes its own estimate with its
 children's product, half and half, over all depths, so the trained tree predicts with the weights that the whole training
-corpus gives to each depth. Where a context was never seen in training, the deepest context seen on its path decides.
+corpus gives to each depth. A node without counts predicts 1/2.
 
-As contexts do not cross words, a text's code length is a sum over its distinct words, and both the tree and the unigram
-base need only the corpus's word counts:
-
-1. count words (per task, then by word); held-out words take part with count 0;
-2. events (context, byte) with counts, from the distinct words;
+1. count words (per task, then by word), for the base and for the bytes after the first ``CROSS`` of each word; count the
+   windows around word starts in the running text (per task, then by event); held-out texts take part with count 0;
+2. events (context, byte) with counts, from both;
 3. nodes of depth 2 and more, in groups by the context's last two bytes, of which a task holds some at a time;
    depths 0 and 1 on the driver, from at most 2**16 sums;
-4. log10 of each event, then of each word, then of each document.
+4. log10 of each event, then of each word's later bytes, then of each document.
 
 Look-ups use a head and a tail: the most frequent entries, of a fixed number, are sent to all tasks; the rest are joined,
 so nothing that grows with the corpus is broadcast and nothing is left out.
@@ -27,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +37,16 @@ from pyspark.sql import functions as F
 from .common import is_held_out, materialize, words_of
 
 DEPTH = 6
+#: Bytes at the start of a word whose context runs back over the words before it.
+CROSS = 3
 #: Most entries of the heads that are sent to all tasks.
 HEAD_EVENTS, HEAD_WORDS = 1 << 19, 1 << 17
 FLUSH = 400_000
 #: Events of which a task builds nodes at a time, besides the rest of the last group.
 CHUNK = 100_000
+#: Characters of texts whose words are held at a time.
+PIECE = 1 << 22
+START = 1 << 56
 _PAD = b" " * DEPTH
 
 
@@ -66,19 +71,64 @@ def kt_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def events_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (context bytes, then the byte: 56 bits) of all events of the words, and the words' numbers."""
-    sizes = np.array([len(w) for w in words])
+    """Keys (context bytes, then the byte: 56 bits) of the events after the first CROSS bytes of each word, and the words' numbers."""
+    sizes = np.array([len(w) for w in words], np.int64)
     data = np.frombuffer(_PAD + (b" " + _PAD).join(words) + b" ", np.uint8).astype(np.int64)
-    ends = np.cumsum(sizes + 1 + DEPTH)  # of each word's terminator, DEPTH less the pad of the first
-    owner = np.repeat(np.arange(len(words)), sizes + 1)
-    first = ends - sizes - 1
-    at = np.arange(len(owner)) - np.repeat(np.cumsum(sizes + 1) - (sizes + 1), sizes + 1) + first[owner]
+    first = np.cumsum(sizes + 1 + DEPTH) - sizes - 1  # of each word's first byte
+    later = np.maximum(sizes + 1 - CROSS, 0)
+    owner = np.repeat(np.arange(len(words)), later)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(later) - later, later) + first[owner] + CROSS
     key = data[at].copy()
     for k in range(1, DEPTH + 1):
         key |= data[at - k] << (8 * k)
     return key, owner
 
 
+def starts_of(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of every word of the texts (lists of words): the window around its start, and the text's number.
+
+    A window holds min(word's length, 2), the three bytes before the space before the word, and its first three bytes (0 where
+    there is none): 2 + 48 bits."""
+    n = np.array([len(t) for t in texts], np.int64)
+    owner = np.repeat(np.arange(len(texts)), n)
+    sizes = np.fromiter(map(len, chain.from_iterable(texts)), np.int64, len(owner))
+    data = np.frombuffer(b"".join(x for t in texts for x in (_PAD, b" ".join(t), b" ")) + _PAD, np.uint8).astype(np.int64)
+    at = np.cumsum(sizes + 1) - sizes - 1 + DEPTH * (owner + 1)
+    out = np.minimum(sizes, 2)
+    for k in (-4, -3, -2, 0, 1, 2):
+        out = (out << 8) | (data[at + k] if k <= 0 else np.where(sizes >= k, data[at + k], 0))
+    return out, owner
+
+
+def events_of_starts(windows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Keys of the events of the first, second and third byte of words, from windows around word starts, and the windows' numbers.
+
+    ``START`` marks the keys; the two last places of the context are empty."""
+    size = windows >> 48
+    t3, t2, t1, b0, b1, b2 = ((windows >> k) & 255 for k in (40, 32, 24, 16, 8, 0))
+    space = np.full(len(windows), 32)
+    out = []
+    for k, path in enumerate(((b0, space, t1, t2, t3), (b1, b0, space, t1, t2), (b2, b1, b0, space, t1))):
+        which = np.flatnonzero(size >= k)
+        out.append((START | sum(x << (8 * j) for j, x in enumerate(path))[which], which))
+    return out
+
+
+def pieces_of(texts: list[str | None]):
+    """Words and end of the texts, in runs of about PIECE characters: number of the first text, list of lists."""
+    first, held, size = 0, [], 0
+    for i, text in enumerate(texts):
+        got = words_of(text)
+        got.append(b"")
+        held.append(got)
+        size += len(text or "")
+        if size > PIECE:
+            yield first, held
+            first, held, size = i + 1, [], 0
+    if held:
+        yield first, held
+
+
 def _sum_by(keys: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     u, inv = np.unique(keys, return_inverse=True)
     return u, np.bincount(inv, weights=c, minlength=len(u))
@@ -99,8 +149,8 @@ class Subtree:
         ones = np.bincount(self.of_event, weights=c * bit.ravel(), minlength=len(u))
         zeros = np.bincount(self.of_event, weights=c, minlength=len(u)) - ones
         log_w = kt_block(zeros, ones)
-        #: By depth, deepest first: ones' estimate, own weight, count, place of each node's parent.
-        self.nodes = [((ones + 0.5) / (zeros + ones + 1), np.ones(len(u)), zeros + ones, None)]
+        #: By depth, deepest first: ones' estimate, own weight.
+        self.nodes = [((ones + 0.5) / (zeros + ones + 1), np.ones(len(u)))]
         self.parents = []
         for depth in range(DEPTH - 1, 1, -1):
             up = (((u >> 8) & ((1 << (8 * depth)) - 1)) << 8) | (u & 255)
@@ -109,23 +159,20 @@ class Subtree:
             zeros, ones, kids = (np.bincount(inv, weights=x, minlength=len(u)) for x in (zeros, ones, log_w))
             own = kt_block(zeros, ones)
             log_w = np.logaddexp(own, kids) - math.log(2)
-            self.nodes.append(((ones + 0.5) / (zeros + ones + 1), 1 / (1 + np.exp(np.clip(kids - own, -700, 700))), zeros + ones, None))
+            self.nodes.append(((ones + 0.5) / (zeros + ones + 1), 1 / (1 + np.exp(np.clip(kids - own, -700, 700)))))
         self.top = (u, zeros, ones, log_w)
 
     def log10(self, upper: Upper) -> np.ndarray:
         """log10 of the probability of each event's byte."""
         at = self.of_event
-        kt, _, n, _ = self.nodes[0]
-        p, seen = kt[at], n[at] > 0
-        for (kt, w, n, _), parent in zip(self.nodes[1:], self.parents):
+        p = self.nodes[0][0][at]
+        for (kt, w), parent in zip(self.nodes[1:], self.parents):
             at = parent[at]
-            p = np.where(seen, w[at] * kt[at] + (1 - w[at]) * p, kt[at])
-            seen = n[at] > 0
+            p = w[at] * kt[at] + (1 - w[at]) * p
         heap = self.heap.ravel()
         last = np.broadcast_to(self.ctx & 255, self.heap.shape).ravel()
-        for kt, w, n, place in ((upper.kt1, upper.w1, upper.n1, last * 256 + heap), (upper.kt0, upper.w0, upper.n0, heap)):
-            p = np.where(seen, w[place] * kt[place] + (1 - w[place]) * p, kt[place])
-            seen = n[place] > 0
+        for kt, w, place in ((upper.kt1, upper.w1, last * 256 + heap), (upper.kt0, upper.w0, heap)):
+            p = w[place] * kt[place] + (1 - w[place]) * p
         return np.log10(np.where(self.bit.ravel() == 1, p, 1 - p)).reshape(self.bit.shape).sum(0)
 
 
@@ -136,10 +183,10 @@ class Upper:
         def level(place, size, zeros, ones, kids):
             z, o, k = (np.bincount(place, weights=x, minlength=size) for x in (zeros, ones, kids))
             own = kt_block(z, o)
-            return z, o, (o + 0.5) / (z + o + 1), 1 / (1 + np.exp(np.clip(k - own, -700, 700))), z + o, np.logaddexp(own, k) - math.log(2)
+            return z, o, (o + 0.5) / (z + o + 1), 1 / (1 + np.exp(np.clip(k - own, -700, 700))), np.logaddexp(own, k) - math.log(2)
 
-        z, o, self.kt1, self.w1, self.n1, kids = level(node, 1 << 16, zeros, ones, log_w)
-        _, _, self.kt0, self.w0, self.n0, _ = level(np.arange(1 << 16) & 255, 256, z, o, kids)
+        z, o, self.kt1, self.w1, kids = level(node, 1 << 16, zeros, ones, log_w)
+        _, _, self.kt0, self.w0, _ = level(np.arange(1 << 16) & 255, 256, z, o, kids)
 
 
 def _columns(batches, *names) -> list[np.ndarray]:
@@ -190,6 +237,33 @@ def _count_events(batches):
     yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], ["key", "c"])
 
 
+def _count_starts(batches):
+    """Events of the first bytes of words, from the running texts; those of held-out texts with count 0."""
+    keys, counts = np.zeros(0, np.int64), np.zeros(0)
+
+    def out():
+        kinds = events_of_starts(keys)
+        event, c = _sum_by(np.concatenate([k for k, _ in kinds]), np.concatenate([counts[which] for _, which in kinds]))
+        return pa.RecordBatch.from_arrays([pa.array(event), pa.array(c.astype(np.int64))], ["key", "c"])
+
+    for b in batches:
+        held = b.column("held").to_numpy(zero_copy_only=False)
+        for first, texts in pieces_of(b.column("text").to_pylist()):
+            k, owner = starts_of(texts)
+            c = (~held[first : first + len(texts)].astype(bool)).astype(float)[owner]
+            keys, counts = _sum_by(np.concatenate([keys, k]), np.concatenate([counts, c]))
+            if len(keys) > 4 * FLUSH:
+                yield out()
+                keys, counts = keys[:0], counts[:0]
+    yield out()
+
+
+def event_counts(docs: DataFrame, words: DataFrame, held: Column) -> DataFrame:
+    """key and c of all events: of the running texts' word starts, and of the later bytes of the words."""
+    starts = docs.select("text", held.alias("held")).mapInArrow(_count_starts, "key long, c long")
+    return starts.unionByName(words.mapInArrow(_count_events, "key long, c long")).groupBy("key").agg(F.sum("c").alias("c"))
+
+
 def _group_chunks(batches):
     """Events in runs of whole groups (by the context's last two bytes) of about ``CHUNK`` events."""
     keys, counts = _columns(batches, "key", "c")
@@ -212,10 +286,11 @@ def _summaries(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node, *sums)], ["node", "zeros", "ones", "log_w"])
 
 
-def event_scores(words: DataFrame) -> DataFrame:
-    """key, c and lp (log10 of the byte in its context) of all events of the words."""
-    events = materialize(words.mapInArrow(_count_events, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "events")
-    groups = events.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)))
+def event_scores(events: DataFrame) -> DataFrame:
+    """key, c and lp (log10 of the byte in its context) of all events (key, c)."""
+    spark = events.sparkSession
+    events = materialize(events, "events")
+    groups = events.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)))
     sums = groups.mapInArrow(_summaries, "node long, zeros double, ones double, log_w double").groupBy("node").agg(*(F.sum(x).alias(x) for x in ("zeros", "ones", "log_w"))).toPandas()
     sums = sums.sort_values("node")
     upper = Upper(*(sums[c].to_numpy() for c in ("node", "zeros", "ones", "log_w")))
@@ -240,8 +315,13 @@ def head(table: DataFrame, size: int, always: Column | None = None):
     return table.where(cond if always is None else cond | always)
 
 
+def of_start() -> Column:
+    """Whether an event is of the first bytes of words."""
+    return F.shiftright("key", 56) == 1
+
+
 def word_scores(words: DataFrame, events: DataFrame) -> DataFrame:
-    """word, c and lp (log10 of the word and its space)."""
+    """word, c and lp (log10 of the word's bytes after the first CROSS, its space among them)."""
     rows = head(events, HEAD_EVENTS).select("key", "lp").toPandas().sort_values("key")
     top, top_lp = rows["key"].to_numpy(np.int64), rows["lp"].to_numpy(float)
 
@@ -264,47 +344,75 @@ def word_scores(words: DataFrame, events: DataFrame) -> DataFrame:
     return materialize(got.where(F.size("tail") == 0).select("word", "c", "lp").unionByName(rest), "word-scores")
 
 
+def _lookup(top: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in the sorted ``top``, and which are there."""
+    place = np.minimum(np.searchsorted(top, keys), max(0, len(top) - 1))
+    return place, top[place] == keys if len(top) else np.zeros(len(keys), bool)
+
+
 def score_texts(docs: DataFrame, mod: int = 10, remainder: int = 0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every document.
 
     Trained on the documents whose crc32(doc_id) mod ``mod`` is not ``remainder``."""
-    words = materialize(word_counts(docs, is_held_out("doc_id", mod, remainder)), "words")
+    held = is_held_out("doc_id", mod, remainder)
+    words = materialize(word_counts(docs, held), "words")
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
-    scores = word_scores(words, event_scores(words))
+    events = event_scores(event_counts(docs, words, held))
+    starts = events.where(of_start())
+    scores = word_scores(words, events.where(~of_start()))
     n, den = total["n"], total["n"] + 0.1 * (total["v"] + 1)
     rows = head(scores, HEAD_WORDS, F.col("word") == F.lit(b"")).toPandas()
     index = {bytes(w): i for i, w in enumerate(rows["word"])}
     count, lp = rows["c"].to_numpy(np.int64), rows["lp"].to_numpy(float)
     known, base = (count > 0).astype(np.int64), np.log10((count + 0.1) / den)
+    rows = head(starts, HEAD_EVENTS).select("key", "lp").toPandas().sort_values("key")
+    top, top_lp = rows["key"].to_numpy(np.int64), rows["lp"].to_numpy(float)
+
+    def starts_lp(texts):
+        """Of each text, the sum over its word starts' events in the head, and the keys of the others with their numbers."""
+        windows, owner = starts_of(texts)
+        u, inv = np.unique(windows, return_inverse=True)
+        sums, rest = np.zeros(len(u)), [[] for _ in texts]
+        for keys, which in events_of_starts(u):
+            place, hit = _lookup(top, keys)
+            sums[which[hit]] += top_lp[place[hit]]
+            missing = np.full(len(u), -1, np.int64)
+            missing[which[~hit]] = keys[~hit]
+            at = np.flatnonzero(missing[inv] >= 0)
+            for i, key in zip(owner[at].tolist(), missing[inv[at]].tolist()):
+                rest[i].append(key)
+        return np.bincount(owner, weights=sums[inv], minlength=len(texts)), rest
 
     def run(batches):
         uid = TaskContext.get().partitionId() << 33
         get = index.get
         for b in batches:
-            out = {k: [] for k in ("uid", "n_tokens", "n_bytes", "n_known", "base", "lp", "tail")}
-            for text in b.column("text").to_pylist():
-                got = words_of(text)
-                got.append(b"")
-                at = np.fromiter((get(w, -1) for w in got), np.int64, len(got))
-                rest = Counter([got[i] for i in np.flatnonzero(at < 0).tolist()])
-                at = at[at >= 0]
-                uid += 1
-                for k, v in zip(out, (uid, len(got), sum(map(len, got)) + len(got), int(known[at].sum()), float(base[at].sum()), float(lp[at].sum()), list(rest.items()))):
-                    out[k].append(v)
-            tail = pa.array(out.pop("tail"), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(v, pa.float64() if k in ("base", "lp") else pa.int64()) for k, v in out.items()), tail], ["doc_id", *out, "tail"])
+            out = {k: [] for k in ("uid", "n_tokens", "n_bytes", "n_known", "base", "lp", "tail", "events")}
+            for _, texts in pieces_of(b.column("text").to_pylist()):
+                for got, start, events in zip(texts, *starts_lp(texts)):
+                    at = np.fromiter((get(w, -1) for w in got), np.int64, len(got))
+                    rest = Counter([got[i] for i in np.flatnonzero(at < 0).tolist()])
+                    at = at[at >= 0]
+                    uid += 1
+                    for k, v in zip(out, (uid, len(got), sum(map(len, got)) + len(got), int(known[at].sum()), float(base[at].sum()), float(lp[at].sum() + start), list(rest.items()), events)):
+                        out[k].append(v)
+            lists = [pa.array(out.pop("tail"), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))), pa.array(out.pop("events"), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(v, pa.float64() if k in ("base", "lp") else pa.int64()) for k, v in out.items()), *lists], ["doc_id", *out, "tail", "events"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    first = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, uid long, n_tokens long, n_bytes long, n_known long, base double, lp double, tail array<struct<word:binary,n:long>>")
+    first = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, uid long, n_tokens long, n_bytes long, n_known long, base double, lp double, tail array<struct<word:binary,n:long>>, events array<long>")
     first = materialize(first, "doc-parts")
     names = ("n_tokens", "n_bytes", "n_known", "base", "lp")
+    zero = F.lit(0).cast("long")
     rest = first.select("uid", "doc_id", F.explode("tail").alias("t")).select("uid", "doc_id", "t.word", "t.n").join(scores, "word")
     rest = rest.select(
-        "uid", "doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_bytes"), F.when(F.col("c") > 0, F.col("n")).otherwise(F.lit(0)).cast("long").alias("n_known"),
+        "uid", "doc_id", zero.alias("n_tokens"), zero.alias("n_bytes"), F.when(F.col("c") > 0, F.col("n")).otherwise(zero).alias("n_known"),
         (F.col("n") * F.log10((F.col("c") + 0.1) / den)).alias("base"), (F.col("n") * F.col("lp")).alias("lp"),
     )
-    sums = first.select("uid", "doc_id", *names).unionByName(rest).groupBy("uid", "doc_id").agg(*(F.sum(x).alias(x) for x in names))
+    more = first.select("uid", "doc_id", F.explode("events").alias("key")).groupBy("uid", "doc_id", "key").agg(F.count("*").alias("m")).join(starts.select("key", "lp"), "key")
+    more = more.select("uid", "doc_id", zero.alias("n_tokens"), zero.alias("n_bytes"), zero.alias("n_known"), F.lit(0.0).alias("base"), (F.col("m") * F.col("lp")).alias("lp"))
+    sums = first.select("uid", "doc_id", *names).unionByName(rest).unionByName(more).groupBy("uid", "doc_id").agg(*(F.sum(x).alias(x) for x in names))
     return sums.select(
-        "doc_id", is_held_out("doc_id", mod, remainder).alias("held_out"), "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"),
+        "doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"),
         F.col("base").alias("base_score"), F.col("lp").alias("score"), (-F.col("lp") / F.col("n_bytes") / math.log10(2)).alias("bits_per_byte"),
     )

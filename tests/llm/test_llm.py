@@ -420,25 +420,76 @@ def test_lm_base_and_model(spark):
     assert len(got) == len(texts) and lm_scoring.score_texts(empty(spark)).count() == 0
 
 
-def test_context_tree_is_a_distribution_and_heads_change_nothing(spark, monkeypatch):
-    """Of every context the 256 bytes' probabilities sum to 1; scores with tiny heads equal those with large ones."""
-    seen = [b"ab", b"abc", b"b", b""] * 3 + [b"xyz"]
-    keys, owner = lm_scoring.events_of(seen)
-    context = int(keys[1]) >> 8
-    every = np.unique(np.concatenate([keys, (context << 8) | np.arange(256)]))
-    counts = np.array([(keys == k).sum() for k in every], float)
-    tree = lm_scoring.Subtree(every, counts)
-    u, zeros, ones, log_w = tree.top
-    node, inv = np.unique(((u >> 8) & 255) * 256 + (u & 255), return_inverse=True)
-    upper = lm_scoring.Upper(node, *(np.bincount(inv, weights=x) for x in (zeros, ones, log_w)))
-    p = 10 ** tree.log10(upper)
-    assert math.isclose(p[(every >> 8) == context].sum(), 1, rel_tol=1e-9)
-    texts = [(i, f"some words {i % 5} and {'more ' * (i % 4)}") for i in range(60)]
-    want = {r["doc_id"]: r["score"] for r in lm_scoring.score_texts(docs_of(spark, texts)).collect()}
-    monkeypatch.setattr(lm_scoring, "HEAD_EVENTS", 3)
-    monkeypatch.setattr(lm_scoring, "HEAD_WORDS", 2)
-    got = {r["doc_id"]: r["score"] for r in lm_scoring.score_texts(docs_of(spark, texts)).collect()}
-    assert all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+def textbook_tree(train, texts):
+    """log10 of each text by context-tree weighting, node by node: dictionaries of counts, block probabilities by recursion."""
+    counts = defaultdict(lambda: [0, 0])
+    children = defaultdict(set)
+
+    def steps(text):
+        run = b" " * 9 + b"".join(w + b" " for w in [*words(text), b""])
+        place = 0
+        for i in range(9, len(run)):
+            depth = 4 if place < 3 else 6
+            context = run[i - depth : i][::-1] if place < 3 else (run[i - place - 1 : i][::-1] + b" " * 6)[:6]
+            for k in range(8):
+                yield context, (run[i] >> (8 - k)) | (1 << k), (run[i] >> (7 - k)) & 1
+            place = 0 if run[i] == 32 else place + 1
+
+    def path(context, heap):
+        return [(context[:d], heap) for d in range(len(context) + 1)]
+
+    for text in train:
+        for context, heap, bit in steps(text):
+            nodes = path(context, heap)
+            for node in nodes:
+                counts[node][bit] += 1
+            for up, down in zip(nodes, nodes[1:]):
+                children[up].add(down)
+
+    def kt(zeros, ones):
+        return math.lgamma(zeros + 0.5) + math.lgamma(ones + 0.5) - math.lgamma(zeros + ones + 1) - math.log(math.pi)
+
+    memory = {}
+
+    def block(node):
+        if node not in memory:
+            own = kt(*counts.get(node, (0, 0)))
+            kids = children.get(node)
+            memory[node] = (own, own, 0.0) if not kids else (float(np.logaddexp(own, k := sum(block(c)[0] for c in kids))) - math.log(2), own, k)
+        return memory[node]
+
+    def predict(nodes):
+        zeros, ones = counts.get(nodes[0], (0, 0))
+        p = (ones + 0.5) / (zeros + ones + 1)
+        if len(nodes) == 1:
+            return p
+        _, own, kids = block(nodes[0])
+        w = 1 / (1 + math.exp(kids - own))
+        return w * p + (1 - w) * predict(nodes[1:])
+
+    out = []
+    for text in texts:
+        total = 0.0
+        for context, heap, bit in steps(text):
+            p = predict(path(context, heap))
+            total += math.log10(p if bit else 1 - p)
+        out.append(total)
+    return out
+
+
+def test_scores_equal_a_textbook_context_tree(spark, monkeypatch):
+    """Contexts across words, unseen contexts and bytes, NUL bytes, held-out texts; heads of a few entries change nothing."""
+    rng = random.Random(12)
+    vocabulary = ["the", "a", "cat", "catalogue", "dog", "do", "naïve", "x", "\0\0\0\0\0\0\0\0q", "sat", "mat"]
+    texts = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(0, 9)))) for i in range(60)] + [(500, None), (None, "the"), (501, "unseen words zzz"), (502, "sat cat the"), (503, "the cat sat")]
+    want = textbook_tree([t for i, t in texts if i is None or zlib.crc32(str(i).encode()) % 10], [t for _, t in texts])
+    for small in (False, True):
+        if small:
+            monkeypatch.setattr(lm_scoring, "HEAD_EVENTS", 3)
+            monkeypatch.setattr(lm_scoring, "HEAD_WORDS", 2)
+        got = {r["doc_id"]: r["score"] for r in lm_scoring.score_texts(docs_of(spark, texts)).collect()}
+        assert all(math.isclose(got[i], w, rel_tol=1e-7) for (i, _), w in zip(texts, want))
+    assert got[502] != got[503]
 
 
 def test_lgamma():
