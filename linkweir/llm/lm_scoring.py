@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -195,7 +195,7 @@ def _columns(batches, *names) -> list[np.ndarray]:
 
 
 def _count_words(batches):
-    known: dict[bytes, int] = {}
+    known: Counter[bytes] = Counter()
 
     def out():
         batch = pa.RecordBatch.from_arrays([pa.array(list(known), pa.binary()), pa.array(list(known.values()), pa.int64())], ["word", "c"])
@@ -210,8 +210,7 @@ def _count_words(batches):
                 for w in set(got):
                     known.setdefault(w, 0)
             else:
-                for w, n in Counter(got).items():
-                    known[w] = known.get(w, 0) + n
+                known.update(got)
             if len(known) > FLUSH:
                 yield out()
     yield out()
@@ -223,39 +222,55 @@ def word_counts(docs: DataFrame, held: Column) -> DataFrame:
     return given.mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+class _Sums:
+    """Counts by key of one task, summed when many have come together."""
+
+    def __init__(self):
+        self.keys, self.counts, self.size = [], [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch | None:
+        """The rows to hand on, if the sums have grown large."""
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.size += len(keys)
+        if self.size > 10 * FLUSH:
+            keys, counts = _sum_by(np.concatenate(self.keys), np.concatenate(self.counts))
+            self.keys, self.counts, self.size = [keys], [counts], len(keys)
+            if self.size > 4 * FLUSH:
+                return self.rows()
+        return None
+
+    def rows(self) -> pa.RecordBatch:
+        keys, counts = _sum_by(np.concatenate([np.zeros(0, np.int64), *self.keys]), np.concatenate([np.zeros(0), *self.counts]))
+        self.keys, self.counts, self.size = [], [], 0
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], ["key", "c"])
+
+
 def _count_events(batches):
-    keys, counts = np.zeros(0, np.int64), np.zeros(0)
+    sums = _Sums()
     for b in batches:
         words = b.column("word").to_pylist()
         if words:
-            k, owner = events_of(words)
-            c = b.column("c").to_numpy().astype(float)[owner]
-            keys, counts = _sum_by(np.concatenate([keys, k]), np.concatenate([counts, c]))
-            if len(keys) > 4 * FLUSH:
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], ["key", "c"])
-                keys, counts = keys[:0], counts[:0]
-    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], ["key", "c"])
+            keys, owner = events_of(words)
+            if rows := sums.add(keys, b.column("c").to_numpy().astype(float)[owner]):
+                yield rows
+    yield sums.rows()
 
 
 def _count_starts(batches):
     """Events of the first bytes of words, from the running texts; those of held-out texts with count 0."""
-    keys, counts = np.zeros(0, np.int64), np.zeros(0)
-
-    def out():
-        kinds = events_of_starts(keys)
-        event, c = _sum_by(np.concatenate([k for k, _ in kinds]), np.concatenate([counts[which] for _, which in kinds]))
-        return pa.RecordBatch.from_arrays([pa.array(event), pa.array(c.astype(np.int64))], ["key", "c"])
-
+    sums = _Sums()
     for b in batches:
-        held = b.column("held").to_numpy(zero_copy_only=False)
+        held = b.column("held").to_numpy(zero_copy_only=False).astype(bool)
         for first, texts in pieces_of(b.column("text").to_pylist()):
-            k, owner = starts_of(texts)
-            c = (~held[first : first + len(texts)].astype(bool)).astype(float)[owner]
-            keys, counts = _sum_by(np.concatenate([keys, k]), np.concatenate([counts, c]))
-            if len(keys) > 4 * FLUSH:
-                yield out()
-                keys, counts = keys[:0], counts[:0]
-    yield out()
+            windows, owner = starts_of(texts)
+            unseen = held[first : first + len(texts)][owner]
+            for part, counted in ((windows[~unseen], 1.0), (windows[unseen], 0.0)):
+                u, n = np.unique(part, return_counts=True)
+                for keys, which in events_of_starts(u):
+                    if rows := sums.add(keys, n[which] * counted):
+                        yield rows
+    yield sums.rows()
 
 
 def event_counts(docs: DataFrame, words: DataFrame, held: Column) -> DataFrame:
@@ -385,19 +400,33 @@ def score_texts(docs: DataFrame, mod: int = 10, remainder: int = 0) -> DataFrame
 
     def run(batches):
         uid = TaskContext.get().partitionId() << 33
-        get = index.get
         for b in batches:
-            out = {k: [] for k in ("uid", "n_tokens", "n_bytes", "n_known", "base", "lp", "tail", "events")}
+            names = ("n_tokens", "n_bytes", "n_known", "base", "lp")
+            out, tails, events = {k: [np.zeros(0)] for k in names}, [], []
             for _, texts in pieces_of(b.column("text").to_pylist()):
-                for got, start, events in zip(texts, *starts_lp(texts)):
-                    at = np.fromiter((get(w, -1) for w in got), np.int64, len(got))
-                    rest = Counter([got[i] for i in np.flatnonzero(at < 0).tolist()])
-                    at = at[at >= 0]
-                    uid += 1
-                    for k, v in zip(out, (uid, len(got), sum(map(len, got)) + len(got), int(known[at].sum()), float(base[at].sum()), float(lp[at].sum() + start), list(rest.items()), events)):
-                        out[k].append(v)
-            lists = [pa.array(out.pop("tail"), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))), pa.array(out.pop("events"), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(v, pa.float64() if k in ("base", "lp") else pa.int64()) for k, v in out.items()), *lists], ["doc_id", *out, "tail", "events"])
+                m = [len(t) for t in texts]
+                flat = list(chain.from_iterable(texts))
+                owner = np.repeat(np.arange(len(texts)), m)
+                at = np.fromiter(map(index.get, flat, repeat(-1)), np.int64, len(flat))
+                sizes = np.fromiter(map(len, flat), np.int64, len(flat))
+                in_head = at >= 0
+                own, at = owner[in_head], at[in_head]
+                rest: list[Counter] = [Counter() for _ in texts]
+                tail = np.flatnonzero(~in_head).tolist()
+                for i, k in zip(owner[tail].tolist(), tail):
+                    rest[i][flat[k]] += 1
+                start, more = starts_lp(texts)
+                values = m, np.bincount(owner, weights=sizes + 1, minlength=len(m)), *(np.bincount(own, weights=v[at], minlength=len(m)) for v in (known, base, lp))
+                for k, v in zip(names, values):
+                    out[k].append(v)
+                out["lp"][-1] = out["lp"][-1] + start
+                tails += [list(c.items()) for c in rest]
+                events += more
+            ids = pa.array(np.arange(uid, uid + b.num_rows))
+            uid += b.num_rows
+            sums = [np.concatenate(v).astype(float if k in ("base", "lp") else np.int64) for k, v in out.items()]
+            lists = [pa.array(tails, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))), pa.array(events, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, *map(pa.array, sums), *lists], ["doc_id", "uid", *names, "tail", "events"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     first = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, uid long, n_tokens long, n_bytes long, n_known long, base double, lp double, tail array<struct<word:binary,n:long>>, events array<long>")
