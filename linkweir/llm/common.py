@@ -84,8 +84,8 @@ def words_column(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, WORD_SPACE_CLASS))
 
 
-def labelled_sample(labels: DataFrame, label: str, mod: int, remainder: int, per_class: int) -> tuple[dict[int, int], dict[int, float]]:
-    """Ids and labels of a bounded sample of the training rows, and the weight of either class.
+def labelled_sample(labels: DataFrame, label: str, mod: int, remainder: int, per_class: int) -> tuple[dict[str, int], dict[int, float]]:
+    """Ids (as text) and labels of a bounded sample of the training rows, and the weight of either class.
 
     At most about ``per_class`` ids of each class, taken by a hash of the id (at random, the same each time). Ids in the
     held-out part, null ids and null labels are left out; an id with several labels has the largest. The weights restore
@@ -95,22 +95,24 @@ def labelled_sample(labels: DataFrame, label: str, mod: int, remainder: int, per
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~is_held_out("doc_id", mod, remainder))
         .groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     )
-    sizes = {int(r["y"] > 0): 0 for r in ()}
-    for r in rows.groupBy((F.col("y") > 0).alias("y")).count().collect():
-        sizes[int(r["y"])] = r["count"]
+    sizes = {int(r["y"]): r["count"] for r in rows.groupBy((F.col("y") > 0).alias("y")).count().collect()}
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
     limit = F.lit(None)
     for y, n in sizes.items():
         limit = F.when((F.col("y") > 0) == bool(y), F.lit(min(1.0, per_class / max(n, 1)))).otherwise(limit)
-    taken = {r["doc_id"]: int(r["y"] > 0) for r in rows.where(share < limit).collect()}
+    taken = {r["doc_id"]: int(r["y"] > 0) for r in rows.where(share < limit).select(F.col("doc_id").cast("string"), "y").collect()}
     got = {y: sum(v == y for v in taken.values()) for y in (0, 1)}
     total = max(1, sum(sizes.values()))
     weights = {y: (sizes.get(y, 0) / total) / (got[y] / max(1, len(taken))) if got[y] else 0.0 for y in (0, 1)}
     return taken, weights
 
 
-def join_sample(docs: DataFrame, taken: dict[int, int]) -> DataFrame:
+def join_sample(docs: DataFrame, taken: dict[str, int]) -> DataFrame:
     """Rows of ``docs`` whose id is in the sample, with its label ``y``; the sample is bounded, so it is broadcast."""
-    spark = docs.sparkSession
-    ids = spark.createDataFrame([(int(k), int(v)) for k, v in taken.items()], "sample_id long, y int")
-    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("sample_id")).select("doc_id", "text", "y")
+    ids = docs.sparkSession.createDataFrame(list(taken.items()), "sample_id string, y int")
+    return docs.select(F.col("doc_id").cast("string").alias("sample_id"), "text").join(F.broadcast(ids), "sample_id")
+
+
+def kept_columns(docs: DataFrame, columns: list[str] | None, made: tuple[str, ...]) -> list[str]:
+    """The columns (default: doc_id) that stay beside those an operator makes; of equal names the operator's stays."""
+    return [c for c in columns or ["doc_id"] if c not in made]

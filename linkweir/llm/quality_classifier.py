@@ -8,7 +8,7 @@ to the mean of its word vectors and the mean of the products of neighbours. The
 fitted on at most ``PER_CLASS`` labelled documents of either class, weighted back to the classes' shares; its temperature
 is chosen on a fifth of that sample that the fit has not seen.
 
-Null and empty texts pool to zeros; a null id stays null; repeated rows are scored alike. Without training rows every
+Null and empty texts pool to zeros; a null id stays null, ids may be of any type; repeated rows are scored alike. Without training rows every
 score is 0.5.
 """
 
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_held_out, join_sample, labelled_sample
+from .common import is_held_out, join_sample, kept_columns, labelled_sample
 
 BUCKETS, DIM, NONZERO, REACH = 1 << 14, 32, 4, 2
 #: Bound of the training sample: documents of either class.
@@ -81,10 +81,8 @@ def _pieces(text: str | None):
     raw = (text or "").encode("utf-8", "surrogatepass")
     i = 0
     while i < len(raw):
-        j = min(len(raw), i + PIECE)
-        if j < len(raw):
-            cut = raw.rfind(b" ", i, j)
-            j = cut if cut > i else j
+        j = raw.find(b" ", i + PIECE)  # no word is cut
+        j = len(raw) if j < 0 else j
         yield word_buckets(np.frombuffer(raw, np.uint8, j - i, i))
         i = j
 
@@ -116,9 +114,9 @@ def _count_contexts(batches):
                 held.append(words)
                 owner.append(np.full(len(words), k))
                 size += len(words)
-                if size > 400_000:
-                    add(np.concatenate(held), np.concatenate(owner))
-                    held, owner, size = [], [], 0
+            if size > 400_000:  # between texts only
+                add(np.concatenate(held), np.concatenate(owner))
+                held, owner, size = [], [], 0
     if size:
         add(np.concatenate(held), np.concatenate(owner))
     salt = TaskContext.get().partitionId() % SALTS
@@ -151,13 +149,13 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 def pool(text: str | None, vectors: np.ndarray) -> np.ndarray:
     """Mean of the word vectors and mean of the products of neighbours, over the whole text."""
-    mean, product, n = np.zeros(DIM), np.zeros(DIM), 0
+    mean, product, n, v = np.zeros(DIM), np.zeros(DIM), 0, vectors[:0]
     for words in _pieces(text):
-        v = vectors[words]
+        v = np.concatenate([v[-1:], vectors[words]])  # with the last word of the piece before
+        product += np.einsum("ij,ij->j", v[1:], v[:-1], dtype=np.float64)
+        v = v[len(v) - len(words) :]
         n += len(words)
         mean += v.sum(0, dtype=np.float64)
-        if len(words) > 1:
-            product += np.einsum("ij,ij->j", v[1:], v[:-1], dtype=np.float64)
     return np.concatenate([mean, product]) / max(n, 1)
 
 
@@ -212,9 +210,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, mod: int, remainder: int
     def pooled(batches):
         for b in batches:
             got = [pool(t, vectors).astype(np.float32).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").cast(pa.int64()), "x": pa.array(got, pa.binary()), "y": b.column("y")})
+            yield pa.RecordBatch.from_pydict({"id": b.column("sample_id"), "x": pa.array(got, pa.binary()), "y": b.column("y")})
 
-    got = sorted(join_sample(docs, taken).mapInArrow(pooled, "doc_id long, x binary, y int").collect(), key=lambda r: (r["doc_id"], r["x"]))
+    got = sorted(join_sample(docs, taken).mapInArrow(pooled, "id string, x binary, y int").collect())
     if not got:
         return vectors, None
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in got]).astype(float)
@@ -224,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, mod: int, remainder: int
 
 def score(docs: DataFrame, model: tuple[np.ndarray, dict | None], columns: list[str] | None = None) -> DataFrame:
     vectors, net = model
-    columns = columns or ["doc_id"]
+    columns = kept_columns(docs, columns, ("score",))
     given = docs.select(*columns, F.col("text").alias("_text"))
 
     def run(batches):

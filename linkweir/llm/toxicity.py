@@ -2,13 +2,14 @@
 
 Character 4- to 6-grams of the lower-cased text (white-space runs as one space, one space at either end) are hashed to 64
 bits and taken as present or absent. From the labelled sample each n-gram has a smoothed log ratio of its share of the toxic
-and of the clean documents; the n-grams whose ratio stands out of chance are the features, with the ratio as their value. A logistic regression over them, fitted by Newton steps in numpy on the driver, gives the score.
+and of the clean documents; the n-grams whose ratio stands out of chance are the features, with the ratio as their value. A
+logistic regression over them, fitted by Adam steps in numpy on the driver with both classes weighing alike, gives the score.
 A text longer than ``WINDOW`` is scored by half-overlapping windows, whose evidence is averaged as a likelihood ratio, so
 that neither collisions nor chance hits grow with the text.
 
-The sample has at most ``PER_CLASS`` documents of either class and is weighted back to the classes' shares. Scoring reads
+The sample has at most ``PER_CLASS`` documents of either class, which bounds the features too. Scoring reads
 every whole text, one Arrow batch at a time. Null and empty texts get the score of a text without features; a null id
-stays null; repeated rows are scored alike; ties in the choice of features are broken by key. Without training
+stays null, ids may be of any type; repeated rows are scored alike. Without training
 rows every score is 0.5.
 """
 
@@ -19,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_held_out, join_sample, labelled_sample, materialize
+from .common import is_held_out, join_sample, kept_columns, labelled_sample, materialize
 
 SIZES = (4, 5, 6)
 #: Bound of the training sample: documents of either class.
 PER_CLASS = 8000
-#: Most features that the linear model weighs, and how far (in standard errors) a log ratio must be from 0.
-MAX_FEATURES, MIN_Z = 4096, 4.5
+#: How far (in standard errors) an n-gram's log ratio must be from 0.
+MIN_Z = 4.5
 PIECE = 1 << 20
 #: Keys that a task counts before it hands them on; bits of a key that the sieve before the look-up reads.
 FLUSH, SIEVE_BITS = 2_000_000, 18
@@ -158,7 +159,7 @@ def fit_linear(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, values
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, mod: int, remainder: int, per_class: int = PER_CLASS) -> tuple[np.ndarray, np.ndarray, float]:
     """Sorted keys of the features, their weights and the intercept. Two passes over the sampled documents: counts, then features."""
-    taken, weights = labelled_sample(labels, label, mod, remainder, per_class)
+    taken, _ = labelled_sample(labels, label, mod, remainder, per_class)
     none = np.zeros(0, np.int64), np.zeros(0)
     if not taken:
         return *none, 0.0
@@ -172,19 +173,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, mod: int, remainder: int
     p, q = F.col("pos") + 1.0, F.col("neg") + 1.0
     rated = counts.where(F.col("key").isNotNull()).withColumn("ratio", F.log(p / (n_pos + 2)) - F.log(q / (n_neg + 2)))
     rated = rated.withColumn("z", F.abs("ratio") / F.sqrt(1 / p + 1 / q)).where(F.col("z") >= MIN_Z)
-    best = rated.orderBy(F.desc("z"), "key").limit(MAX_FEATURES).select("key", "ratio").toPandas().sort_values("key")
+    best = rated.select("key", "ratio").toPandas().sort_values("key")
     keys, values = best["key"].to_numpy(np.int64), best["ratio"].to_numpy(float)
     sieve = sieve_of(keys)
 
     def features(batches):
         for b in batches:
             got = [np.unique(hits(t, keys, sieve)[1]).astype(np.int32).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"x": pa.array(got, pa.binary()), "y": b.column("y")})
+            yield pa.RecordBatch.from_pydict({"id": b.column("sample_id"), "x": pa.array(got, pa.binary()), "y": b.column("y")})
 
-    got = sample.mapInArrow(features, "x binary, y int").collect()
+    got = sorted(sample.mapInArrow(features, "id string, x binary, y int").collect())  # in one order, so that the fit is the same each time
     rows = [np.frombuffer(r["x"], np.int32).astype(np.int64) for r in got]
     y = np.array([r["y"] for r in got], float)
-    beta, bias = fit_linear(rows, y, np.where(y > 0, weights[1], weights[0]), values)
+    beta, bias = fit_linear(rows, y, np.where(y > 0, max(1, (y == 0).sum()) / max(1, (y > 0).sum()), 1.0), values)
     return keys, beta, float(bias)
 
 
@@ -196,7 +197,7 @@ def logits(texts: list, model: tuple[np.ndarray, np.ndarray, float], sieve: np.n
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], columns: list[str] | None = None) -> DataFrame:
     """``columns`` (default: doc_id) of every document with its score."""
     sieve = sieve_of(model[0])
-    columns = columns or ["doc_id"]
+    columns = kept_columns(docs, columns, ("score",))
     given = docs.select(*columns, F.col("text").alias("_text"))
 
     def run(batches):

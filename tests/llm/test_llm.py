@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -119,10 +120,76 @@ def test_classifiers_on_odd_rows(spark, odd, module, label):
 
 
 def test_long_texts_are_read_in_overlapping_pieces(monkeypatch):
-    text = "some toxic words in a long text " * 20
-    want = [set(np.concatenate(list(toxicity.bucket_runs(text))).tolist()), quality_classifier.pool(text, np.eye(1 << 14, 32, dtype=np.float32))]
+    text = "some toxic words in a long text " * 20 + "w" * 300
+    vectors = np.random.default_rng(1).normal(size=(1 << 14, 32)).astype(np.float32)
+    want = [set(np.concatenate(list(toxicity.bucket_runs(text))).tolist()), quality_classifier.pool(text, vectors)]
     monkeypatch.setattr(toxicity, "PIECE", 50)
+    monkeypatch.setattr(quality_classifier, "PIECE", 50)
     assert set(np.concatenate(list(toxicity.bucket_runs(text))).tolist()) == want[0]
+    assert np.allclose(quality_classifier.pool(text, vectors), want[1])
+
+
+def test_toxicity_against_brute_force(spark, monkeypatch):
+    """Counts of documents with each n-gram, ratios, choice of features and scores of a plain version with sets of n-grams."""
+    rng = random.Random(13)
+    texts = [(i, " ".join(rng.choices("lorem ipsum dolor sit amet Élan".split(), k=12)) + " vile rubbish" * (i % 4 == 0)) for i in range(480)]
+    labels = [(i, int(i % 4 == 0)) for i, _ in texts]
+    docs, table = docs_of(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+    def grams(text):
+        flat = " " + " ".join(text.lower().split()) + " "
+        return {flat[i : i + n] for n in toxicity.SIZES for i in range(len(flat) - n + 1)}
+
+    train = [(grams(t), y) for (i, t), (_, y) in zip(texts, labels) if zlib.crc32(str(i).encode()) % 3 != 1]
+    count = {y: Counter(g for s, v in train if v == y for g in s) for y in (0, 1)}
+    n = Counter(y for _, y in train)
+    ratio = {}
+    for g in count[0].keys() | count[1].keys():
+        p, q = count[1][g] + 1, count[0][g] + 1
+        r = math.log(p / (n[1] + 2)) - math.log(q / (n[0] + 2))
+        if abs(r) / math.sqrt(1 / p + 1 / q) >= toxicity.MIN_Z:
+            ratio[g] = r
+    keys, beta, bias = toxicity.fit(docs, table, "toxic", 3, 1)
+    assert ratio and len(keys) == len(ratio)
+    by_key = {int(toxicity._hashes(np.array(list(map(ord, g)), np.uint32))[-1][0]): g for g in ratio}
+    weight = {by_key[k]: b for k, b in zip(keys.tolist(), beta)}
+    assert all((weight[g] > 0) == (ratio[g] > 0) for g in ratio)
+    got = {r["doc_id"]: r for r in toxicity.classify(docs, table).collect()}
+    for i, t in texts:
+        z = bias + sum(weight[g] for g in grams(t) & weight.keys())
+        assert math.isclose(got[i]["score"], 1 / (1 + math.exp(-z)), rel_tol=1e-9) and got[i]["predicted"] == int(got[i]["score"] >= 0.7) == int(i % 4 == 0)
+
+
+def test_word_vectors_and_pooling_against_brute_force(spark):
+    texts = [(i, t) for i, t in enumerate(["one two, three!", "two  two 12 \n one", None, "", "naïve words"])]
+    places, signs = quality_classifier._index_vectors()
+    bucket = lambda w: int(quality_classifier.word_buckets(np.frombuffer(w, np.uint8))[0])
+    lists = [[bucket(w) for w in re.findall(rb"[A-Za-z\x80-\xff]+|[0-9]+|[,]+|[!]+", (t or "").encode())] for _, t in texts]
+    v = np.zeros((1 << 14, quality_classifier.DIM))
+    for ws in lists:
+        for i, j in itertools.permutations(range(len(ws)), 2):
+            if abs(i - j) <= quality_classifier.REACH:
+                np.add.at(v[ws[i]], places[ws[j]], signs[ws[j]])
+    v = np.sign(v) * np.log1p(np.abs(v))
+    used = np.abs(v).sum(1) > 0
+    v[used] -= v[used].mean(0)
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    got = quality_classifier.word_vectors(docs_of(spark, texts))
+    assert np.allclose(got, v, atol=1e-5)
+    for (_, t), ws in zip(texts, lists):
+        want = np.concatenate([sum((v[w] for w in ws), np.zeros(32)), sum((v[a] * v[b] for a, b in zip(ws, ws[1:])), np.zeros(32))]) / max(1, len(ws))
+        assert np.allclose(quality_classifier.pool(t, got), want, atol=1e-5)
+
+
+def test_ids_that_are_text_and_clashing_columns(spark):
+    docs = spark.createDataFrame([("a", "some words here", "x"), ("b", "other words there", "y"), (None, None, "z")], "doc_id string, text string, n_tokens string")
+    labels = spark.createDataFrame([("a", 1, 1), ("b", 0, 0)], "doc_id string, toxic int, quality int")
+    bench = spark.createDataFrame([("q", "some words here"), (None, None)], "item_id string, text string")
+    assert [tuple(r)[:2] for r in decontamination.find_leaks(docs, bench).collect()] == [("a", "q")]
+    for module in (toxicity, quality_classifier):
+        assert {r["doc_id"] for r in module.classify(docs, labels).collect()} == {"a", "b", None}
+    assert token_counts.count_tokens(docs, PIECE_BPE, columns=["doc_id", "n_tokens"]).columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard_join.near_duplicates(docs, 3, 90, 100).collect()} == {("a", "a"), ("b", "b"), (None, None)}
 
 
 def test_clean_texts_of_millions_of_characters_stay_clean(spark):
@@ -544,3 +611,11 @@ def test_stages_on_odd_and_empty_rows(spark, odd, name, stage):
     for rows in (odd[0], empty(spark)):
         out = stage(spark, rows, "/root/testdata/sf0.001")
         assert out.count() <= len(odd[1])
+
+
+def test_near_duplicate_stage_keeps_unlike_texts_of_one_id_and_odd_columns(spark):
+    text = "a b c d e f g h i j k l"
+    rows = [(1, text, "r1"), (1, text, "r1"), (1, "quite another text of more than five words", "r2"), (2, text + " m", "r3"), (None, text, "r4"), (None, None, "r5"), (3, "", "r6")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _n string")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns and sorted(r["_n"] for r in out.collect()) == ["r2", "r4", "r5", "r6"]
