@@ -9,7 +9,7 @@ the budget is missed.
 
 Items come to the tasks in blocks of at most ``BLOCK_CHARS`` characters (so what is sent has a fixed size), one pass of the
 documents for each block. Null, empty and blank items match nothing; null and empty texts hold nothing; null ids are
-reported as null; repeated rows are reported each; of places with the least distance the first end counts.
+reported as null, ids may be of any type; repeated rows are reported each; of places with the least distance the first end counts.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Characters of an item for each edit of its budget.
 BUDGET_STEP = 12
@@ -141,7 +142,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, step: int = BUDGET_STEP, b
     """doc_id, item_id, distance, budget and end of every item that a document holds within the item's budget."""
     doc_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {doc_kind}, item_id {item_kind}, distance int, budget int, end long"
-    out = docs.sparkSession.createDataFrame([], schema)
+    out, item_type = docs.sparkSession.createDataFrame([], schema), to_arrow_type(benchmark.schema["item_id"].dataType)
     for items in blocks(benchmark, block_chars):
 
         def run(batches, items=items):
@@ -150,8 +151,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, step: int = BUDGET_STEP, b
                 ids = b.column("doc_id").to_pylist()
                 rows = [(ids[i], *hit) for i, t in enumerate(b.column("text").to_pylist()) for hit in m.find(t)]
                 cols = list(zip(*rows)) or [[]] * 5
-                kinds = (b.schema.field("doc_id").type, None, pa.int32(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k if k else pa.int64()) for c, k in zip(cols, kinds)], ["doc_id", "item_id", "distance", "budget", "end"])
+                kinds = (b.schema.field("doc_id").type, item_type, pa.int32(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["doc_id", "item_id", "distance", "budget", "end"])
 
         out = out.unionByName(docs.select("doc_id", "text").mapInArrow(run, schema))
     return out

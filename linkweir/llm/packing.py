@@ -64,26 +64,26 @@ def _by_bucket(boundaries: list[int], values: list[int], length: Column) -> Colu
 
 
 def pack(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """doc_id, n_tokens, bucket, bucket_len, batch_id, slot and padding of every document.
+    """doc_id, length, bucket, bucket_len, batch_id, slot and padding of every document.
 
     ``length`` defaults to the words of ``text`` and one end."""
     length = F.size(words_column(F.col("text"))) + 1 if length is None else length
-    rows = docs.select("doc_id", F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)).cast("long").alias("n_tokens"))
-    hist = rows.groupBy(bin_edge(F.col("n_tokens")).alias("edge")).agg(F.count("*").alias("count"), F.max("n_tokens").alias("longest")).toPandas().sort_values("edge")
+    rows = docs.select("doc_id", F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)).cast("long").alias("length"))
+    hist = rows.groupBy(bin_edge(F.col("length")).alias("edge")).agg(F.count("*").alias("count"), F.max("length").alias("longest")).toPandas().sort_values("edge")
     edges, counts = hist["longest"].to_numpy(), hist["count"].to_numpy()
     bounds = best_boundaries(edges, counts, buckets)
     sizes = np.bincount(np.searchsorted(bounds, edges), weights=counts, minlength=max(1, len(bounds))) if bounds else np.zeros(1)
-    n = F.col("n_tokens")
+    n = F.col("length")
     rows = rows.withColumns({
         "bucket": _by_bucket(bounds, list(range(len(bounds))), n).cast("int"),
         "bucket_len": _by_bucket(bounds, bounds, n).cast("long"),
         "rows_of_batch": _by_bucket(bounds, [max(1, token_budget // max(1, b)) for b in bounds], n).cast("int"),
-        "chunk": F.pmod(F.xxhash64("doc_id", "n_tokens"), _by_bucket(bounds, [max(1, -(-int(s) // chunk_rows)) for s in sizes], n).cast("long")).cast("int"),
+        "chunk": F.pmod(F.xxhash64("doc_id", "length"), _by_bucket(bounds, [max(1, -(-int(s) // chunk_rows)) for s in sizes], n).cast("long")).cast("int"),
     })
-    place = F.row_number().over(W.partitionBy("bucket", "chunk").orderBy("doc_id", "n_tokens")) - 1
+    place = F.row_number().over(W.partitionBy("bucket", "chunk").orderBy("doc_id", "length")) - 1
     rows = rows.withColumn("place", place)
     return rows.select(
-        "doc_id", "n_tokens", "bucket", "bucket_len",
+        "doc_id", "length", "bucket", "bucket_len",
         F.concat_ws("-", "bucket", "chunk", F.floor(F.col("place") / F.col("rows_of_batch")).cast("long")).alias("batch_id"),
         (F.col("place") % F.col("rows_of_batch")).cast("int").alias("slot"), (F.col("bucket_len") - n).alias("padding"),
     )

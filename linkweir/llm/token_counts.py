@@ -7,7 +7,8 @@ vocabulary piece has U+2581 after another character (checked when the model is r
 never cross the start of a run of U+2581: the text is cut there and each distinct unit is merged once and remembered, in a
 table that is emptied when it is full. Texts are never cut short.
 
-Null and empty texts have 0 tokens; a null id stays null; repeated rows are counted alike.
+Null and empty texts have 0 tokens; a null id stays null, ids may be of any type; repeated rows are counted alike; a kept
+column with the name of a result is left out.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept_columns
+
 SPACE = "▁"
 #: Units that a worker remembers before it starts anew.
 REMEMBERED = 800_000
@@ -108,7 +111,7 @@ def counter_of(model_path: str) -> MergeCounter:
 
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, columns: list[str] | None = None) -> DataFrame:
     """``columns`` (default: doc_id) with n_bytes, n_tokens and over_limit (n_tokens over ``limit``)."""
-    columns = columns or ["doc_id"]
+    columns = kept_columns(docs, columns, ("n_bytes", "n_tokens", "over_limit"))
     given = docs.select(*columns, F.coalesce(F.col("text"), F.lit("")).alias("_text"))
 
     def run(batches):
