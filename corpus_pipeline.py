@@ -28,12 +28,17 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group; of rows with one id that with the least text; null ids stay."""
+    """One row of each group: of the least id, nulls first; of rows with the same id and text one stays.
+
+    Rows are told apart by id and text, so that one id with unlike texts keeps each; blank texts are like none. The row
+    travels as one struct, so its columns clash with none made here."""
     small_batches(spark)
-    groups = jaccard_join.near_duplicates(docs, k=5, num=80, den=100)
-    first = materialize(groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "first-of-group")
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("_n", F.row_number().over(W.partitionBy("doc_id").orderBy("text")))
-    return kept.where("_n = 1").select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    rows = docs.select(F.struct("*").alias("row"), F.struct("doc_id", F.xxhash64("text").alias("text")).alias("doc_id"), "text")
+    groups = jaccard_join.near_duplicates(rows, k=5, num=80, den=100)
+    first = materialize(groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("rows")), "first-of-group")
+    kept = rows.select("doc_id", "row").join(first, "doc_id")
+    many = kept.where("rows > 1").withColumn("place", F.row_number().over(W.partitionBy("doc_id").orderBy("rows"))).where("place = 1")
+    return kept.where("rows = 1").select("row.*").unionByName(many.select("row.*"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
