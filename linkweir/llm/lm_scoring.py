@@ -45,7 +45,7 @@ FLUSH = 400_000
 #: Events of which a task builds nodes at a time, besides the rest of the last group.
 CHUNK = 100_000
 #: Characters of texts whose words are held at a time.
-PIECE = 1 << 22
+PIECE = 1 << 21
 START = 1 << 56
 _PAD = b" " * DEPTH
 
@@ -233,7 +233,7 @@ class _Sums:
         self.keys.append(keys)
         self.counts.append(counts)
         self.size += len(keys)
-        if self.size > 10 * FLUSH:
+        if self.size > 6 * FLUSH:
             keys, counts = _sum_by(np.concatenate(self.keys), np.concatenate(self.counts))
             self.keys, self.counts, self.size = [keys], [counts], len(keys)
             if self.size > 4 * FLUSH:
