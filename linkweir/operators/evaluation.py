@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from linkweir.functions.scalars import trimmed
+
 LABELS = ("TEXTWAL", "LaTeX", "HTML", "XML", "Qwen2-VL", "Markdown")
 
 
@@ -27,7 +29,7 @@ def combos(spark: SparkSession, labels: tuple[str, ...] = LABELS) -> DataFrame:
 
 def first_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first row of each key in the given order."""
-    return rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(order))).where("_n = 1").drop("_n")
+    return rows.groupBy(*keys).agg(F.min_by(F.struct("*"), F.struct(order)).alias("first_row")).select("first_row.*")
 
 
 def masks(ext: DataFrame, gt: DataFrame) -> DataFrame:
@@ -159,6 +161,36 @@ def labelled_papers(gt: DataFrame) -> DataFrame:
     return per.agg(F.count("*").alias("papers"), F.count_if(F.col("kept") > 0).alias("papers_kept"))
 
 
+def ranked(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """The rows of a report, some hundred at most, with their place in an order."""
+    return rows.withColumn("place", F.row_number().over(W.orderBy(*order)))
+
+
+def by_f1(scores: DataFrame) -> DataFrame:
+    """Combinations, the best F1 first."""
+    return ranked(scores, F.desc("f1"), "ord")
+
+
+def by_size_and_recall(scores: DataFrame) -> DataFrame:
+    """Combinations by number of formats, the best recall of each first."""
+    return ranked(scores, "n_formats", F.desc("recall"), "ord")
+
+
+def lookup(rows: DataFrame, meta: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the other columns of ``meta`` (one row a key), where the keys agree as text without white space at the ends."""
+    text = lambda k: trimmed(F.col(k).cast("string"))
+    own = rows.select(F.struct("*").alias("row"), *(text(k).alias(k) for k in keys))
+    other = meta.select(*(text(k).alias(k) for k in keys), *(c for c in meta.columns if c not in keys))
+    return own.join(other, keys).drop(*keys).select("row.*", *(c for c in meta.columns if c not in keys))
+
+
+def valid_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that have a value, and no blank one, in each of the columns."""
+    for c in columns:
+        rows = rows.where(F.col(c).isNotNull() & (trimmed(F.col(c).cast("string")) != ""))
+    return rows
+
+
 def recall_order(scores: DataFrame) -> DataFrame:
     """Recall of the combinations in ascending order, with the row of what the source itself has."""
     whole = scores.sparkSession.createDataFrame([("Available in PDF", 1.0)], "label string, recall double")

@@ -60,8 +60,8 @@ class _Anchors(HTMLParser):
                 self.depth += 1
             elif self.name is None or self.name in (got.get("class") or "").split():
                 self.depth = 1
-        if self.depth and not self.done and tag == "a" and got.get("href"):
-            self.found.append(got["href"])
+        if self.depth and not self.done and tag == "a" and "href" in got:
+            self.found.append(got["href"] or "")
 
     def handle_endtag(self, tag):
         if self.tag and self.depth and tag == self.tag:
@@ -85,6 +85,11 @@ def html_anchors(html: Column, tag: str | None = "div", name: str | None = "ltx_
     return run(html)
 
 
+def html_links(html: Column, doc_id: Column) -> Column:
+    """Targets inside the page's content, without fragments and links to the document itself."""
+    return F.filter(html_anchors(html), lambda u: ~S.is_self_reference_html(u, doc_id))
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def _targets(docs: pd.Series) -> pd.Series:
     def one(doc):

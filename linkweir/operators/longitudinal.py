@@ -24,8 +24,25 @@ def year_report(stages: DataFrame) -> DataFrame:
     return stages.cube("year", "format").agg(F.count_distinct("paper_id").alias("papers"), F.sum("num_urls").alias("urls"))
 
 
+#: Fixed order of the statuses of a conversion; others come last.
+STATUSES = ("success", "failed", "pending", "corrupted_json")
+
+
+def in_status_order(runs: DataFrame, key: str, statuses: tuple[str, ...] = STATUSES) -> DataFrame:
+    """The runs with ``status_place``, sorted by it and by the key."""
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, statuses)), F.col("status")), F.lit(0))
+    return runs.withColumn("status_place", F.when(place > 0, place - 1).otherwise(len(statuses)).cast("int")).orderBy("status_place", key)
+
+
+def conversions_by_year(done: DataFrame, started: str, now: str) -> DataFrame:
+    """Papers done by year and in all (null), with papers a minute since the start; null before it."""
+    minutes = (F.unix_timestamp(F.lit(now)) - F.unix_timestamp(F.lit(started))) / 60
+    rate = F.when(minutes > 0, F.round(F.count("*") / minutes, 1)).when(minutes == 0, F.lit(0.0))
+    return done.rollup("year").agg(F.count("*").alias("papers"), rate.alias("papers_a_minute"))
+
+
 def status_report(runs: DataFrame, pool: int) -> DataFrame:
-    """Runs by status with their share of the pool, in the fixed order of statuses."""
+    """Runs by status with their share of the pool."""
     return runs.groupBy("status").agg(F.count("*").alias("n"), F.round(100 * F.count("*") / pool, 4).alias("pct"))
 
 

@@ -83,13 +83,15 @@ def hashed_draws(spark: SparkSession, reps: int, slots: int, papers: int) -> Dat
     return d.select("rep", "slot", hashed_place(F.lit(papers), "rep", "slot").alias("place"))
 
 
-def bootstrap_by_join(vectors: DataFrame, reps: int, draws: Callable[[SparkSession, int, int, int], DataFrame] = hashed_draws) -> DataFrame:
-    """rep, combo, tp, ext, gt of resampled papers, by a join with multiplicities; papers are numbered in id order."""
-    ids = vectors.select("paper_id").distinct()
+def bootstrap_by_join(vectors: DataFrame, reps: int, draws: Callable[[SparkSession, int, int, int], DataFrame] = hashed_draws, population: DataFrame | None = None) -> DataFrame:
+    """rep, combo, tp, ext, gt of resampled papers, by a join with multiplicities; papers are numbered in id order.
+
+    Papers are drawn from the ``population`` (default: those of the vectors); one without a vector adds nothing."""
+    ids = (vectors if population is None else population).select("paper_id").distinct()
     n = ids.count()
     places = ids.withColumn("place", F.row_number().over(W.orderBy("paper_id")) - 1)
     mult = draws(vectors.sparkSession, reps, n, max(n, 1)).groupBy("rep", "place").agg(F.count("*").alias("m"))
-    numbered = vectors.join(F.broadcast(places) if n < 100_000 else places, "paper_id")
+    numbered = vectors.join(places, "paper_id")
     return numbered.join(mult, "place").groupBy("rep", "combo").agg(*(F.sum(F.col(c) * F.col("m")).alias(c) for c in ("gt", "tp", "ext")))
 
 

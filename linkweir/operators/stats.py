@@ -29,7 +29,7 @@ def friedman(scores: DataFrame, k: int) -> DataFrame:
     one = sums.crossJoin(ties)
     n = F.col("n")
     raw = 12 / (k * n * (k + 1)) * F.col("ss") - 3 * n * (k + 1)
-    return one.select(n, F.lit(k).alias("k"), F.round(F.try_divide(raw, 1 - F.col("ties") / (k * (k * k - 1) * n)), 6).alias("chi2"), F.lit(k - 1).alias("df"))
+    return one.select(n, F.lit(k).alias("k"), F.try_divide(raw, 1 - F.col("ties") / (k * (k * k - 1) * n)).alias("chi2"), F.lit(k - 1).alias("df"))
 
 
 @F.pandas_udf(DoubleType())
@@ -58,7 +58,7 @@ def wilcoxon(scores: DataFrame, baseline: int) -> DataFrame:
     s = r.groupBy("combo").agg(F.count("*").alias("n"), F.sum(F.when(F.col("diff") > 0, F.col("r")).otherwise(0)).alias("up"), F.sum(F.when(F.col("diff") < 0, F.col("r")).otherwise(0)).alias("down"))
     n = F.col("n")
     sd = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("ties") / 2) / 24)
-    out = s.join(ties, "combo").select("combo", n, F.round((F.least("up", "down") - n * (n + 1) / 4) / sd, 6).alias("z"), F.round((F.col("up") - F.col("down")) / (F.col("up") + F.col("down")), 6).alias("effect"))
+    out = s.join(ties, "combo").select("combo", n, ((F.least("up", "down") - n * (n + 1) / 4) / sd).alias("z"), ((F.col("up") - F.col("down")) / (F.col("up") + F.col("down"))).alias("effect"))
     rest = scores.where(F.col("combo") != baseline).select("combo").distinct().join(out.select("combo"), "combo", "left_anti")
     return out.unionByName(rest.select("combo", F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("z"), F.lit(0.0).alias("effect")))
 
@@ -69,7 +69,7 @@ def holm(tests: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFrame:
     One window over all tests: their number is that of the combinations."""
     some = tests.where(F.col(p).isNotNull())
     w = W.orderBy(p, "combo")
-    some = some.withColumn("_m", F.count("*").over(W.partitionBy())).withColumn("_i", F.row_number().over(w))
-    some = some.withColumn("holm_p", F.least(F.lit(1.0), F.max(F.col(p) * (F.col("_m") - F.col("_i") + 1)).over(w.rowsBetween(W.unboundedPreceding, 0)))).drop("_m", "_i")
+    scaled = some.select(F.struct("*").alias("test"), F.col(p).alias("p"), F.col("combo").alias("combo"), (F.col(p) * (F.count("*").over(W.partitionBy()) - F.row_number().over(w) + 1)).alias("scaled"))
+    some = scaled.select("test.*", F.least(F.lit(1.0), F.max("scaled").over(W.orderBy("p", "combo").rowsBetween(W.unboundedPreceding, 0))).alias("holm_p"))
     none = tests.where(F.col(p).isNull()).withColumn("holm_p", F.lit(None).cast("double"))
-    return some.unionByName(none).withColumn("significant", F.coalesce(F.col("holm_p") < alpha, F.lit(False)))
+    return some.unionByName(none).withColumn("significant", F.coalesce(F.col("holm_p") <= alpha, F.lit(False)))

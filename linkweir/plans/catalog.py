@@ -462,12 +462,12 @@ def avg_rank(spark, d):
 
 @query(f"SELECT n, 6 AS k, round((12.0 / (6 * n * 7) * ss - 3 * n * 7) / (1 - ties / (6 * 35 * n)), 6) AS chi2, 5 AS df FROM (SELECT sum(s * s) AS ss, max(n) AS n FROM (SELECT combo, sum(r) AS s, count(*) AS n FROM {_RANKS} GROUP BY combo)), (SELECT sum(t * t * t - t)::DOUBLE AS ties FROM (SELECT paper_id, recall, count(*) AS t FROM {_RANKS} GROUP BY ALL))")
 def friedman_chi2(spark, d):
-    return T.friedman(_scores(spark, d, True), 6)
+    return T.friedman(_scores(spark, d, True), 6).withColumn("chi2", F.round("chi2", 6))
 
 
 @query()
 def friedman_p(spark, d):
-    return friedman_chi2(spark, d).withColumn("p", T.chi2_sf5(F.col("chi2")))
+    return T.friedman(_scores(spark, d, True), 6).withColumn("p", T.chi2_sf5(F.col("chi2")))
 
 
 _DIFF = f"(SELECT *, rank() OVER (PARTITION BY combo ORDER BY a) + (count(*) OVER (PARTITION BY combo, a) - 1) / 2 AS r FROM (SELECT s.combo, s.paper_id, s.recall - b.recall AS diff, round(abs(s.recall - b.recall), 12) AS a FROM {_SCORES} s JOIN {_SCORES} b ON s.paper_id = b.paper_id AND b.combo = 1 WHERE s.combo <> 1) WHERE a > 0)"
@@ -477,20 +477,25 @@ _WZ = f"SELECT combo, n, round((least(up, down) - n * (n + 1) / 4) / sqrt((n * (
 
 @query(_WZ)
 def wilcoxon_z(spark, d):
-    return T.wilcoxon(_scores(spark, d), 1).select("combo", "n", "z")
+    return T.wilcoxon(_scores(spark, d), 1).select("combo", "n", F.round("z", 6).alias("z"))
 
 
 @query(f"SELECT combo, round((up - down) / (up + down), 6) AS effect FROM {_WSUM}")
 def rank_biserial(spark, d):
-    return T.wilcoxon(_scores(spark, d), 1).select("combo", "effect")
+    return T.wilcoxon(_scores(spark, d), 1).select("combo", F.round("effect", 6).alias("effect"))
 
 
-@query(f"WITH t AS (SELECT combo, round(exp(z / 100), 9) AS p FROM ({_WZ})), o AS (SELECT *, row_number() OVER (ORDER BY p, combo) AS i, count(*) OVER () AS m FROM t) SELECT combo, p, round(least(1.0, max(p * (m - i + 1)) OVER (ORDER BY p, combo ROWS UNBOUNDED PRECEDING)), 6) AS holm_p, least(1.0, max(p * (m - i + 1)) OVER (ORDER BY p, combo ROWS UNBOUNDED PRECEDING)) < 0.05 AS significant FROM o")
+@query(f"WITH t AS (SELECT combo, round(exp(z / 100), 9) AS p FROM ({_WZ})), o AS (SELECT *, row_number() OVER (ORDER BY p, combo) AS i, count(*) OVER () AS m FROM t) SELECT combo, p, round(least(1.0, max(p * (m - i + 1)) OVER (ORDER BY p, combo ROWS UNBOUNDED PRECEDING)), 6) AS holm_p, least(1.0, max(p * (m - i + 1)) OVER (ORDER BY p, combo ROWS UNBOUNDED PRECEDING)) <= 0.05 AS significant FROM o")
 def holm(spark, d):
-    tests = T.wilcoxon(_scores(spark, d), 1).select("combo", F.round(F.exp(F.col("z") / 100), 9).alias("p"))
+    tests = T.wilcoxon(_scores(spark, d), 1).select("combo", F.round(F.exp(F.round("z", 6) / 100), 9).alias("p"))
     return T.holm(tests).withColumn("holm_p", F.round("holm_p", 6))
 
 
+@query("SELECT * FROM (" + _SQL["holm"] + ") ORDER BY holm_p, combo LIMIT 10")
+def holm_first_ten(spark, d):
+    return holm(spark, d).orderBy("holm_p", "combo").limit(10)
+
+
 @query()
 def significance(spark, d):
     """p values, Holm's correction, effect and stars of every combination against the first format."""
@@ -553,9 +558,73 @@ def recall_order(spark, d):
     return E.recall_order(prf_63_combos(spark, d))
 
 
+@query(f"SELECT *, row_number() OVER (ORDER BY f1 DESC, ord)::INT AS place FROM ({_PRF})")
+def prf_by_f1(spark, d):
+    return E.by_f1(prf_63_combos(spark, d))
+
+
+@query("SELECT *, row_number() OVER (ORDER BY n_formats, recall DESC, ord)::INT AS place FROM (" + _SQL["oads_recall_63"] + ")")
+def oads_by_formats(spark, d):
+    return E.by_size_and_recall(oads_recall_63(spark, d))
+
+
+_OVEC = _vectors(_OMASKS)
+_OPLACES = f"(SELECT paper_id, row_number() OVER (ORDER BY paper_id) - 1 AS place FROM (SELECT DISTINCT paper_id FROM {GT}))"
+_OMULT = f"(SELECT rep, place, count(*) AS m FROM (SELECT rep, {_DRAWN.format(key="concat_ws('-', rep, slot)", n='p')} AS place FROM range(0, {_REPS}) r(rep), (SELECT count(*) AS p FROM {_OPLACES}), LATERAL (SELECT unnest(range(0, p)) AS slot)) GROUP BY rep, place)"
+
+
+@query(f"SELECT combo, round(quantile_cont({REC}, 0.025), 6) AS r_low, round(quantile_cont({REC}, 0.975), 6) AS r_high FROM (SELECT rep, combo, sum(gt * m)::BIGINT AS gt, sum(tp * m)::BIGINT AS tp FROM {_OVEC} JOIN {_OPLACES} USING (paper_id) JOIN {_OMULT} USING (place) GROUP BY rep, combo) GROUP BY combo")
+def bootstrap_oads_recall(spark, d):
+    """Papers are drawn from all labelled ones, those without such a URL too."""
+    gt = _gt(spark, d)
+    masks = E.masks(load(spark, d, "ext"), gt.where(~F.col("label").eqNullSafe("GenURL")))
+    return R.intervals(R.bootstrap_by_join(E.per_paper_combos(masks, E.combos(spark)), _REPS, population=gt)).select("combo", "r_low", "r_high")
+
+
+@query(f"SELECT m.paper_id, m.url, spatial FROM (SELECT paper_id, url FROM {MASKS} WHERE is_gt = 1 AND mask & 1 = 0) m JOIN {GT} USING (paper_id, url)")
+def metadata_lookup(spark, d):
+    """Metadata whose keys have white space around them."""
+    gt = _gt(spark, d)
+    missed = E.missed(load(spark, d, "ext"), gt).where("format = 1").select("paper_id", "url")
+    meta = gt.select(F.concat(F.lit(" "), "paper_id").alias("paper_id"), F.concat(F.lit("\u00a0"), "url", F.lit("\n")).alias("url"), "spatial")
+    return E.lookup(missed, meta, ["paper_id", "url"])
+
+
+@query(f"SELECT row_idx, paper_id, url FROM {duck('gt_raw')} WHERE label IS NOT NULL AND location IS NOT NULL")
+def valid_rows(spark, d):
+    return E.valid_rows(load(spark, d, "gt_raw"), ["label", "location"]).select("row_idx", "paper_id", "url")
+
+
+@query(f"SELECT paper_id FROM {duck('papers')} WHERE paper_id % 8 = 3")
+def strided_slice(spark, d):
+    return files.strided(load(spark, d, "papers"), "paper_id", 3, 8).select("paper_id")
+
+
+@query("SELECT DISTINCT page_id AS paper_id, 'html' AS format, u AS url FROM (SELECT page_id, unnest(['', url]) AS u FROM pages) WHERE NOT contains(u, '#')")
+def extract_html_content(spark, d):
+    """Only links of the content count, without fragments and the document's own pages."""
+    link = F.expr("replace(url, '&', '&amp;')")
+    page = F.concat(
+        F.lit('<a href="http://before.org">b</a><div class="x ltx_page_content"><div><a href="">e</a></div><a href="'), link, F.lit('">x</a><a href="'), link,
+        F.lit('#s">y</a><a href="https://arxiv.org/abs/'), F.col("page_id"), F.lit('v1">self</a><a name="n">n</a></div><a href="http://after.org">a</a>'),
+    )
+    t = spark.read.parquet(f"{d}/pages.parquet").where("url is not null").select(F.col("page_id").alias("paper_id"), page.alias("html"))
+    return X.explode_urls(t, X.html_links(F.col("html"), F.col("paper_id").cast("string")), "html")
+
+
 # Corpus by year
 
 
+@query(f"SELECT year, count(*) AS papers, round(count(*) / 630.0, 1) AS papers_a_minute FROM {duck('papers')} WHERE status = 'F' GROUP BY ROLLUP (year)")
+def conversions_by_year(spark, d):
+    return L.conversions_by_year(load(spark, d, "papers").where("status = 'F'"), "2024-01-01 00:00:00", "2024-01-01 10:30:00")
+
+
+@query(f"SELECT paper_id, status, CASE status WHEN 'O' THEN 0 WHEN 'F' THEN 1 ELSE 2 END::INT AS status_place FROM {duck('papers')}")
+def status_log(spark, d):
+    return L.in_status_order(load(spark, d, "papers").select("paper_id", "status"), "paper_id", ("O", "F"))
+
+
 @query(f"SELECT year, paper_id FROM {duck('papers')} WHERE year BETWEEN 1996 AND 1998 AND paper_id IN (SELECT paper_id FROM {duck('corpus')} WHERE format = 2)")
 def sampled_and_done(spark, d):
     papers = L.of_years(load(spark, d, "papers").select(F.col("year").cast("string").alias("folder"), "paper_id"), "folder", 1996, 1998)

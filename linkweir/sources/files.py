@@ -83,6 +83,11 @@ def write_manifest(df: DataFrame, path: str) -> None:
     df.select("year", "paper_id", "path").write.mode("overwrite").option("sep", "|").csv(path)
 
 
+def strided(rows: DataFrame, place: str, part: int, parts: int) -> DataFrame:
+    """Every ``parts``-th row from the ``part``-th on, by the rows' numbers."""
+    return rows.where(F.pmod(F.col(place), F.lit(parts)) == part)
+
+
 def existing(manifest: DataFrame, files: DataFrame) -> DataFrame:
     return manifest.join(files.select("path"), "path", "left_semi")
 
