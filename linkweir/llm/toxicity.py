@@ -7,9 +7,9 @@ logistic regression over them, fitted by Adam steps in numpy on the driver with
 A text longer than ``WINDOW`` is scored by half-overlapping windows, whose evidence is averaged as a likelihood ratio, so
 that neither collisions nor chance hits grow with the text.
 
-The sample has at most ``PER_CLASS`` documents of either class, which bounds the features too. Scoring reads
+The sample has at most ``PER_CLASS`` documents of either class. Scoring reads
 every whole text, one Arrow batch at a time. Null and empty texts get the score of a text without features; a null id
-stays null, ids may be of any type; repeated rows are scored alike. Without training
+stays null, ids may be of any type; repeated rows are scored alike; ties in the choice of features are broken by key. Without training
 rows every score is 0.5.
 """
 
@@ -25,8 +25,8 @@ from .common import is_held_out, join_sample, kept_columns, labelled_sample, mat
 SIZES = (4, 5, 6)
 #: Bound of the training sample: documents of either class.
 PER_CLASS = 8000
-#: How far (in standard errors) an n-gram's log ratio must be from 0.
-MIN_Z = 4.5
+#: Size of the linear model: the most features, those that stand out most; and how far (in standard errors) a log ratio must be from 0.
+MAX_FEATURES, MIN_Z = 4096, 4.5
 PIECE = 1 << 20
 #: Keys that a task counts before it hands them on; bits of a key that the sieve before the look-up reads.
 FLUSH, SIEVE_BITS = 2_000_000, 18
@@ -173,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, mod: int, remainder: int
     p, q = F.col("pos") + 1.0, F.col("neg") + 1.0
     rated = counts.where(F.col("key").isNotNull()).withColumn("ratio", F.log(p / (n_pos + 2)) - F.log(q / (n_neg + 2)))
     rated = rated.withColumn("z", F.abs("ratio") / F.sqrt(1 / p + 1 / q)).where(F.col("z") >= MIN_Z)
-    best = rated.select("key", "ratio").toPandas().sort_values("key")
+    best = rated.orderBy(F.desc("z"), "key").limit(MAX_FEATURES).select("key", "ratio").toPandas().sort_values("key")
     keys, values = best["key"].to_numpy(np.int64), best["ratio"].to_numpy(float)
     sieve = sieve_of(keys)
 
