@@ -6,6 +6,7 @@ import xml.etree.ElementTree as ET
 from html.parser import HTMLParser
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -22,6 +23,31 @@ def comprehensive(text: Column) -> Column:
     return S.find_all(text, P.COMPREHENSIVE)
 
 
+def find_within(text: Column, pattern: str, group: int = 0, seconds: float = 120.0) -> Column:
+    """Sorted distinct matches of one document, or why there are none: a struct of urls and error.
+
+    A document whose search takes longer than ``seconds`` gives no URLs and the error "timeout", any other failure its
+    name, and the documents beside it go on. Null and empty texts give no URLs and no error. The search runs in Python, as
+    Java's has no limit; ``scalars.find_all`` is the faster form for texts that are known to be harmless."""
+    compiled = pattern.replace("(?iU)", "(?i)")
+
+    @F.pandas_udf("urls array<string>, error string")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rx = regex.compile(compiled)
+
+        def one(t):
+            try:
+                return sorted({m[group] for m in rx.finditer(t, timeout=seconds)} if t else ()), None
+            except TimeoutError:
+                return [], "timeout"
+            except Exception as e:  # one document's failure is its result
+                return [], type(e).__name__
+
+        return pd.DataFrame([one(t) for t in texts], columns=["urls", "error"])
+
+    return run(text)
+
+
 def text_layer(text: Column, links: Column, raw: Column, doc_id: Column) -> Column:
     """Links of annotations, URLs of the text and of the file's bytes, cleaned, without noise and self references."""
     found = F.concat(F.filter(links, S.keeps_link_uri), S.find_all(text, P.TEXT_LAYER), S.find_all(S.sanitize(raw), P.TEXT_LAYER))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -95,32 +95,45 @@ def bootstrap_by_join(vectors: DataFrame, reps: int, draws: Callable[[SparkSessi
     return numbered.join(mult, "place").groupBy("rep", "combo").agg(*(F.sum(F.col(c) * F.col("m")).alias(c) for c in ("gt", "tp", "ext")))
 
 
-def bootstrap_by_blocks(vectors: DataFrame, reps: int, seed: int = 42, block: int = 250) -> DataFrame:
-    """The same with numpy's generator: blocks of replicates as one product of multiplicities and metrics.
-
-    ``vectors`` has one row a paper and combination of a labelled benchmark, whose size is checked here."""
-    if vectors.count() > 5_000_000:
-        raise ValueError("the benchmark is too large for the driver; use bootstrap_by_join")
-    wide = vectors.toPandas().pivot(index="paper_id", columns="combo", values=["gt", "tp", "ext"]).fillna(0).sort_index()
-    matrix, columns = wide.to_numpy(float), list(wide.columns)
-    names = sorted({c for _, c in columns})
-    at = {c: i for i, c in enumerate(columns)}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for first in b["id"]:
-                n = min(block, reps - first)
-                rng = np.random.default_rng([seed, int(first)])
-                draws = rng.integers(0, len(matrix), (n, len(matrix)))
-                mult = np.zeros((n, len(matrix)))
-                np.add.at(mult, (np.arange(n)[:, None], draws), 1)
-                got = mult @ matrix
-                rep = np.repeat(np.arange(first, first + n), len(names))
-                cols = {k: got[:, [at[(k, c)] for c in names]].ravel().astype(np.int64) for k in ("gt", "tp", "ext")}
-                yield pd.DataFrame({"rep": rep, "combo": np.tile(names, n), **cols})
-
-    spark = vectors.sparkSession
-    return spark.range(0, reps, block, max(1, min(64, reps // block))).mapInPandas(run, "rep long, combo int, gt long, tp long, ext long")
+def bootstrap_by_blocks(vectors: DataFrame, reps: int, seed: int = 42, papers: int = 4096, population: DataFrame | None = None, chunk: int = 250) -> DataFrame:
+    """The same with numpy's generator, in blocks of about ``papers`` papers that each meet all replicates in one task.
+
+    How many of a replicate's draws fall into a block is found by halving the range of blocks with binomial draws whose
+    seeds belong to the halves, so that all tasks agree and each replicate draws as many papers as the population has.
+    The driver holds one number a block; papers and their metrics stay where they are."""
+    ids = (vectors if population is None else population).select("paper_id").distinct()
+    blocks = max(1, -(-ids.count() // papers))
+    block = F.pmod(F.xxhash64("paper_id"), F.lit(blocks)).cast("int").alias("block")
+    sizes = np.zeros(blocks, np.int64)
+    for r in ids.groupBy(block).agg(F.count("*").alias("n")).collect():
+        sizes[r["block"]] = r["n"]
+
+    def drawn(of: int) -> np.ndarray:
+        lo, hi, n = 0, blocks, np.full(reps, sizes.sum())
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            total = sizes[lo:hi].sum()
+            left = np.random.default_rng([seed, 0, lo, hi]).binomial(n, sizes[lo:mid].sum() / total if total else 0)
+            lo, hi, n = (lo, mid, left) if of < mid else (mid, hi, n - left)
+        return n
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        wide = rows.pivot(index="paper_id", columns="combo", values=["gt", "tp", "ext"]).fillna(0).sort_index()
+        matrix, at = wide.to_numpy(float), {c: i for i, c in enumerate(wide.columns)}
+        names, of = sorted({c for _, c in at}), int(key[0])
+        size, draws, rng = int(sizes[of]), drawn(of), np.random.default_rng([seed, 1, of])
+        out = []
+        for first in range(0, reps, chunk):
+            n = draws[first : first + chunk]
+            cells = np.repeat(np.arange(len(n)), n) * size + rng.integers(0, size, n.sum())
+            mult = np.bincount(cells, minlength=len(n) * size).reshape(len(n), size)[:, : len(matrix)]
+            got = mult.astype(float) @ matrix
+            cols = {k: got[:, [at[(k, c)] for c in names]].ravel().astype(np.int64) for k in ("gt", "tp", "ext")}
+            out.append(pd.DataFrame({"rep": np.repeat(np.arange(first, first + len(n)), len(names)), "combo": np.tile(names, len(n)), **cols}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("rep", "combo", "gt", "tp", "ext")})
+
+    found = vectors.select("paper_id", "combo", "gt", "tp", "ext", block).groupBy("block").applyInPandas(run, "rep long, combo int, gt long, tp long, ext long")
+    return found.groupBy("rep", "combo").agg(*(F.sum(c).alias(c) for c in ("gt", "tp", "ext")))
 
 
 def intervals(reps: DataFrame) -> DataFrame:

@@ -185,6 +185,12 @@ def extract_md_links(spark, d):
     return _extract("markdown", "markdown", X.markdown_links)(spark, d)
 
 
+@query(_duck_extract("markdown", "markdown", [_all(P.MARKDOWN_LINK, 1)]))
+def extract_md_links_guarded(spark, d):
+    """The same with a time limit and isolation of failures for each document."""
+    return _extract("markdown", "markdown", lambda text: X.find_within(text, P.MARKDOWN_LINK, 1)["urls"])(spark, d)
+
+
 @query(_duck_extract("markdown", "markdown", [_all(P.HTML_ATTRIBUTE, 1)]))
 def extract_html_attr(spark, d):
     return _extract("markdown", "markdown", X.html_attributes)(spark, d)
@@ -671,7 +677,7 @@ def incremental_extract(spark, d):
     run = lambda: incremental.extract_incrementally(spark, source, "paper_id long, text string", X.markdown_links(F.col("text")), target, state)
     run()
     docs.where("paper_id % 2 = 1 or paper_id % 10 = 0").write.mode("append").parquet(source)
-    return run()
+    return run().select("paper_id", F.explode("urls").alias("url"))
 
 
 def queries() -> dict[str, Query]:

@@ -4,18 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 
 def extract_incrementally(spark: SparkSession, source: str, schema: str, urls: Column, target: str, checkpoint: str, files_per_batch: int = 100) -> DataFrame:
-    """Read Parquet files that ``source`` gained since the last call, add their URLs to ``target``, return all of it.
+    """Read Parquet files that ``source`` gained since the last call, add (paper_id, urls) to ``target``, return all of it.
 
-    ``schema`` has paper_id. An id that was seen before, in this call or an earlier one, is skipped. Files and state are
-    committed with the checkpoint, so a call that is cut off goes on where it stopped."""
+    ``schema`` has paper_id, of any type. An id that was seen before, in this call or an earlier one, is skipped; a paper
+    without URLs leaves a row with an empty array, so ``not_done`` does not bring it back. The target itself is the memory of
+    what was seen: each micro-batch meets the ids of the batches before it in a join, and no streaming state grows. A batch
+    that is cut off is written over when it is run again. Rows with a null id are taken once."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    out = stream.dropDuplicates(["paper_id"]).select("paper_id", F.explode(urls).alias("url"))
-    query = out.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target)
+    kept = StructType().add("paper_id", stream.schema["paper_id"].dataType).add("urls", ArrayType(StringType()))
+    table = StructType([*kept, *StructType().add("batch", LongType())])
+    spark.createDataFrame([], kept).write.mode("ignore").parquet(f"{target}/batch=-1")
+
+    def add(batch: DataFrame, number: int) -> None:
+        new = batch.select("paper_id", F.coalesce(urls, F.array().cast("array<string>")).alias("urls")).dropDuplicates(["paper_id"]).alias("new")
+        seen = batch.sparkSession.read.schema(table).parquet(target).where(F.col("batch") < number).select("paper_id").alias("seen")
+        fresh = new.join(seen, F.col("new.paper_id").eqNullSafe(F.col("seen.paper_id")), "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    query = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema("paper_id long, url string").parquet(target)
+    return spark.read.schema(table).parquet(target).select("paper_id", "urls")
 
 
 def not_done(todo: DataFrame, done: DataFrame, key: str = "paper_id") -> DataFrame:

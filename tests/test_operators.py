@@ -105,6 +105,44 @@ def test_bootstrap_by_join_draws_with_replacement(spark, sf):
     assert ci.count() == R.intervals(R.bootstrap_by_blocks(v, 500)).where(F.col("r_low") < F.col("r_high")).count() > 0
 
 
+def test_bootstrap_by_blocks_draws_as_many_papers_as_there_are(spark):
+    v = spark.range(100).crossJoin(spark.createDataFrame([(1,), (2,)], "combo int")).select(F.concat(F.lit("p"), "id").alias("paper_id"), "combo", F.lit(1).alias("gt"), (F.col("id") % 2).alias("tp"), F.col("id").alias("ext"))
+    got = R.bootstrap_by_blocks(v, 300, papers=9).toPandas()
+    assert len(got) == 600 and (got["gt"] == 100).all()
+    assert abs(got["tp"].mean() - 50) < 1 and 4 < got["tp"].std() < 6 and abs(got["ext"].mean() - 4950) < 60
+    assert got.groupby("rep")["tp"].nunique().max() == 1  # combinations of a replicate share its draws
+    more = spark.range(200).select(F.concat(F.lit("p"), "id").alias("paper_id"))
+    wide = R.bootstrap_by_blocks(v, 300, papers=9, population=more).toPandas()
+    assert abs(wide["gt"].mean() - 100) < 2 and 6 < wide["gt"].std() < 8.5
+    assert R.bootstrap_by_blocks(v.limit(0), 5).count() == 0
+
+
+def test_incremental_extraction_remembers_papers_of_any_id_and_without_urls(spark, tmp_path):
+    from linkweir.streaming import incremental as I
+
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    run = lambda: I.extract_incrementally(spark, source, "paper_id string, text string", X.markdown_links(F.col("text")), target, state, files_per_batch=1)
+    put = lambda rows: spark.createDataFrame(rows, "paper_id string, text string").coalesce(1).write.mode("append").parquet(source)
+    put([("a", "[x](http://a)"), ("b", "none"), ("b", "none"), ("c", None), (None, "[x](http://n)")])
+    assert sorted((r["paper_id"] or "", r["urls"]) for r in run().collect()) == [("", ["http://n"]), ("a", ["http://a"]), ("b", []), ("c", [])]
+    put([("a", "[x](http://late)"), (None, "[x](http://late)")])
+    put([("d", "[x](http://d)")])
+    got = run()
+    assert sorted((r["paper_id"] or "", r["urls"]) for r in got.collect()) == [("", ["http://n"]), ("a", ["http://a"]), ("b", []), ("c", []), ("d", ["http://d"])]
+    todo = spark.createDataFrame([("b",), ("e",)], "paper_id string")
+    assert [r["paper_id"] for r in I.not_done(todo, got).collect()] == ["e"]
+
+
+def test_a_document_that_takes_too_long_leaves_the_others_alone(spark):
+    rows = spark.createDataFrame([(1, "a" * 40 + "!"), (2, "aab"), (3, None), (4, "")], "i int, t string").coalesce(1)
+    slow = {r["i"]: (r["u"]["urls"], r["u"]["error"]) for r in rows.select("i", X.find_within(F.col("t"), r"(?:(?:a|aa)+)+b", 0, 0.5).alias("u")).collect()}
+    assert slow == {1: ([], "timeout"), 2: (["aab"], None), 3: ([], None), 4: ([], None)}
+    texts = spark.createDataFrame([("see http://a.org/x, www.b.com/y) and [t](https://c.de/z)",)], "t string")
+    for p, g in ((P.COMPREHENSIVE, 0), (P.TEXT_LAYER, 0), (P.BARE, 0), (P.STRICT, 0), (P.MARKDOWN_LINK, 1)):
+        r = texts.select(X.find_within(F.col("t"), p, g)["urls"].alias("a"), S.find_all(F.col("t"), p, g).alias("b")).first()
+        assert r["a"] == r["b"] != []
+
+
 def test_yearly_bootstrap_draws_with_replacement(spark):
     from linkweir.operators import longitudinal as L
 
