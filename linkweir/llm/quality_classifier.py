@@ -2,8 +2,8 @@
 
 Words are maximal runs of letters, of digits or of one other character class, as UTF-8 bytes, hashed into ``BUCKETS``.
 Each bucket has a fixed sparse random index vector; its word vector is the sum of the index vectors of the words up to
-``REACH`` places away, counted over all documents (per task, then summed in two steps by slices, so the driver gets
-``BUCKETS * DIM`` numbers whatever the input). Vectors are damped, centred and brought to length 1. A document is pooled
+``REACH`` places away, counted over all documents (per task, then summed by slices in ``ROUNDS`` rounds of at most ``FAN`` parts, so
+no group grows with the number of tasks and the driver gets ``BUCKETS * DIM`` numbers for every ``FAN**ROUNDS`` tasks). Vectors are damped, centred and brought to length 1. A document is pooled
 to the mean of its word vectors and the mean of the products of neighbours. The network (tanh layer, logistic unit) is
 fitted on at most ``PER_CLASS`` labelled documents of either class, weighted back to the classes' shares; its temperature
 is chosen on a fifth of that sample that the fit has not seen.
@@ -29,7 +29,7 @@ BUCKETS, DIM, NONZERO, REACH = 1 << 14, 32, 4, 2
 #: Bound of the training sample: documents of either class.
 PER_CLASS = 6000
 HIDDEN = 24
-SLICES, SALTS = 64, 16
+SLICES, FAN, ROUNDS = 64, 64, 3
 PIECE = 1 << 22
 _MUL = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_MUL), -1, 1 << 64))
@@ -119,25 +119,26 @@ def _count_contexts(batches):
                 held, owner, size = [], [], 0
     if size:
         add(np.concatenate(held), np.concatenate(owner))
-    salt = TaskContext.get().partitionId() % SALTS
+    part = TaskContext.get().partitionId() // FAN
     parts = total.reshape(SLICES, -1)
     blobs = [zlib.compress(p.astype(np.int64).tobytes(), 1) for p in parts]
-    yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([salt] * SLICES, pa.int32()), pa.array(blobs, pa.binary())], ["slice", "salt", "v"])
+    yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([part] * SLICES, pa.int32()), pa.array(blobs, pa.binary())], ["slice", "part", "v"])
 
 
 def _sum_slices(got: pd.DataFrame) -> pd.DataFrame:
     v = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in got["v"])
-    return pd.DataFrame({"slice": got["slice"][:1], "salt": got["salt"][:1], "v": [zlib.compress(v.tobytes(), 1)]})
+    return pd.DataFrame({"slice": got["slice"][:1], "part": got["part"][:1] // FAN, "v": [zlib.compress(v.tobytes(), 1)]})
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Vectors of all buckets, from all documents."""
-    schema = "slice int, salt int, v binary"
+    schema = "slice int, part int, v binary"
     parts = docs.select("text").mapInArrow(_count_contexts, schema)
-    parts = parts.groupBy("slice", "salt").applyInPandas(_sum_slices, schema).groupBy("slice").applyInPandas(_sum_slices, schema)
+    for _ in range(ROUNDS):
+        parts = parts.groupBy("slice", "part").applyInPandas(_sum_slices, schema)
     v = np.zeros((SLICES, BUCKETS * DIM // SLICES))
     for r in parts.collect():
-        v[r["slice"]] = np.frombuffer(zlib.decompress(r["v"]), np.int64)
+        v[r["slice"]] += np.frombuffer(zlib.decompress(r["v"]), np.int64)
     v = v.reshape(BUCKETS, DIM)
     v = np.sign(v) * np.log1p(np.abs(v))
     used = np.abs(v).sum(1) > 0

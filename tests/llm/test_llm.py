@@ -98,6 +98,12 @@ def test_leaks_of_odd_rows(spark, odd):
 # 2 and 9
 
 
+def test_word_vectors_do_not_depend_on_the_number_of_tasks(spark):
+    docs = docs_of(spark, [f"one two{i % 7} three {i % 5}" for i in range(300)])
+    one, many = (quality_classifier.word_vectors(docs.repartition(n)) for n in (1, 130))
+    assert np.abs(one).sum() > 0 and np.array_equal(one, many)
+
+
 @pytest.mark.parametrize(("module", "label", "mod", "rest", "least"), [(toxicity, "toxic", 3, 1, 0.95), (quality_classifier, "quality", 5, 0, 0.95)])
 def test_classifiers(spark, module, label, mod, rest, least):
     d = "/root/testdata/sf0.1"
