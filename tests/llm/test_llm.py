@@ -99,7 +99,7 @@ def test_leaks_of_odd_rows(spark, odd):
 
 
 def test_word_vectors_do_not_depend_on_the_number_of_tasks(spark):
-    docs = docs_of(spark, [f"one two{i % 7} three {i % 5}" for i in range(300)])
+    docs = docs_of(spark, [(i, f"one two{i % 7} three {i % 5}") for i in range(300)])
     one, many = (quality_classifier.word_vectors(docs.repartition(n)) for n in (1, 130))
     assert np.abs(one).sum() > 0 and np.array_equal(one, many)
 
