@@ -211,7 +211,11 @@ def extract_comprehensive(spark, d):
     return _extract("markdown", "text", X.comprehensive)(spark, d)
 
 
-@query()
+# RE2 has no look-behind: the character before the URL is read, and only the group given back.
+_BARE = P.BARE.replace(r"""(?<![(\["'])""", r"""(?:^|[^(\["'])(""") + ")"
+
+
+@query(_duck_extract("markdown", "text", [_all(_BARE, 1)]))
 def extract_bare(spark, d):
     return _extract("markdown", "text", X.bare)(spark, d)
 
@@ -471,9 +475,23 @@ def friedman_chi2(spark, d):
     return T.friedman(_scores(spark, d, True), 6).withColumn("chi2", F.round("chi2", 6))
 
 
-@query()
+# erfc(x) is the mean of exp(-x^2 / sin^2 t) over a quarter turn; all terms are positive, so small tails stay exact.
+_ERFC = "(SELECT avg(exp(-({x}) * ({x}) / pow(sin((i + 0.5) * pi() / 40000), 2))) FROM range(0, 20000) q(i))"
+_DIGITS = "printf('%.5e', {0})::DOUBLE"
+
+
+def _digits(x):
+    """Six significant digits; null stays null."""
+    return F.when(x.isNotNull(), F.format_string("%.5e", x).try_cast("double"))
+
+
+_CHI2 = _SQL["friedman_chi2"].replace("round(", "(", 1).replace(", 6) AS chi2", ") AS chi2")
+
+
+@query(f"SELECT n, k, round(chi2, 6) AS chi2, df, {_DIGITS.format(_ERFC.format(x='sqrt(chi2 / 2)') + ' + sqrt(2 * chi2 / pi()) * exp(-chi2 / 2) * (1 + chi2 / 3)')} AS p FROM ({_CHI2})")
 def friedman_p(spark, d):
-    return T.friedman(_scores(spark, d, True), 6).withColumn("p", T.chi2_sf5(F.col("chi2")))
+    t = T.friedman(_scores(spark, d, True), 6).withColumn("p", _digits(T.chi2_sf5(F.col("chi2"))))
+    return t.withColumn("chi2", F.round("chi2", 6))
 
 
 _DIFF = f"(SELECT *, rank() OVER (PARTITION BY combo ORDER BY a) + (count(*) OVER (PARTITION BY combo, a) - 1) / 2 AS r FROM (SELECT s.combo, s.paper_id, s.recall - b.recall AS diff, round(abs(s.recall - b.recall), 12) AS a FROM {_SCORES} s JOIN {_SCORES} b ON s.paper_id = b.paper_id AND b.combo = 1 WHERE s.combo <> 1) WHERE a > 0)"
@@ -502,11 +520,17 @@ def holm_first_ten(spark, d):
     return holm(spark, d).orderBy("holm_p", "combo").limit(10)
 
 
-@query()
+_Z = "(least(up, down) - n * (n + 1) / 4) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24)"
+_TESTS = f"(SELECT c.combo, coalesce(n, 0)::BIGINT AS n, z, coalesce(effect, 0.0) AS effect, CASE WHEN z IS NOT NULL THEN {_ERFC.format(x='z / sqrt(2)')} END AS p FROM {COMBOS} c LEFT JOIN (SELECT combo, n, {_Z} AS z, (up - down) / (up + down) AS effect FROM {_WSUM}) w USING (combo) WHERE c.combo <> 1)"
+_HOLM = f"(SELECT combo, least(1.0, max(p * (m - i + 1)) OVER (ORDER BY p, combo ROWS UNBOUNDED PRECEDING)) AS holm_p FROM (SELECT combo, p, row_number() OVER (ORDER BY p, combo) AS i, count(*) OVER () AS m FROM t WHERE p IS NOT NULL))"
+
+
+@query(f"WITH t AS MATERIALIZED (SELECT * FROM {_TESTS}) SELECT t.combo, n, round(z, 6) AS z, round(effect, 6) AS effect, {_DIGITS.format('p')} AS p, {_DIGITS.format('holm_p')} AS holm_p, coalesce(holm_p <= 0.05, false) AS significant, CASE WHEN holm_p < 0.001 THEN '***' WHEN holm_p < 0.01 THEN '**' WHEN holm_p < 0.05 THEN '*' ELSE '' END AS stars FROM t LEFT JOIN {_HOLM} h USING (combo)")
 def significance(spark, d):
     """p values, Holm's correction, effect and stars of every combination against the first format."""
     tests = T.wilcoxon(_scores(spark, d), 1).withColumn("p", T.normal_two_sided(F.col("z")))
-    return T.holm(tests).withColumn("stars", S.stars(F.col("holm_p")))
+    out = T.holm(tests).withColumn("stars", S.stars(F.col("holm_p")))
+    return out.withColumns({"z": F.round("z", 6), "effect": F.round("effect", 6), "p": _digits(F.col("p")), "holm_p": _digits(F.col("holm_p"))})
 
 
 # Sampling
