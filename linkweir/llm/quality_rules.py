@@ -44,7 +44,7 @@ RULES = (
     Rule("symbols", "permille_symbols", high=100),
     Rule("shouting", "permille_upper", high=400, from_words=5),
     Rule("exclamations", "permille_exclaim", high=200),
-    Rule("stop_words", "n_stop_words", low=1, from_words=50),
+    Rule("stop_words", "permille_stop_words", low=20, from_words=50),
     Rule("repeated_lines", "permille_dup_lines", high=500, from_words=10),
     Rule("bullets", "permille_bullets", high=900, from_words=10),
     Rule("ellipses", "permille_ellipsis", high=500, from_words=10),
@@ -98,7 +98,7 @@ def ratios(measures: DataFrame) -> DataFrame:
         "permille_symbols": permille(F.col("n_symbols"), n),
         "permille_upper": permille(F.char_length(t) - _length_without(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.col("word_chars")),
         "permille_exclaim": permille(F.char_length(t) - _length_without(t, "!"), n),
-        "n_stop_words": F.size(F.array_intersect("words", F.array(*map(F.lit, STOP_WORDS)))).cast("long"),
+        "permille_stop_words": permille(F.size(F.filter("words", lambda w: F.lower(w).isin(*STOP_WORDS))), n),
         "permille_dup_lines": permille(F.col("n_dup_lines"), lines),
         "permille_bullets": permille(count(lambda x: x.startswith("- ") | x.startswith("* ") | x.startswith("•")), lines),
         "permille_ellipsis": permille(count(lambda x: x.endswith("...") | x.endswith("…")), lines),
@@ -131,7 +131,7 @@ def score_rules(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
     return scored.select(
         *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed().alias("base_failed"), (~base_failed() & verdict(rules) & whole).alias("kept"),
-        *[c for c in scored.columns if c.startswith("permille_") or c == "n_stop_words"],
+        *[c for c in scored.columns if c.startswith("permille_")],
     )
 
 
@@ -158,12 +158,12 @@ m AS (SELECT w.doc_id, t, words, lines, len(words)::BIGINT AS n_words, {gone(ws)
 f AS (SELECT *, {per('word_chars', 'n_words')} AS permille_word_chars, {per('n_symbols', 'n_words')} AS permille_symbols,
   {per("length(t) - " + gone("'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"), 'word_chars')} AS permille_upper,
   {per("length(t) - " + gone("'!'"), 'n_words')} AS permille_exclaim,
-  len(list_filter(list_distinct(words), lambda x: list_contains([{stops}], x)))::BIGINT AS n_stop_words,
+  {per(f"len(list_filter(words, lambda x: lower(x) IN ({stops})))", 'n_words')} AS permille_stop_words,
   {per('n_dup_lines', 'len(lines)')} AS permille_dup_lines,
   {per("len(list_filter(lines, lambda x: starts_with(x, '- ') OR starts_with(x, '* ') OR starts_with(x, '•')))", 'len(lines)')} AS permille_bullets,
   {per("len(list_filter(lines, lambda x: ends_with(x, '...') OR ends_with(x, '…')))", 'len(lines)')} AS permille_ellipsis FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND {' AND '.join(conds)} AS kept,
-  permille_word_chars, permille_symbols, permille_upper, permille_exclaim, n_stop_words, permille_dup_lines, permille_bullets, permille_ellipsis
+  permille_word_chars, permille_symbols, permille_upper, permille_exclaim, permille_stop_words, permille_dup_lines, permille_bullets, permille_ellipsis
 FROM f"""

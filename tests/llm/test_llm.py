@@ -294,6 +294,13 @@ def test_quality_rules_equal_sql(spark, odd):
     assert quality_rules.score_rules(odd[0]).count() == len(odd[1]) and quality_rules.score_rules(empty(spark)).count() == 0
 
 
+def test_one_stop_word_does_not_save_a_long_text(spark):
+    junk = " ".join(f"zq{i}x" for i in range(2000))
+    prose = " ".join(f"The zq{i}x of" for i in range(200))
+    got = {r["doc_id"]: r for r in quality_rules.score_rules(docs_of(spark, [(1, junk + " the"), (2, prose)])).collect()}
+    assert (got[1]["kept"], got[1]["permille_stop_words"]) == (False, 0) and (got[2]["kept"], got[2]["permille_stop_words"]) == (True, 666)
+
+
 def test_repeated_windows_against_brute_force(spark):
     rng = random.Random(6)
     texts = [(i, " ".join(rng.choices("ab", k=rng.randint(0, 40)))) for i in range(80)]
