@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from .ranking import places
 from .resample import arithmetic_draws, hashed_place
 
 
@@ -54,7 +54,7 @@ def yearly_bootstrap(pool: DataFrame, reps: int, size: int, walk: bool = False)
     """(year, rep, format, urls): sums over ``size`` papers of a year drawn with replacement.
 
     ``walk`` takes places in an arithmetic order instead, which repeats none before all are taken."""
-    ids = pool.select("year", "paper_id").distinct().withColumn("place", F.row_number().over(W.partitionBy("year").orderBy("paper_id")) - 1).withColumn("n", F.count("*").over(W.partitionBy("year")))
+    ids = places(pool.select("year", "paper_id").distinct(), ["year"], [F.col("paper_id")]).withColumnRenamed("place_of", "n")
     years = ids.select("year", "n").distinct()
     slots = years.crossJoin(arithmetic_draws(pool.sparkSession, reps, size, 1 << 30))
     place = F.pmod("place", "n") if walk else hashed_place(F.col("n"), "year", "rep", "slot")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from . import ranking
+
 
 def allocate(counts: DataFrame, target: int, strata: str = "year", part: str = "month") -> DataFrame:
     """Seats of each part of a stratum: proportional, rounded down, the rest by largest remainder (ties by part).
@@ -89,7 +91,7 @@ def bootstrap_by_join(vectors: DataFrame, reps: int, draws: Callable[[SparkSessi
     Papers are drawn from the ``population`` (default: those of the vectors); one without a vector adds nothing."""
     ids = (vectors if population is None else population).select("paper_id").distinct()
     n = ids.count()
-    places = ids.withColumn("place", F.row_number().over(W.orderBy("paper_id")) - 1)
+    places = ranking.numbered(ids, [F.col("paper_id")], "number").select("paper_id", (F.col("number") - 1).alias("place"))
     mult = draws(vectors.sparkSession, reps, n, max(n, 1)).groupBy("rep", "place").agg(F.count("*").alias("m"))
     numbered = vectors.join(places, "paper_id")
     return numbered.join(mult, "place").groupBy("rep", "combo").agg(*(F.sum(F.col(c) * F.col("m")).alias(c) for c in ("gt", "tp", "ext")))

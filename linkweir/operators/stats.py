@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import DoubleType
 
+from linkweir.sources.scratch import written
+
+from .ranking import average_ranks
+
 
 def average_rank(partition: list[str], order: str) -> Column:
-    """Rank with ties sharing the mean of their places."""
+    """Rank with ties sharing the mean of their places, for groups of bounded size; ``ranking.average_ranks`` is for others."""
     return F.rank().over(W.partitionBy(*partition).orderBy(order)) + (F.count("*").over(W.partitionBy(*partition, order)) - 1) / 2
 
 
@@ -48,17 +52,18 @@ def signed_ranks(scores: DataFrame, baseline: int) -> DataFrame:
     base = scores.where(F.col("combo") == baseline).select("paper_id", F.col("recall").alias("base"))
     d = scores.where(F.col("combo") != baseline).join(base, "paper_id").select("combo", "paper_id", (F.col("recall") - F.col("base")).alias("diff"))
     d = d.withColumn("a", F.round(F.abs("diff"), 12)).where("a > 0")
-    return d.withColumn("r", average_rank(["combo"], "a"))
+    return average_ranks(written(d, "differences"), ["combo"], "a")
 
 
 def wilcoxon(scores: DataFrame, baseline: int) -> DataFrame:
     """combo, n, z (normal approximation, corrected for ties, without continuity correction) and the rank-biserial effect."""
     r = signed_ranks(scores, baseline)
-    ties = r.groupBy("combo", "a").agg(F.count("*").alias("t")).groupBy("combo").agg(F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
-    s = r.groupBy("combo").agg(F.count("*").alias("n"), F.sum(F.when(F.col("diff") > 0, F.col("r")).otherwise(0)).alias("up"), F.sum(F.when(F.col("diff") < 0, F.col("r")).otherwise(0)).alias("down"))
-    n = F.col("n")
+    up, down = (F.sum(F.when(sign, F.col("r")).otherwise(0)) for sign in (F.col("diff") > 0, F.col("diff") < 0))
+    n, t = F.col("n"), F.col("ties").cast("double")
+    # each of the t rows of a tie carries its share of t ** 3 - t
+    s = r.groupBy("combo").agg(F.count("*").alias("n"), up.alias("up"), down.alias("down"), F.sum(t * t - 1).alias("ties"))
     sd = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("ties") / 2) / 24)
-    out = s.join(ties, "combo").select("combo", n, ((F.least("up", "down") - n * (n + 1) / 4) / sd).alias("z"), ((F.col("up") - F.col("down")) / (F.col("up") + F.col("down"))).alias("effect"))
+    out = s.select("combo", n, ((F.least("up", "down") - n * (n + 1) / 4) / sd).alias("z"), ((F.col("up") - F.col("down")) / (F.col("up") + F.col("down"))).alias("effect"))
     rest = scores.where(F.col("combo") != baseline).select("combo").distinct().join(out.select("combo"), "combo", "left_anti")
     return out.unionByName(rest.select("combo", F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("z"), F.lit(0.0).alias("effect")))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +16,7 @@ from linkweir.operators import resample as R
 from linkweir.operators import stats as T
 from linkweir.plans.fixtures import duck, load
 from linkweir.sources import files
+from linkweir.sources.scratch import new_path as _scratch
 from linkweir.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,12 +34,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder that executors share: below spark.checkpoint.dir, or the warehouse where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
 def _gt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.first_of(load(spark, sf_dir, "gt_raw"), ["paper_id", "url"], "row_idx")
 
