@@ -1,17 +1,5 @@
-"""Fixed patterns in Java's dialect. Flags (?iU): case-insensitive, with Unicode classes."""
+"""Fixed patterns in Java's dialect. Flags (?iU): case-insensitive, with Unicode classes. The rule for bare addresses is ``url_matcher``."""
 
-_SCHEMES = "https?|ftp|file|data|javascript|mailto|tel|git|ssh|magnet"
-_AUTHORITY = (
-    r"(?:\S+(?::\S*)?@)?(?:"
-    r"(?!(?:10|127)(?:\.\d{1,3}){3})(?!(?:169\.254|192\.168)(?:\.\d{1,3}){2})(?!172\.(?:1[6-9]|2\d|3[0-1])(?:\.\d{1,3}){2})"
-    r"(?:[1-9]\d?|1\d\d|2[01]\d|22[0-3])(?:\.(?:1?\d{1,2}|2[0-4]\d|25[0-5])){2}(?:\.(?:[1-9]\d?|1\d\d|2[0-4]\d|25[0-4]))"
-    r"|(?:(?:[a-z0-9\u00a1-\uffff][a-z0-9\u00a1-\uffff_-]{0,62})?[a-z0-9\u00a1-\uffff]\.){0,126}(?:[a-z\u00a1-\uffff]{2,}\.?))"
-    r"(?::\d{2,5})?(?:[/?#][^\s]*)?"
-)
-#: URLs by scheme, by www or by a domain before a slash; host labels are bounded so that Java's recursion is.
-COMPREHENSIVE = rf"(?iU)\b(?:(?:{_SCHEMES})://|www\d{{0,3}}[.]|[a-z0-9.\-]+[.][a-z]{{2,4}}/)" + _AUTHORITY + r"\b"
-#: The variant for text layers: neither a domain before a slash nor a word boundary at the end.
-TEXT_LAYER = rf"(?iU)\b(?:(?:{_SCHEMES})://|www\d{{0,3}}[.])" + _AUTHORITY
 LATEX_URL = r"\\url\{([^}]+)\}"
 LATEX_URLADDR = r"\\urladdr\{([^}]+)\}"
 MARKDOWN_LINK = r"(?iU)!?\[(?:[^\[\]]*)\]\((https?://[^\s)]+)\)"

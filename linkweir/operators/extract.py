@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
+from collections.abc import Callable, Iterable
 from html.parser import HTMLParser
+from itertools import chain
 
 import pandas as pd
 import regex
@@ -13,44 +16,63 @@ from pyspark.sql.types import ArrayType, StringType
 
 from linkweir.functions import patterns as P
 from linkweir.functions import scalars as S
+from linkweir.functions.latex_text import readable
+from linkweir.functions.url_matcher import find_urls
 
 
 def _tidy(urls: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(urls, lambda u: u.isNotNull() & (u != ""))))
 
 
-def comprehensive(text: Column) -> Column:
-    return S.find_all(text, P.COMPREHENSIVE)
+#: Seconds that a document's text and its LaTeX source may take.
+TEXT_SECONDS, LATEX_SECONDS = 120.0, 60.0
 
 
-def find_within(text: Column, pattern: str, group: int = 0, seconds: float = 120.0) -> Column:
-    """Sorted distinct matches of one document, or why there are none: a struct of urls and error.
+def each_within(search: Callable[..., Iterable[str]], *columns: Column) -> Column:
+    """What ``search`` finds in one document's columns, sorted and distinct, or why nothing: a struct of urls and error.
 
-    A document whose search takes longer than ``seconds`` gives no URLs and the error "timeout", any other failure its
-    name, and the documents beside it go on. Null and empty texts give no URLs and no error. The search runs in Python, as
-    Java's has no limit; ``scalars.find_all`` is the faster form for texts that are known to be harmless."""
-    compiled = pattern.replace("(?iU)", "(?i)")
+    A document whose search takes too long gives no URLs and the error "timeout", any other failure its name, and the
+    documents beside it go on. A null or empty first column gives no URLs and no error."""
 
     @F.pandas_udf("urls array<string>, error string")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rx = regex.compile(compiled)
-
-        def one(t):
+    def run(*series: pd.Series) -> pd.DataFrame:
+        def one(first, *rest):
             try:
-                return sorted({m[group] for m in rx.finditer(t, timeout=seconds)} if t else ()), None
+                return sorted(set(search(first, *rest))) if first else [], None
             except TimeoutError:
                 return [], "timeout"
             except Exception as e:  # one document's failure is its result
                 return [], type(e).__name__
 
-        return pd.DataFrame([one(t) for t in texts], columns=["urls", "error"])
+        return pd.DataFrame([one(*row) for row in zip(*series)], columns=["urls", "error"])
+
+    return run(*columns)
+
+
+def comprehensive_within(text: Column, seconds: float = TEXT_SECONDS) -> Column:
+    """URLs by scheme, by "www" or by a domain before a slash, as a struct of urls and error."""
+    return each_within(lambda t: find_urls(t, slash=True, edge=True, seconds=seconds), text)
 
-    return run(text)
+
+def text_layer_within(text: Column, seconds: float = TEXT_SECONDS) -> Column:
+    """The variant for text layers: neither a domain before a slash nor a word boundary at the end."""
+    return each_within(lambda t: find_urls(t, slash=False, edge=False, seconds=seconds), text)
+
+
+def comprehensive(text: Column) -> Column:
+    return comprehensive_within(text)["urls"]
+
+
+def find_within(text: Column, pattern: str, group: int = 0, seconds: float = TEXT_SECONDS) -> Column:
+    """Matches of any pattern under a time limit, as a struct of urls and error. The search runs in Python, as Java's has
+    no limit; ``scalars.find_all`` is the faster form for patterns that cannot backtrack far."""
+    rx = regex.compile(pattern.replace("(?iU)", "(?i)"))
+    return each_within(lambda t: (m[group] for m in rx.finditer(t, timeout=seconds)), text)
 
 
 def text_layer(text: Column, links: Column, raw: Column, doc_id: Column) -> Column:
     """Links of annotations, URLs of the text and of the file's bytes, cleaned, without noise and self references."""
-    found = F.concat(F.filter(links, S.keeps_link_uri), S.find_all(text, P.TEXT_LAYER), S.find_all(S.sanitize(raw), P.TEXT_LAYER))
+    found = F.concat(F.filter(links, S.keeps_link_uri), text_layer_within(text)["urls"], text_layer_within(S.sanitize(raw))["urls"])
     cleaned = F.transform(found, S.clean_url)
     return _tidy(F.filter(cleaned, lambda u: ~S.is_noise(u) & ~S.is_self_reference_text(u, doc_id)))
 
@@ -59,17 +81,34 @@ def latex_commands(source: Column) -> Column:
     return _tidy(F.concat(S.find_all(source, P.LATEX_URL, 1), S.find_all(source, P.LATEX_URLADDR, 1)))
 
 
-@F.pandas_udf(StringType())
-def detex(source: pd.Series) -> pd.Series:
-    """A small reading of LaTeX: comments go, escapes and groups open up, commands leave their arguments."""
-    out = source.str.replace(r"(?<!\\)%.*", "", regex=True).str.replace(r"\\([%&#_$])", r"\1", regex=True)
-    return out.str.replace(r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?", " ", regex=True).str.replace(r"[{}~]", " ", regex=True)
+def latex_within(source: Column, is_bibliography: Column, sanitize: bool = False, seconds: float = LATEX_SECONDS) -> Column:
+    """Command targets of the raw source and URLs of its text, as a struct of urls and error.
+
+    Bibliographies, and sources that no reader could follow, are searched as they stand; the latter have no error."""
+    commands = [re.compile(p) for p in (P.LATEX_URL, P.LATEX_URLADDR)]
+
+    def search(content, bibliography):
+        plain = content if bibliography else readable(content)[0]
+        plain = re.sub(r"[^\x20-\x7E\t\n\r]", " ", plain) if sanitize else plain
+        targets = (u for p in commands for u in p.findall(content))
+        return [u for u in chain(targets, find_urls(plain, slash=True, edge=True, seconds=seconds)) if u]
+
+    return each_within(search, source, is_bibliography)
 
 
 def latex(source: Column, is_bibliography: Column, sanitize: bool = False) -> Column:
-    """Command targets of the raw source and URLs of its text; bibliographies are read raw."""
-    plain = F.when(is_bibliography, source).otherwise(detex(source))
-    return _tidy(F.concat(latex_commands(source), comprehensive(S.sanitize(plain) if sanitize else plain)))
+    return latex_within(source, is_bibliography, sanitize)["urls"]
+
+
+def latex_papers(files: DataFrame, sanitize: bool = False, seconds: float = LATEX_SECONDS) -> DataFrame:
+    """(paper_id, path, content) of .tex and .bbl files to the union of each paper's URLs, their number and its failed files.
+
+    Files are read apart, so that a failed one costs the paper only its own URLs and a paper of many files is many tasks'."""
+    found = files.select("paper_id", latex_within(F.coalesce("content", F.lit("")), F.col("path").endswith(".bbl"), sanitize, seconds).alias("r"))
+    long = found.select("paper_id", F.col("r.error").alias("error"), F.posexplode_outer("r.urls").alias("i", "url"))
+    failed = F.count_if(F.col("error").isNotNull() & (F.coalesce("i", F.lit(0)) == 0))
+    out = long.groupBy("paper_id").agg(F.array_sort(F.collect_set("url")).alias("urls"), failed.alias("failed_files"))
+    return out.select("paper_id", "urls", F.size("urls").alias("url_count"), "failed_files")
 
 
 class _Anchors(HTMLParser):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,13 +10,14 @@ from pyspark.sql import functions as F
 
 from linkweir.functions import patterns as P
 from linkweir.functions import scalars as S
+from linkweir.functions.url_matcher import as_pattern
 from linkweir.operators import evaluation as E
 from linkweir.operators import extract as X
 from linkweir.operators import longitudinal as L
 from linkweir.operators import resample as R
 from linkweir.operators import stats as T
 from linkweir.plans.fixtures import duck, load
-from linkweir.sources import files
+from linkweir.sources import blobs, files
 from linkweir.sources.scratch import new_path as _scratch
 from linkweir.streaming import incremental
 
@@ -200,7 +202,15 @@ def extract_bytes(spark, d):
     return _extract("raw", "bytes", lambda t: X.raw_bytes(F.encode(t, "UTF-8")))(spark, d)
 
 
-@query()
+def _rule(slash: bool, edge: bool) -> str:
+    """The rule for addresses in RE2's dialect, which has no look-ahead: no private network stands in these tables."""
+    return re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", re.sub(r"\(\?!(?:[^()]|\([^()]*\))*\)", "", as_pattern(slash, edge)))
+
+
+_ADDRESSES, _LAYER = _all(_rule(True, True)), _all(_rule(False, False))
+
+
+@query(_duck_extract("markdown", "text", [_ADDRESSES]))
 def extract_comprehensive(spark, d):
     return _extract("markdown", "text", X.comprehensive)(spark, d)
 
@@ -214,23 +224,62 @@ def extract_bare(spark, d):
     return _extract("markdown", "text", X.bare)(spark, d)
 
 
-@query()
+_MARKDOWN = [_all(P.MARKDOWN_LINK, 1), _all(P.HTML_ATTRIBUTE, 1), _all(_BARE, 1), _ADDRESSES]
+
+
+@query(f"SELECT DISTINCT paper_id, 'markdown' AS format, url FROM (SELECT paper_id, regexp_replace(unnest({' || '.join(_MARKDOWN)}), '[.,;:!?)\\]}}''\"]+$', '') AS url FROM {duck('markdown')}) WHERE url <> ''")
 def extract_markdown_all(spark, d):
     return _extract("markdown", "markdown", X.markdown)(spark, d)
 
 
-@query()
+_CLEANED = f"""SELECT DISTINCT paper_id, 'textwal' AS format, regexp_replace(split_part(url, '<', 1), '{_STRIP}', '') AS url FROM (SELECT paper_id, unnest(list_filter([regexp_extract(text, '\\(([^)]*)\\)', 1)], lambda u: starts_with(u, 'http') OR starts_with(u, 'git')) || {_LAYER} || {_LAYER.replace("(text,", "(regexp_replace(text, '[^\\x20-\\x7E\\t\\n\\r]', ' ', 'g'),")}) AS url FROM {duck('raw')})"""
+
+
+@query(f"SELECT * FROM ({_CLEANED}) WHERE url <> '' AND NOT regexp_matches(lower(url), '{P.NOISE}') AND NOT regexp_matches(url, 'arxiv\\.org/(?:abs|pdf|html|ps)/' || paper_id::VARCHAR)")
 def extract_textwal(spark, d):
     t = load(spark, d, "raw")
     urls = X.text_layer(F.col("text"), F.array(F.regexp_extract("text", r"\(([^)]*)\)", 1)), F.col("text"), F.col("paper_id").cast("string"))
     return X.explode_urls(t, urls, "textwal")
 
 
-@query()
+_TARGET = "regexp_extract(text, '\\\\url\\{([^}]*)\\}', 1)"
+# What is left of the fixture's source: no comment, no commands, no braces, & and ~ as spaces; the target of \\url as it stands.
+_PLAIN = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '%[^\\n]*', ''), '\\\\(documentclass|url)\\{[^}]*\\}', ' ', 'g'), '\\\\[a-z]+', '', 'g'), '[{}&~]', ' ', 'g')"
+_SAFE = lambda x: f"regexp_replace({x}, '[^\\x20-\\x7E\\t\\n\\r]', ' ', 'g')"
+
+
+@query(_duck_extract("latex", "latex", [_all(P.LATEX_URL, 1, ""), _all(P.LATEX_URLADDR, 1, ""), _ADDRESSES.replace("(text,", f"({_SAFE(_TARGET)},"), _ADDRESSES.replace("(text,", f"({_SAFE(_PLAIN)},")]))
 def extract_latex_text(spark, d):
     return X.explode_urls(load(spark, d, "latex"), X.latex(F.col("text"), F.lit(False), sanitize=True), "latex")
 
 
+# The files of a paper: a source that nests, a bibliography, and one that does not close its group.
+_PAPER_FILES = {
+    "main.tex": "\\documentclass{{article}}\n% {u}/comment\n\\begin{{document}}\nSee \\href{{{u}/a\\%20b}}{{the {{nested \\emph{{page}}}}}}, \\url{{{u}/50%25}}\\footnote{{{u}/foot}}.\n\\begin{{verbatim}}\n{u}/as%20it_is\n\\end{{verbatim}}\n\\end{{document}}\n",
+    "text/refs.bbl": "\\bibitem{{x}} \\urladdr{{{u}/home}} % {u}/kept\n",
+    "text/broken.tex": "{{ open % {u}/raw\n\\url{{{u}/broken}}\n",
+}
+_PAPER_URLS = ("/a%20b", "/50%25", "/foot", "/as%20it_is", "/home", "/kept", "/raw", "/broken")
+_BASE = "https://a.org/p"
+
+
+def _paper_files(spark, d, tag):
+    """Root of a folder with the files of one paper a page."""
+    root = _scratch(spark, tag)
+    pages = load(spark, d, "urls").select("paper_id", F.concat(F.lit(_BASE), F.col("paper_id").cast("string")).alias("u"))
+    named = [F.struct(F.lit(name).alias("name"), F.concat(*(x for i, part in enumerate(text.format(u="\0").split("\0")) for x in ([F.col("u")] if i else []) + [F.lit(part)])).alias("content")) for name, text in _PAPER_FILES.items()]
+    files = pages.select("paper_id", F.explode(F.array(*named)).alias("f"))
+    blobs.write_files(files.select(F.concat_ws("/", "paper_id", "f.name").alias("path"), "f.content"), root)
+    return root
+
+
+@query(f"SELECT paper_id::VARCHAR AS paper_id, unnest(list_transform({list(_PAPER_URLS)}, lambda x: '{_BASE}' || paper_id::VARCHAR || x)) AS url, {len(_PAPER_URLS)} AS url_count, 0::BIGINT AS failed_files FROM {duck('urls')}")
+def extract_latex_papers(spark, d):
+    """The union over each paper's files, read from a folder of papers."""
+    got = X.latex_papers(files.latex_sources(spark, _paper_files(spark, d, "papers")), sanitize=True)
+    return got.select("paper_id", F.explode("urls").alias("url"), "url_count", "failed_files")
+
+
 @query("""SELECT DISTINCT page_id AS paper_id, 'html' AS format, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS url FROM pages""")
 def extract_html_anchors(spark, d):
     t = spark.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("paper_id"), "html")

@@ -21,7 +21,7 @@ SQL = {
     "layout": "SELECT p_partkey AS paper_id, CAST(1992 + p_partkey % 5 AS INT) AS year, p_size AS n_pages, CAST(length(p_name) * 4 AS INT) AS n_chars, CAST(p_partkey % 2 AS INT) AS n_images, CASE WHEN p_partkey % 3 = 0 THEN 'double' ELSE 'single' END AS layout FROM {part}",
     "urls": "SELECT page_id AS paper_id, url FROM {pages}",
     "markdown": "SELECT page_id AS paper_id, concat('See [x](', url, ') and ![i](', url, '.png), <a href=\"', url, '/a\">here</a> <img src=''', url, '.gif''> or ', url, '.') AS text FROM {pages}",
-    "latex": "SELECT page_id AS paper_id, concat('\\\\documentclass{{article}} % ', url, ' \\\\url{{', url, '}} text \\\\urladdr{{', url, '/home}} \\\\emph{{x}} ', url) AS text FROM {pages}",
+    "latex": "SELECT page_id AS paper_id, concat('\\\\documentclass{{article}} % ', url, chr(10), ' \\\\url{{', url, '}} text \\\\urladdr{{', url, '/home}} \\\\emph{{x}} ', url) AS text FROM {pages}",
     "tei": "SELECT page_id AS paper_id, concat('<TEI><text><ref target=\"', replace(url, '&', '&amp;'), '\">x</ref><ref target=\"#b', page_id, '\"/><ptr target=\"', replace(url, '&', '&amp;'), '/2\"/></text></TEI>') AS text FROM {pages}",
     "vlm": "SELECT page_id AS paper_id, concat('user: list URLs', chr(10), 'Assistant: ', url, chr(10), '  ', chr(10), ' 1. ', url, '/b). ', chr(10), 'none here', chr(10), 'www.x', page_id, '.org/a, and www.y.org') AS text FROM {pages}",
     "llm": "SELECT page_id AS paper_id, CASE page_id % 4 WHEN 0 THEN concat('```json', chr(10), '[\"', url, '\", \"', url, '/2\"]', chr(10), '```') WHEN 1 THEN concat('[\"', url, '\"]') WHEN 2 THEN concat('Sorry, ', url) ELSE '[]' END AS text FROM {pages}",

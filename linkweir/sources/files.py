@@ -24,7 +24,7 @@ def list_files(spark: SparkSession, root: str, ext: str) -> DataFrame:
 
 def whole_texts(spark: SparkSession, root: str, ext: str) -> DataFrame:
     """paper_id and content, one row a file."""
-    t = spark.read.option("wholetext", True).option("pathGlobFilter", f"*.{ext}").option("recursiveFileLookup", True).text(root)
+    t = spark.read.option("pathGlobFilter", f"*.{ext}").option("recursiveFileLookup", True).text(root, wholetext=True)
     return t.select(stem(F.col("_metadata.file_path"), ext).alias("paper_id"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
@@ -35,7 +35,7 @@ def with_content(papers: DataFrame, texts: DataFrame) -> DataFrame:
 
 def latex_sources(spark: SparkSession, root: str) -> DataFrame:
     """.tex and .bbl files with the paper that their first folder below ``root`` names."""
-    t = spark.read.option("wholetext", True).option("pathGlobFilter", "*.{tex,bbl}").option("recursiveFileLookup", True).text(root)
+    t = spark.read.option("pathGlobFilter", "*.{tex,bbl}").option("recursiveFileLookup", True).text(root, wholetext=True)
     path = F.col("_metadata.file_path")
     below = F.substring_index(path, root.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
     return t.select(F.substring_index(below, "/", 1).alias("paper_id"), path.alias("path"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("content"))
@@ -59,7 +59,7 @@ def read_json(spark: SparkSession, path: str, schema: str, multiline: bool = Tru
 
 def read_nested_map(spark: SparkSession, path: str, record: str) -> DataFrame:
     """{outer: {inner: record}} as rows (outer, inner, columns of the record)."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     m = whole.select(F.explode(F.from_json("value", f"map<string,map<string,struct<{record}>>>")).alias("outer", "m"))
     return m.select("outer", F.explode("m").alias("inner", "r")).select("outer", "inner", "r.*")
 
@@ -94,7 +94,7 @@ def existing(manifest: DataFrame, files: DataFrame) -> DataFrame:
 
 def read_status_files(spark: SparkSession, path: str) -> DataFrame:
     """Conversion records; a file that does not parse has the status corrupted_json and its name as id."""
-    t = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", CONVERSION).alias("r"))
+    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", CONVERSION).alias("r"))
     bad = F.col("r.arxiv_id").isNull()
     return t.select(F.when(bad, F.col("file")).otherwise(F.col("r.arxiv_id")).alias("paper_id"), F.when(bad, F.lit("corrupted_json")).otherwise(F.col("r.status")).alias("status"), F.try_to_timestamp("r.timestamp").alias("at"), F.col("r.error").alias("error"))
 
@@ -122,7 +122,7 @@ def read_tracker_logs(spark: SparkSession, path: str) -> DataFrame:
 
 def hardware_tally(spark: SparkSession, path: str) -> DataFrame:
     """Logs by the accelerator that they name."""
-    t = spark.read.option("wholetext", True).text(path)
+    t = spark.read.text(path, wholetext=True)
     kind = F.when(F.col("value").contains("A100"), "A100").when(F.col("value").contains("V100"), "V100")
     return t.select(kind.alias("kind")).where(F.col("kind").isNotNull()).groupBy("kind").agg(F.count("*").alias("logs"))
 

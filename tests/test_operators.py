@@ -27,7 +27,7 @@ def test_java_patterns_match_as_pythons_do(spark):
     bits = ["http://", "https://", "www.", "a.org/", "x.com", "10.0.0.1", "8.8.8.8", ":80", "/p?q=1", " ", "(", ")", "[", "]", "'", '"', ".", ",", "é", "ftp://u:p@", "\n", "#t", "%20"]
     texts = ["".join(random.choices(bits, k=random.randint(1, 9))) for _ in range(800)]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    for p in (P.COMPREHENSIVE, P.TEXT_LAYER, P.BARE, P.STRICT):
+    for p in (P.BARE, P.STRICT):
         got = {r["i"]: r["u"] for r in rows.select("i", S.find_all(F.col("t"), p).alias("u")).collect()}
         rx = python_pattern(p)
         for i, t in enumerate(texts):
@@ -138,7 +138,7 @@ def test_a_document_that_takes_too_long_leaves_the_others_alone(spark):
     slow = {r["i"]: (r["u"]["urls"], r["u"]["error"]) for r in rows.select("i", X.find_within(F.col("t"), r"(?:(?:a|aa)+)+b", 0, 0.5).alias("u")).collect()}
     assert slow == {1: ([], "timeout"), 2: (["aab"], None), 3: ([], None), 4: ([], None)}
     texts = spark.createDataFrame([("see http://a.org/x, www.b.com/y) and [t](https://c.de/z)",)], "t string")
-    for p, g in ((P.COMPREHENSIVE, 0), (P.TEXT_LAYER, 0), (P.BARE, 0), (P.STRICT, 0), (P.MARKDOWN_LINK, 1)):
+    for p, g in ((P.BARE, 0), (P.STRICT, 0), (P.MARKDOWN_LINK, 1)):
         r = texts.select(X.find_within(F.col("t"), p, g)["urls"].alias("a"), S.find_all(F.col("t"), p, g).alias("b")).first()
         assert r["a"] == r["b"] != []
 
