@@ -10,7 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from linkweir.sources.scratch import written
+
 from . import ranking
+from .bottom import least
+from .ranking import places
 
 
 def allocate(counts: DataFrame, target: int, strata: str = "year", part: str = "month") -> DataFrame:
@@ -27,9 +31,12 @@ def allocate(counts: DataFrame, target: int, strata: str = "year", part: str = "
 
 def stratified(rows: DataFrame, target: int, order: Column, key: str = "paper_id", strata: str = "year", part: str = "month") -> DataFrame:
     """``target`` rows of each stratum, drawn in the given order inside each part."""
-    seats = allocate(rows.groupBy(strata, part).agg(F.count("*").alias("n")), target, strata, part)
-    place = F.row_number().over(W.partitionBy(strata, part).orderBy(order, key))
-    return rows.withColumn("place", place).join(seats.select(strata, part, "seats"), [strata, part]).where(F.col("place") <= F.col("seats")).drop("place", "seats")
+    counts = rows.groupBy(strata, part).agg(F.count("*").alias("n"))
+    seats = allocate(counts, target, strata, part).select(F.col(strata).alias("_strata"), F.col(part).alias("_part_of"), F.col("seats").alias("_seats"))
+    # one row a part of a stratum: Spark broadcasts it where it is small
+    same = F.col(strata).eqNullSafe(F.col("_strata")) & F.col(part).eqNullSafe(F.col("_part_of"))
+    drawn = rows.withColumn("_order", order).join(seats, same).drop("_strata", "_part_of")
+    return least(drawn, [strata, part], ["_order", key], "_seats").drop("_order", "_seats", "nth")
 
 
 COLUMN_GAP, SINGLE_MAX, DOUBLE_MAX, ETD_MIN, SCANNED_CHARS, MIN_SIDE = 50, 20, 15, 30, 50, 5
@@ -57,15 +64,19 @@ def quota_sample(rows: DataFrame, quotas: dict[str, int], order: Column, key: st
     """Rows of each year up to each category's quota in the given order, and whether the year's log would reach them.
 
     Reading stops where the last quota is filled; a year in which one is not filled is read whole."""
-    quota = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])
-    by_year, by_cat = W.partitionBy("year").orderBy(order, key), W.partitionBy("year", "category").orderBy(order, key)
-    r = rows.withColumn("place", F.row_number().over(by_year)).withColumn("nth", F.row_number().over(by_cat)).withColumn("quota", F.get(F.array(F.element_at(quota, F.col("category"))), F.lit(0)))
-    r = r.withColumn("selected", F.coalesce(F.col("nth") <= F.col("quota"), F.lit(False)))
-    whole = W.partitionBy("year")
-    filled = F.count(F.when(F.col("nth") == F.col("quota"), 1)).over(whole)
-    last = F.max(F.when(F.col("nth") == F.col("quota"), F.col("place"))).over(whole)
-    r = r.withColumn("last", F.when(filled == len(quotas), last).otherwise(F.count("*").over(whole)))
-    return r.where(F.col("place") <= F.col("last")).select("year", key, "category", "place", "selected")
+    table = rows.sparkSession.createDataFrame(list(quotas.items()), "category string, quota long")
+    ordered = written(rows.select("year", key, "category", order.alias("_order")), "quota-rows")
+    nth = least(ordered.join(F.broadcast(table), "category"), ["year", "category"], ["_order", key], "quota")
+    at = F.struct("_order", key)
+    # one row a year and category: whether its quota is filled, and by which row
+    filled = nth.groupBy("year", "category").agg(F.max(at).alias("_last"), (F.max("nth") == F.max("quota")).alias("_filled"))
+    filled = written(filled, "quota-filled")
+    stops = filled.where("_filled").groupBy("year").agg(F.count("*").alias("_n"), F.max("_last").alias("_stop")).where(F.col("_n") == len(quotas)).select("year", "_stop")
+    read = ordered.join(stops, "year", "left").where(F.col("_stop").isNull() | (at <= F.col("_stop")))
+    marked = read.join(filled, ["year", "category"], "left")
+    selected = F.coalesce(F.col("_last").isNotNull() & (~F.col("_filled") | (at <= F.col("_last"))), F.lit(False))
+    placed = places(marked.select("year", key, "category", "_order", selected.alias("selected")), ["year"], [F.col("_order"), F.col(key)])
+    return placed.select("year", key, "category", (F.col("place") + 1).alias("place"), "selected")
 
 
 def arithmetic_draws(spark: SparkSession, reps: int, slots: int, papers: int, step: int = 7919, jump: int = 104729, start: int = 13) -> DataFrame:
@@ -91,9 +102,9 @@ def bootstrap_by_join(vectors: DataFrame, reps: int, draws: Callable[[SparkSessi
     Papers are drawn from the ``population`` (default: those of the vectors); one without a vector adds nothing."""
     ids = (vectors if population is None else population).select("paper_id").distinct()
     n = ids.count()
-    places = ranking.numbered(ids, [F.col("paper_id")], "number").select("paper_id", (F.col("number") - 1).alias("place"))
+    numbers = ranking.numbered(ids, [F.col("paper_id")], "number").select("paper_id", (F.col("number") - 1).alias("place"))
     mult = draws(vectors.sparkSession, reps, n, max(n, 1)).groupBy("rep", "place").agg(F.count("*").alias("m"))
-    numbered = vectors.join(places, "paper_id")
+    numbered = vectors.join(numbers, "paper_id")
     return numbered.join(mult, "place").groupBy("rep", "combo").agg(*(F.sum(F.col(c) * F.col("m")).alias(c) for c in ("gt", "tp", "ext")))
 
 
