@@ -2,7 +2,7 @@
 
 Of every prefix of a piece exactly one token can be the last of its encoding: the one that is a suffix of the prefix and
 whose seam with the last token of the rest no merge would cross. Those last tokens are the table that is kept: reading it
-backwards gives the ids, a longer piece only adds entries (appends), and after an edit the entries before it stay and those
+backwards gives the ids, a longer piece only adds entries (appends; sorted pieces share those of their common prefixes), and after an edit the entries before it stay and those
 after it are taken over once a longest token's run of them is the same again (``relabel``, ``Encoded``).
 
 Whether a merge crosses the seam of two tokens is found by undoing their merges from the last one on, along the two edges
@@ -12,7 +12,8 @@ is first taken apart.
 The pattern's matches (pieces) are encoded separately. Its character classes are those of the tiktoken library, which are
 asked for once a process: characters that the regex module classes otherwise are replaced by a stand-in of the same class
 while a text is split. A text is first cut before single spaces, where the pattern never joins, and each distinct chunk is
-encoded once and remembered, in a table that is emptied when it is full. Texts are never cut short.
+encoded once and remembered: in two tables, of which the older goes when the younger is full, and what is met again moves
+to the younger. Texts are never cut short.
 
 Null and empty texts have no ids and decode to no bytes. A null id stays null, ids may be of any type, repeated rows are
 encoded alike, an empty table stays empty; a kept column with the name of a result is left out.
@@ -22,8 +23,9 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -36,12 +38,13 @@ from pyspark.sql import functions as F
 
 from .common import kept_columns
 
-#: Chunks, pieces and pairs of tokens that a worker remembers before it starts anew.
-REMEMBERED = 800_000
+#: Chunks, pieces and pairs of tokens that a table of a worker's memory holds.
+REMEMBERED = 150_000
 #: A space between white space (or the end) and white space: no place to cut.
 _UNSAFE = re.compile(r"\s (?!\S)")
 _CUTS = regex.compile(r"(?<!\s) | (?=\S)")
 _NEVER = 1 << 62
+_INT = struct.Struct("<i").pack
 
 
 class Vocabulary:
@@ -53,8 +56,12 @@ class Vocabulary:
         for t, i in ranks.items():
             self.tokens[i] = t
         self.longest = max(map(len, ranks), default=1)
+        #: The longest token that ends in two bytes: no longer one needs a look.
+        self._ends: dict[bytes, int] = {}
+        for t in ranks:
+            self._ends[t[-2:]] = max(self._ends.get(t[-2:], 1), len(t))
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._seams: dict[tuple[int, int], bool] = {}
+        self._seams: dict[int, bool] = {}
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -81,11 +88,11 @@ class Vocabulary:
         """Whether the encoding of two tokens' bytes is those two tokens.
 
         Of equal ranks the leftmost pair merges first: before one across the seam if it lies left of it, after it if right."""
-        pair = (left, right)
+        pair = left << 32 | right
         known = self._seams.get(pair)
         if known is not None:
             return known
-        if len(self._seams) > REMEMBERED:
+        if len(self._seams) > 4 * REMEMBERED:
             self._seams.clear()
         tokens, ranks, halves = self.tokens, self.ranks, self.halves
         left_goes = right_goes = _NEVER  # ranks of the merges that take these tokens away from the seam
@@ -107,20 +114,43 @@ class Vocabulary:
 
     def last_token(self, piece: bytes, i: int, last: list[int]) -> int:
         """The last token of the prefix of ``i`` bytes, given those of all shorter prefixes."""
-        ranks, seam_holds = self.ranks, self.seam_holds
-        for size in range(min(i, self.longest), 0, -1):
+        ranks, seams = self.ranks, self._seams
+        for size in range(i if i < 8 else min(i, self._ends.get(piece[i - 2 : i], 1)), 0, -1):
             t = ranks.get(piece[i - size : i])
-            if t is not None and (size == i or seam_holds(last[i - size], t)):
+            if t is None:
+                continue
+            if size == i:
+                return t
+            before = last[i - size]
+            holds = seams.get(before << 32 | t)
+            if holds or (holds is None and self.seam_holds(before, t)):
                 return t
         raise ValueError(f"no token for byte {piece[i - 1]}")
 
-    def prefix_table(self, piece: bytes, known: list[int] | None = None) -> list[int]:
-        """Last tokens of all prefixes (entry 0 stands for the empty one), from those ``known`` of the shorter on."""
-        last = known or [-1]
+    def extend(self, piece: bytes, last: list[int]) -> list[int]:
+        """Append the last tokens of the prefixes that the table ``last`` of a shorter prefix lacks."""
+        last_token, add = self.last_token, last.append
         for i in range(len(last), len(piece) + 1):
-            last.append(self.last_token(piece, i, last))
+            add(last_token(piece, i, last))
         return last
 
+    def prefix_table(self, piece: bytes) -> list[int]:
+        """Last tokens of all prefixes; entry 0 stands for the empty one."""
+        return self.extend(piece, [-1])
+
+    def encode_all(self, pieces: Iterable[bytes]) -> Iterator[tuple[bytes, list[int]]]:
+        """Every piece and its ids. Sorted neighbours share a prefix, whose entries serve both."""
+        before, last = b"", [-1]
+        for piece in sorted(pieces):
+            same = 0
+            for a, b in zip(before, piece):
+                if a != b:
+                    break
+                same += 1
+            del last[same + 1 :]
+            before = piece
+            yield piece, self.ids(self.extend(piece, last))
+
     def relabel(self, piece: bytes, old: bytes, old_last: list[int]) -> list[int]:
         """The table of ``piece`` from that of ``old``: only entries near what differs are computed."""
         n, shift = len(piece), len(old) - len(piece)
@@ -161,15 +191,20 @@ class Splitter:
             theirs = set(bytes(asked.encode_ordinary(every)).decode())
             stands |= {ord(c): stand for c in theirs.difference(regex.findall(kind, every))}
         self.stands = stands
-        self.differing = regex.compile(f"[{''.join(map(chr, sorted(stands)))}]") if stands else None
+        self.first_stand = chr(min(stands)) if stands else None
 
     def spans(self, text: str, start: int = 0) -> Iterator[tuple[int, int]]:
-        if self.differing and not text.isascii() and self.differing.search(text):
-            text = text.translate(self.stands)
-        return (m.span() for m in self.pattern.finditer(text, start))
+        return (m.span() for m in self.pattern.finditer(self.classed(text), start))
+
+    def classed(self, text: str) -> str:
+        """The text with stand-ins; itself where there are none."""
+        if text.isascii() or not self.first_stand or max(text) < self.first_stand or self.stands.keys().isdisjoint(map(ord, text)):
+            return text
+        return text.translate(self.stands)
 
     def pieces(self, text: str) -> list[str]:
-        return [text[a:b] for a, b in self.spans(text)]
+        same = self.classed(text)
+        return self.pattern.findall(text) if same is text else [text[a:b] for a, b in self.spans(text)]
 
 
 @lru_cache(maxsize=2)
@@ -182,32 +217,55 @@ def splitter(pattern: str) -> Splitter:
     return Splitter(pattern)
 
 
+class Memory(dict):
+    """What was computed of late: ``self`` and the table before it."""
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict = {}
+
+    def turn(self) -> None:
+        """Begin a new table if this one is full."""
+        if len(self) > REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+
+    def recall(self, key):
+        """The value of a key that ``self`` lacks, from the older table; None if it is new."""
+        got = self.older.get(key)
+        if got is not None:
+            self[key] = got
+        return got
+
+
 class Encoder:
     """Ids of whole texts, with a memory of chunks and pieces."""
 
     def __init__(self, path: str, pattern: str):
         self.vocabulary, self.splitter = vocabulary(path), splitter(pattern)
-        self.heads: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
-        self.of_piece: dict[str, bytes] = {}
-
-    def _chunk(self, chunk: str) -> bytes:
-        out, v = [], self.vocabulary
-        for piece in self.splitter.pieces(chunk):
-            got = self.of_piece.get(piece)
-            if got is None:
+        self.heads, self.known, self.of_piece = Memory(), Memory(), Memory()
+
+    def _learn(self, memory: Memory, chunks: list[str], space: str) -> None:
+        """Encode chunks, each after ``space``: first the pieces that are new, then what the chunks put together."""
+        of_piece, ranks = self.of_piece, self.vocabulary.ranks
+        parts = [self.splitter.pieces(space + c) for c in chunks]
+        fresh = {}
+        for piece in set(chain.from_iterable(parts)).difference(of_piece):
+            if of_piece.recall(piece) is None:
                 raw = piece.encode()
-                whole = v.ranks.get(raw)
-                got = np.array([whole] if whole is not None else v.ids(v.prefix_table(raw)), np.int32).tobytes()
-                self.of_piece[piece] = got
-            out.append(got)
-        return b"".join(out)
+                whole = ranks.get(raw)
+                if whole is None:
+                    fresh[raw] = piece
+                else:
+                    of_piece[piece] = _INT(whole)
+        for raw, ids in self.vocabulary.encode_all(fresh):
+            of_piece[fresh[raw]] = struct.pack(f"<{len(ids)}i", *ids)
+        memory.update((c, b"".join(map(of_piece.__getitem__, p))) for c, p in zip(chunks, parts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as int32."""
         for memory in (self.heads, self.known, self.of_piece):
-            if len(memory) > REMEMBERED:
-                memory.clear()
+            memory.turn()
         heads, rests = [], []
         for t in texts:
             if _UNSAFE.search(t):
@@ -218,10 +276,8 @@ class Encoder:
                 head, *rest = t.split(" ")
                 heads.append(head)
                 rests.append(rest)
-        for h in set(heads).difference(self.heads):
-            self.heads[h] = self._chunk(h)
-        for c in set(chain.from_iterable(rests)).difference(self.known):
-            self.known[c] = self._chunk(" " + c)
+        for memory, met, space in ((self.heads, set(heads), ""), (self.known, set(chain.from_iterable(rests)), " ")):
+            self._learn(memory, [c for c in met.difference(memory) if memory.recall(c) is None], space)
         first, known = self.heads, self.known.__getitem__
         return [first[h] + b"".join(map(known, r)) for h, r in zip(heads, rests)]
 
