@@ -333,20 +333,34 @@ def _field(docs: DataFrame, columns: list[str]) -> str:
     return "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, columns: list[str] | None = None) -> DataFrame:
-    """``columns`` (default: doc_id) and ``ids``, an array of int, of each text."""
-    columns = kept_columns(docs, columns, ("ids",))
+def _lists(encoded: list[bytes]) -> pa.ListArray:
+    """Ids as int32 of several texts as a column."""
+    ends = np.cumsum([0, *(len(g) // 4 for g in encoded)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(encoded))]))
+
+
+def _mapped(docs: DataFrame, path: str, pattern: str, columns: list[str], both: bool) -> DataFrame:
     given = docs.select(*columns, F.coalesce(F.col("text"), F.lit("")).alias("_text"))
+    names = [*columns, "ids", "decoded"] if both else [*columns, "ids"]
 
     def run(batches):
         enc = encoder(path, pattern)
         for b in batches:
-            got = enc.encode(b.column("_text").to_pylist())
-            ends = np.cumsum([0, *(len(g) // 4 for g in got)]).astype(np.int32)
-            values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(got))])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.ListArray.from_arrays(pa.array(ends), values)], [*columns, "ids"])
+            ids = _lists(enc.encode(b.column("_text").to_pylist()))
+            made = [ids, _decoded(ids, enc.vocabulary)] if both else [ids]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), *made], names)
+
+    return given.mapInArrow(run, _field(docs, columns) + "ids array<int>" + (", decoded binary" if both else ""))
+
 
-    return given.mapInArrow(run, _field(docs, columns) + "ids array<int>")
+def _decoded(ids: pa.ListArray, v: Vocabulary) -> pa.Array:
+    out = [v.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else b"" for x in ids]
+    return pa.array(out, pa.binary())
+
+
+def encode(docs: DataFrame, path: str, pattern: str, columns: list[str] | None = None) -> DataFrame:
+    """``columns`` (default: doc_id) and ``ids``, an array of int, of each text."""
+    return _mapped(docs, path, pattern, kept_columns(docs, columns, ("ids",)), both=False)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -356,13 +370,16 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches):
         v = vocabulary(path)
         for b in batches:
-            ids = pa.array(b.column("ids"))
-            out = [v.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else b"" for x in ids]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(out, pa.binary())], [*columns, "decoded"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), _decoded(b.column("ids"), v)], [*columns, "decoded"])
 
     return encoded.select(*columns).mapInArrow(run, _field(encoded, columns) + "decoded binary")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, columns: list[str] | None = None) -> DataFrame:
+    """``columns`` (default: doc_id), ``ids`` and ``decoded``, the bytes that the ids give back, in one pass."""
+    return _mapped(docs, path, pattern, kept_columns(docs, columns, ("ids", "decoded")), both=True)
+
+
 def ids_digest(ids: Column) -> Column:
     """SHA-256 of the decimal ids joined by commas."""
     return F.sha2(F.array_join(ids.cast("array<string>"), ",").cast("binary"), 256)
@@ -371,5 +388,5 @@ def ids_digest(ids: Column) -> Column:
 def encode_and_decode(docs: DataFrame, path: str, pattern: str, columns: list[str] | None = None) -> DataFrame:
     """``columns`` (default: doc_id), n_tokens and digests of the ids and of what they decode to."""
     columns = kept_columns(docs, columns, ("ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256"))
-    both = decode(encode(docs, path, pattern, columns), path)
+    both = round_trip(docs, path, pattern, columns)
     return both.select(*columns, F.size("ids").cast("long").alias("n_tokens"), ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

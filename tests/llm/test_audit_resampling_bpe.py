@@ -261,6 +261,7 @@ def test_encode_and_decode_rows(spark):
     both = byte_bpe.decode(byte_bpe.encode(docs, MULTI, PATTERN, ["doc_id", "text", "ids"]), MULTI)
     assert both.columns == ["doc_id", "text", "ids", "decoded"]
     assert both.where(F.decode("decoded", "UTF-8") != F.coalesce("text", F.lit(""))).count() == 0
+    assert sorted((tuple(r) for r in byte_bpe.round_trip(docs, MULTI, PATTERN, ["doc_id", "text", "ids"]).collect()), key=repr) == sorted((tuple(r) for r in both.collect()), key=repr)
     assert byte_bpe.encode_and_decode(docs.limit(0), MULTI, PATTERN).count() == 0
     assert byte_bpe.decode(spark.createDataFrame([(None,), ([],)], "ids array<int>"), MULTI).where("decoded <> x''").count() == 0
 
