@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,26 +15,14 @@ from linkweir.operators import extract as X
 from linkweir.operators import longitudinal as L
 from linkweir.operators import resample as R
 from linkweir.operators import stats as T
+from linkweir.plans import file_queries  # noqa: F401  its queries are entered too
 from linkweir.plans.fixtures import duck, load
+from linkweir.plans.registry import QUERIES, Query, query
+from linkweir.plans.registry import SQL as _SQL
 from linkweir.sources import blobs, files
 from linkweir.sources.scratch import new_path as _scratch
 from linkweir.streaming import incremental
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _gt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.first_of(load(spark, sf_dir, "gt_raw"), ["paper_id", "url"], "row_idx")
 
@@ -748,7 +735,7 @@ def incremental_extract(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:

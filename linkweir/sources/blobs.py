@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -21,7 +22,10 @@ RANGE = 64 << 20
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    """The file system and the path in it. Local paths are taken as they stand, as Spark writes them, with or without "file:"."""
+    if "://" not in path or path.startswith("file:"):
+        return fs.LocalFileSystem(), re.sub(r"^file:/+", "/", path)
+    return fs.FileSystem.from_uri(quote(path, safe="/:@%?=&+,;~!$'()*#[]"))
 
 
 def _fields(df: DataFrame) -> str:

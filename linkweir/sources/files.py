@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .blobs import ask, copy_files
+
 STAGE = "filename string, url_count int, urls array<string>"
 GROUND_TRUTH = "arxiv_id string, URL string, OADS string, location string, `Spatial Complexity` string, `Lexicographical Complexity` string, `Representational Complexity` string"
 CONVERSION = "arxiv_id string, source_pdf_path string, target_xml_path string, status string, timestamp string, error string"
@@ -57,13 +59,6 @@ def read_json(spark: SparkSession, path: str, schema: str, multiline: bool = Tru
     return spark.read.schema(schema).option("multiLine", multiline).json(path)
 
 
-def read_nested_map(spark: SparkSession, path: str, record: str) -> DataFrame:
-    """{outer: {inner: record}} as rows (outer, inner, columns of the record)."""
-    whole = spark.read.text(path, wholetext=True)
-    m = whole.select(F.explode(F.from_json("value", f"map<string,map<string,struct<{record}>>>")).alias("outer", "m"))
-    return m.select("outer", F.explode("m").alias("inner", "r")).select("outer", "inner", "r.*")
-
-
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Typed CSV with quoted line breaks; the usual marks of missing values become null."""
     t = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
@@ -88,8 +83,9 @@ def strided(rows: DataFrame, place: str, part: int, parts: int) -> DataFrame:
     return rows.where(F.pmod(F.col(place), F.lit(parts)) == part)
 
 
-def existing(manifest: DataFrame, files: DataFrame) -> DataFrame:
-    return manifest.join(files.select("path"), "path", "left_semi")
+def existing(manifest: DataFrame) -> DataFrame:
+    """The rows whose ``path`` is a file, with its ``size``; tasks ask for their own paths and nothing is listed."""
+    return ask(manifest).where(F.col("size").isNotNull())
 
 
 def read_status_files(spark: SparkSession, path: str) -> DataFrame:
@@ -109,6 +105,15 @@ def write_selected(rows: DataFrame, path: str) -> None:
     rows.select("category", F.col("path").alias("value")).write.mode("overwrite").partitionBy("category").text(path)
 
 
+def copy_selected(rows: DataFrame, root: str) -> None:
+    """A list of paths for each category below ``root``/lists, and copies of those files below ``root``/<category>.
+
+    A selected file that is missing stands in its list and is not copied; files of one name in a category overwrite each other."""
+    write_selected(rows, f"{root}/lists")
+    target = F.concat_ws("/", F.lit(root.rstrip("/")), "category", F.substring_index("path", "/", -1))
+    copy_files(rows.where("category is not null").select("path", target.alias("target"))).write.format("noop").mode("overwrite").save()
+
+
 def converted_path(pdf_path: Column, ext: str = ".md") -> Column:
     """Where a conversion of a PDF lies: every ".pdf" of the path is replaced."""
     return F.replace(pdf_path, F.lit(".pdf"), F.lit(ext))

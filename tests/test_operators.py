@@ -178,9 +178,6 @@ def test_file_sources(spark, tmp_path):
     src = files.latex_sources(spark, f"file://{root}")
     assert src.count() == 5
     assert {r["paper_id"]: r["path"].rsplit("/", 1)[-1] for r in files.main_file(src).collect()} == {"p1": "a.tex", "p2": "m.tex"}
-    (tmp_path / "m.json").write_text(json.dumps({"1993": {"hep/1": {"urls": ["u"], "num_urls": 1}}}))
-    r = files.read_nested_map(spark, f"file://{tmp_path}/m.json", "urls array<string>, num_urls int").first()
-    assert (r["outer"], r["inner"], r["num_urls"]) == ("1993", "hep/1", 1)
     (tmp_path / "s").mkdir()
     (tmp_path / "s/a_meta.json").write_text(json.dumps({"arxiv_id": "1", "status": "ok", "timestamp": "2024-01-02 03:04:05"}))
     (tmp_path / "s/b_meta.json").write_text("{broken")
