@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import kept_columns
 
 #: Chunks, pieces and pairs of tokens that a table of a worker's memory holds.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 #: A space between white space (or the end) and white space: no place to cut.
 _UNSAFE = re.compile(r"\s (?!\S)")
 _CUTS = regex.compile(r"(?<!\s) | (?=\S)")
@@ -92,7 +92,7 @@ class Vocabulary:
         known = self._seams.get(pair)
         if known is not None:
             return known
-        if len(self._seams) > 4 * REMEMBERED:
+        if len(self._seams) > REMEMBERED:
             self._seams.clear()
         tokens, ranks, halves = self.tokens, self.ranks, self.halves
         left_goes = right_goes = _NEVER  # ranks of the merges that take these tokens away from the seam
