@@ -164,3 +164,24 @@ def keeps_link_uri(u: Column) -> Column:
 
 def trimmed(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded as Python's ``round`` does it: by its exact binary value, halves to even.
+
+    The product with the power of ten is taken with its rounding error, from halves of the factor's digits, so that a half in
+    the product is told from what only looks like one."""
+    power = float(10**digits)
+    big = x * 134217729.0
+    high = big - (big - x)
+    product = x * power
+    error = (high * power - product) + (x - high) * power
+    below = F.floor(product)
+    half = product - below == 0.5
+    up = F.when(half & (error == 0), below % 2 == 1).when(half, error > 0).otherwise(product - below > 0.5)
+    return (below + up.cast("int")) / power
+
+
+def is_missing(x: Column) -> Column:
+    """Null, or a text that spells "nan" in any case."""
+    return x.isNull() | (F.lower(x.cast("string")) == "nan")

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -61,11 +63,11 @@ def f1(p: Column, r: Column) -> Column:
     return F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
 
 
-def prf(vectors: DataFrame, combo_dim: DataFrame) -> DataFrame:
+def prf(vectors: DataFrame, combo_dim: DataFrame, rounding: Callable[[Column], Column] = lambda x: F.round(x, 6)) -> DataFrame:
     """Precision, recall and F1 of each combination over all papers."""
     s = vectors.groupBy("combo").agg(*(F.sum(c).alias(c) for c in ("gt", "tp", "ext")))
     p, r = ratio(F.col("tp"), F.col("ext")), ratio(F.col("tp"), F.col("gt"))
-    return s.join(F.broadcast(combo_dim), "combo").select("ord", "combo", "label", "n_formats", "gt", "tp", "ext", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f1(p, r), 6).alias("f1"))
+    return s.join(F.broadcast(combo_dim), "combo").select("ord", "combo", "label", "n_formats", "gt", "tp", "ext", rounding(p).alias("precision"), rounding(r).alias("recall"), rounding(f1(p, r)).alias("f1"))
 
 
 def labelled(gt: DataFrame) -> DataFrame:

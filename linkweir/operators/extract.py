@@ -12,6 +12,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.types import ArrayType, StringType
 
 from linkweir.functions import patterns as P
@@ -216,12 +217,31 @@ def response_all_matches(text: Column) -> Column:
     return _tidy(F.filter(found, lambda u: ~u.rlike(r"^\d+\.")))
 
 
-def response_json(text: Column) -> Column:
-    """A JSON list of URLs, in a code fence or not; empty if it does not parse."""
+def _unfenced(text: Column) -> Column:
     t = F.trim(text)
     inner = F.when(t.startswith("```"), F.get(F.split(t, "```"), F.lit(1))).otherwise(t)
-    inner = F.trim(F.regexp_replace(inner, r"^json", ""))
-    return F.coalesce(F.from_json(inner, "array<string>"), F.array().cast("array<string>"))
+    return F.trim(F.regexp_replace(inner, r"^json", ""))
+
+
+def response_json(text: Column) -> Column:
+    """A JSON list of URLs, in a code fence or not; empty if it does not parse."""
+    return F.coalesce(F.from_json(_unfenced(text), "array<string>"), F.array().cast("array<string>"))
+
+
+def response_record(text: Column, input_tokens: Column, output_tokens: Column) -> Column:
+    """What is kept of a model's answer: urls, url_count, tokens, cost_usd, failed and error.
+
+    An answer that is no JSON has failed and counts no tokens; JSON that is no list has no URLs and has not failed."""
+    value = F.try_parse_json(_unfenced(text))
+    error = F.when(value.isNull(), F.lit("JSON parse error"))
+    urls = F.when(F.startswith(F.schema_of_variant(value), F.lit("ARRAY")), response_json(text)).otherwise(F.array().cast("array<string>"))
+    tokens = [F.when(error.isNull(), F.coalesce(t, F.lit(0))).otherwise(0) for t in (input_tokens, output_tokens)]
+    return F.struct(urls.alias("urls"), F.size(urls).alias("url_count"), tokens[0].alias("input_tokens"), tokens[1].alias("output_tokens"), S.token_cost(*tokens).alias("cost_usd"), error.isNotNull().alias("failed"), error.alias("error"))
+
+
+def number_pages(pages: DataFrame) -> DataFrame:
+    """Adds ``page``, from 1 in the order of the names of a paper's files."""
+    return pages.withColumn("page", F.row_number().over(W.partitionBy("paper_id").orderBy("name")))
 
 
 def page_rollup(pages: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ranking import places
-from .resample import arithmetic_draws, hashed_place
+from .resample import hashed_place
 
 
 def common_pool(stages: DataFrame, formats: int = 5) -> DataFrame:
@@ -50,14 +50,12 @@ def wide_totals(stages: DataFrame, formats: int = 5) -> DataFrame:
     return stages.groupBy("year", "paper_id").pivot("format", list(range(1, formats + 1))).agg(F.sum("num_urls")).na.fill(0)
 
 
-def yearly_bootstrap(pool: DataFrame, reps: int, size: int, walk: bool = False) -> DataFrame:
-    """(year, rep, format, urls): sums over ``size`` papers of a year drawn with replacement.
-
-    ``walk`` takes places in an arithmetic order instead, which repeats none before all are taken."""
+def yearly_bootstrap(pool: DataFrame, reps: int, size: int) -> DataFrame:
+    """(year, rep, format, urls): sums over ``size`` papers of a year drawn with replacement."""
     ids = places(pool.select("year", "paper_id").distinct(), ["year"], [F.col("paper_id")]).withColumnRenamed("place_of", "n")
     years = ids.select("year", "n").distinct()
-    slots = years.crossJoin(arithmetic_draws(pool.sparkSession, reps, size, 1 << 30))
-    place = F.pmod("place", "n") if walk else hashed_place(F.col("n"), "year", "rep", "slot")
+    slots = years.select("*", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("slot"))
+    place = hashed_place(F.col("n"), "year", "rep", "slot")
     draws = slots.select("year", "rep", place.alias("place")).groupBy("year", "rep", "place").agg(F.count("*").alias("m"))
     sums = pool.groupBy("year", "paper_id", "format").agg(F.sum("num_urls").alias("u")).join(ids.select("year", "paper_id", "place"), ["year", "paper_id"])
     return sums.join(draws, ["year", "place"]).groupBy("year", "rep", "format").agg(F.sum(F.col("u") * F.col("m")).alias("urls"))
@@ -69,6 +67,22 @@ def trend(reps: DataFrame) -> DataFrame:
     return reps.groupBy("year", "format").agg(F.round(F.avg("urls"), 6).alias("mean"), *q)
 
 
+def box_plot(reps: DataFrame, reach: float = 1.5) -> DataFrame:
+    """Quartiles, whiskers and outliers of the replicates by year and format.
+
+    Whiskers are the extreme values within ``reach`` times the interquartile range of the quartiles; what lies beyond is an
+    outlier, counted, with the least and the greatest. Two aggregates and a join of one row a group between them."""
+    by = ["year", "format"]
+    q = reps.groupBy(*by).agg(*(F.percentile("urls", x).alias(n) for x, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))))
+    u, spread = F.col("urls"), reach * (F.col("q3") - F.col("q1"))
+    inside = u.between(F.col("q1") - spread, F.col("q3") + spread)
+    out = reps.join(q, by).groupBy(*by, "q1", "median", "q3").agg(
+        F.min(F.when(inside, u)).alias("whisker_low"), F.max(F.when(inside, u)).alias("whisker_high"),
+        F.count_if(~inside).alias("outliers"), F.min(F.when(~inside, u)).alias("least_outlier"), F.max(F.when(~inside, u)).alias("greatest_outlier"),
+    )
+    return out.withColumns({c: F.round(c, 6) for c in ("q1", "median", "q3")})
+
+
 def of_years(rows: DataFrame, folder: str, first: int = 1992, last: int = 2024) -> DataFrame:
     """Rows whose folder is a year of four digits in the range, with it as ``year``."""
     ok = F.col(folder).rlike(r"^\d{4}$")

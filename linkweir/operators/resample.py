@@ -79,12 +79,6 @@ def quota_sample(rows: DataFrame, quotas: dict[str, int], order: Column, key: st
     return placed.select("year", key, "category", (F.col("place") + 1).alias("place"), "selected")
 
 
-def arithmetic_draws(spark: SparkSession, reps: int, slots: int, papers: int, step: int = 7919, jump: int = 104729, start: int = 13) -> DataFrame:
-    """(rep, slot, place): place = (rep*step + slot*jump + start) % papers. A walk, not a draw: up to ``papers`` slots repeat no place."""
-    d = spark.range(reps).select(F.col("id").alias("rep")).crossJoin(spark.range(slots).select(F.col("id").alias("slot")))
-    return d.select("rep", "slot", F.pmod(F.col("rep") * step + F.col("slot") * jump + start, F.lit(papers)).alias("place"))
-
-
 def hashed_place(papers: Column, *key: Column | str) -> Column:
     """A place below ``papers`` that any engine with md5 repeats: the first 60 bits of the key's md5, modulo ``papers``."""
     return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("-", *key).cast("binary")), 1, 15), 16, 10).cast("long"), papers)

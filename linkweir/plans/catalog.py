@@ -23,6 +23,7 @@ from linkweir.sources import blobs, files
 from linkweir.sources.scratch import new_path as _scratch
 from linkweir.streaming import incremental
 
+
 def _gt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.first_of(load(spark, sf_dir, "gt_raw"), ["paper_id", "url"], "row_idx")
 
@@ -202,6 +203,29 @@ def extract_comprehensive(spark, d):
     return _extract("markdown", "text", X.comprehensive)(spark, d)
 
 
+_OVER = lambda table, key, text: f"SELECT DISTINCT {key} AS paper_id, 'text' AS format, unnest({_ADDRESSES.replace('(text,', f'({text},')}) AS url FROM {table}"
+
+
+_WITHIN = "(SELECT doc_id, text[1:length(text) // 2] || ' ' || url || ' ' || text[length(text) // 2 + 1:] AS text FROM documents JOIN pages ON doc_id = page_id)"
+
+
+@query(_OVER(_WITHIN, "doc_id", "text"))
+def extract_documents(spark, d):
+    """The same over documents in the midst of which an address stands."""
+    docs, pages = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "pages"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    text = F.concat(F.substring("text", F.lit(1), half), F.lit(" "), "url", F.lit(" "), F.substring("text", half + 1, F.length("text")))
+    rows = docs.join(pages, F.col("doc_id") == F.col("page_id")).select(F.col("doc_id").alias("paper_id"), text.alias("text"))
+    return X.explode_urls(rows, X.comprehensive(F.col("text")), "text")
+
+
+@query(_OVER("pages", "page_id", "html"))
+def extract_pages(spark, d):
+    """The same over the pages' own markup."""
+    pages = spark.read.parquet(f"{d}/pages.parquet").withColumnRenamed("page_id", "paper_id")
+    return X.explode_urls(pages, X.comprehensive(F.col("html")), "text")
+
+
 # RE2 has no look-behind: the character before the URL is read, and only the group given back.
 _BARE = P.BARE.replace(r"""(?<![(\["'])""", r"""(?:^|[^(\["'])(""") + ")"
 
@@ -301,6 +325,19 @@ def parse_llm_json(spark, d):
     return load(spark, d, "llm").select("paper_id", F.explode(X.response_json(F.col("text"))).alias("url"))
 
 
+@query(f"SELECT paper_id, CASE paper_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS url_count, CASE WHEN paper_id % 4 = 2 THEN 0 ELSE length(text) END AS input_tokens, CASE WHEN paper_id % 4 = 2 THEN 0 ELSE 7 END AS output_tokens, CASE WHEN paper_id % 4 = 2 THEN 0.0 ELSE round(length(text) / 1e6 + 35 / 1e6, 6) END AS cost_usd, paper_id % 4 = 2 AS failed, CASE WHEN paper_id % 4 = 2 THEN 'JSON parse error' END AS error FROM {duck('llm')}")
+def parse_llm_record(spark, d):
+    r = X.response_record(F.col("text"), F.length("text"), F.lit(7))
+    return load(spark, d, "llm").select("paper_id", r.alias("r")).select("paper_id", "r.*").drop("urls")
+
+
+@query(f"SELECT paper_id, name, row_number() OVER (PARTITION BY paper_id ORDER BY name)::INT AS page FROM (SELECT DISTINCT paper_id, 'page_' || (url * 7 % 200)::VARCHAR || '.png' AS name FROM {duck('ext')})")
+def page_numbers(spark, d):
+    """Pages numbered by the order of their files' names, as text."""
+    pages = load(spark, d, "ext").select("paper_id", F.concat(F.lit("page_"), (F.col("url") * 7 % 200).cast("string"), F.lit(".png")).alias("name")).distinct()
+    return X.number_pages(pages)
+
+
 @query(f"SELECT paper_id, len(list_distinct(list(url)))::INT AS url_count FROM (SELECT DISTINCT paper_id, url FROM {duck('ext')}) GROUP BY paper_id")
 def page_rollup(spark, d):
     pages = load(spark, d, "ext").groupBy("paper_id", F.col("format").alias("page")).agg(F.collect_list("url").alias("urls"))
@@ -395,6 +432,13 @@ def prf_63_combos(spark, d):
     return E.prf(v, c)
 
 
+@query(_PRF.replace(f"round({PREC}, 6)", f"printf('%.4f', {PREC})::DOUBLE").replace(f"round({REC}, 6)", f"printf('%.4f', {REC})::DOUBLE").replace(f"round({F1}, 6)", f"printf('%.4f', {F1})::DOUBLE"))
+def prf_four_digits(spark, d):
+    """As published: four digits, rounded by the binary value."""
+    c, v = _combo_vectors(spark, d)
+    return E.prf(v, c, lambda x: S.rounded(x, 4))
+
+
 _OMASKS = MASKS.replace(f"FROM {GT})", f"FROM {GT} WHERE label IS DISTINCT FROM 'GenURL')")
 
 
@@ -438,20 +482,19 @@ def multivalue_counts(spark, d):
 
 
 _REPS = 40
-_MULT = f"(SELECT rep, place, count(*) AS m FROM (SELECT rep, (rep * 7919 + slot * 104729 + 13) % p AS place FROM range(0, {_REPS}) r(rep), (SELECT count(DISTINCT paper_id) AS p FROM {VECTORS}), LATERAL (SELECT unnest(range(0, p)) AS slot)) GROUP BY rep, place)"
-_BOOT = f"(SELECT rep, combo, sum(gt * m)::BIGINT AS gt, sum(tp * m)::BIGINT AS tp, sum(ext * m)::BIGINT AS ext FROM {VECTORS} JOIN (SELECT paper_id, row_number() OVER (ORDER BY paper_id) - 1 AS place FROM (SELECT DISTINCT paper_id FROM {VECTORS})) USING (paper_id) JOIN {_MULT} USING (place) GROUP BY rep, combo)"
 _Q = ", ".join(f"round(quantile_cont({e}, {q}), 6) AS {c}_{n}" for c, e in (("p", PREC), ("r", REC), ("f", F1)) for q, n in ((0.025, "low"), (0.975, "high")))
 
 
-@query(f"SELECT combo, {_Q} FROM {_BOOT} GROUP BY combo")
-def bootstrap_ci(spark, d):
-    """The walk that the SQL prescribes repeats no paper, so low = high; bootstrap_ci_drawn resamples."""
-    return R.intervals(R.bootstrap_by_join(_combo_vectors(spark, d)[1], _REPS, R.arithmetic_draws))
-
-
 _DRAWN = "('0x' || substr(md5({key}), 1, 15))::BIGINT % {n}"
 _MULT_DRAWN = f"(SELECT rep, place, count(*) AS m FROM (SELECT rep, {_DRAWN.format(key="concat_ws('-', rep, slot)", n='p')} AS place FROM range(0, {_REPS}) r(rep), (SELECT count(DISTINCT paper_id) AS p FROM {VECTORS}), LATERAL (SELECT unnest(range(0, p)) AS slot)) GROUP BY rep, place)"
 _BOOT_DRAWN = f"(SELECT rep, combo, sum(gt * m)::BIGINT AS gt, sum(tp * m)::BIGINT AS tp, sum(ext * m)::BIGINT AS ext FROM {VECTORS} JOIN (SELECT paper_id, row_number() OVER (ORDER BY paper_id) - 1 AS place FROM (SELECT DISTINCT paper_id FROM {VECTORS})) USING (paper_id) JOIN {_MULT_DRAWN} USING (place) GROUP BY rep, combo)"
+_BOOT_ALL = _BOOT_DRAWN.replace(f"range(0, {_REPS}) r(rep)", "range(0, 100) r(rep)").replace(f"SELECT count(DISTINCT paper_id) AS p FROM {VECTORS}", f"SELECT count(DISTINCT paper_id) AS p FROM {GT}").replace(f"SELECT DISTINCT paper_id FROM {VECTORS}", f"SELECT DISTINCT paper_id FROM {GT}")
+
+
+@query(f"SELECT combo, {_Q} FROM {_BOOT_ALL} GROUP BY combo")
+def bootstrap_ci(spark, d):
+    """A hundred replicates of all labelled papers; those without a vector are drawn too."""
+    return R.intervals(R.bootstrap_by_join(_combo_vectors(spark, d)[1], 100, population=_gt(spark, d)))
 
 
 @query(f"SELECT combo, {_Q} FROM {_BOOT_DRAWN} GROUP BY combo")
@@ -465,23 +508,31 @@ def bootstrap_ci_10k(spark, d):
 
 
 _POOL = f"(SELECT * FROM {duck('corpus')} WHERE (year, paper_id) IN (SELECT (year, paper_id) FROM {duck('corpus')} GROUP BY year, paper_id HAVING count(DISTINCT format) = 5))"
-_YB = f"(SELECT year, rep, format, sum(u * m)::BIGINT AS urls FROM (SELECT year, paper_id, format, sum(num_urls) AS u FROM {_POOL} GROUP BY ALL) JOIN (SELECT year, paper_id, row_number() OVER (PARTITION BY year ORDER BY paper_id) - 1 AS place FROM (SELECT DISTINCT year, paper_id FROM {_POOL})) USING (year, paper_id) JOIN (SELECT year, rep, ((rep * 7919 + slot * 104729 + 13) % 1073741824) % n AS place, count(*) AS m FROM (SELECT year, count(DISTINCT paper_id) AS n FROM {_POOL} GROUP BY year), range(0, 20) r(rep), range(0, 100) s(slot) GROUP BY ALL) USING (year, place) GROUP BY year, rep, format)"
+_YB_DRAWN = f"(SELECT year, rep, format, sum(u * m)::BIGINT AS urls FROM (SELECT year, paper_id, format, sum(num_urls) AS u FROM {_POOL} GROUP BY ALL) JOIN (SELECT year, paper_id, row_number() OVER (PARTITION BY year ORDER BY paper_id) - 1 AS place FROM (SELECT DISTINCT year, paper_id FROM {_POOL})) USING (year, paper_id) JOIN (SELECT year, rep, {_DRAWN.format(key="concat_ws('-', year, rep, slot)", n='n')} AS place, count(*) AS m FROM (SELECT year, count(DISTINCT paper_id) AS n FROM {_POOL} GROUP BY year), range(0, 100) r(rep), range(0, 1000) s(slot) GROUP BY ALL) USING (year, place) GROUP BY year, rep, format)"
+_YB = _YB_DRAWN.replace("range(0, 100) r", "range(0, 20) r").replace("range(0, 1000) s", "range(0, 100) s")
 
 
 @query(f"SELECT year, format, round(avg(urls), 6) AS mean, round(quantile_cont(urls, 0.25), 6) AS q1, round(quantile_cont(urls, 0.5), 6) AS median, round(quantile_cont(urls, 0.75), 6) AS q3 FROM {_YB} GROUP BY year, format")
 def year_bootstrap(spark, d):
-    """The small walk that the SQL prescribes; year_bootstrap_drawn is the reference's size, with replacement."""
-    return L.trend(L.yearly_bootstrap(L.common_pool(load(spark, d, "corpus")), 20, 100, walk=True))
+    """A small form of year_bootstrap_drawn."""
+    return L.trend(L.yearly_bootstrap(L.common_pool(load(spark, d, "corpus")), 20, 100))
 
 
-_YB_DRAWN = f"(SELECT year, rep, format, sum(u * m)::BIGINT AS urls FROM (SELECT year, paper_id, format, sum(num_urls) AS u FROM {_POOL} GROUP BY ALL) JOIN (SELECT year, paper_id, row_number() OVER (PARTITION BY year ORDER BY paper_id) - 1 AS place FROM (SELECT DISTINCT year, paper_id FROM {_POOL})) USING (year, paper_id) JOIN (SELECT year, rep, {_DRAWN.format(key="concat_ws('-', year, rep, slot)", n='n')} AS place, count(*) AS m FROM (SELECT year, count(DISTINCT paper_id) AS n FROM {_POOL} GROUP BY year), range(0, 100) r(rep), range(0, 1000) s(slot) GROUP BY ALL) USING (year, place) GROUP BY year, rep, format)"
-
 
 @query(f"SELECT year, format, round(avg(urls), 6) AS mean, round(quantile_cont(urls, 0.25), 6) AS q1, round(quantile_cont(urls, 0.5), 6) AS median, round(quantile_cont(urls, 0.75), 6) AS q3 FROM {_YB_DRAWN} GROUP BY year, format")
 def year_bootstrap_drawn(spark, d):
     return L.trend(L.yearly_bootstrap(L.common_pool(load(spark, d, "corpus")), 100, 1000))
 
 
+_FENCES = f"(SELECT year, format, quantile_cont(urls, 0.25) AS q1, quantile_cont(urls, 0.5) AS median, quantile_cont(urls, 0.75) AS q3 FROM {_YB_DRAWN} GROUP BY year, format)"
+_IN = "urls BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)"
+
+
+@query(f"SELECT year, format, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, min(urls) FILTER ({_IN}) AS whisker_low, max(urls) FILTER ({_IN}) AS whisker_high, count(*) FILTER (NOT ({_IN})) AS outliers, min(urls) FILTER (NOT ({_IN})) AS least_outlier, max(urls) FILTER (NOT ({_IN})) AS greatest_outlier FROM {_YB_DRAWN} JOIN {_FENCES} USING (year, format) GROUP BY year, format, q1, median, q3")
+def year_box_plot(spark, d):
+    return L.box_plot(L.yearly_bootstrap(L.common_pool(load(spark, d, "corpus")), 100, 1000))
+
+
 # Statistics
 
 
@@ -539,17 +590,6 @@ def rank_biserial(spark, d):
     return T.wilcoxon(_scores(spark, d), 1).select("combo", F.round("effect", 6).alias("effect"))
 
 
-@query(f"WITH t AS (SELECT combo, round(exp(z / 100), 9) AS p FROM ({_WZ})), o AS (SELECT *, row_number() OVER (ORDER BY p, combo) AS i, count(*) OVER () AS m FROM t) SELECT combo, p, round(least(1.0, max(p * (m - i + 1)) OVER (ORDER BY p, combo ROWS UNBOUNDED PRECEDING)), 6) AS holm_p, least(1.0, max(p * (m - i + 1)) OVER (ORDER BY p, combo ROWS UNBOUNDED PRECEDING)) <= 0.05 AS significant FROM o")
-def holm(spark, d):
-    tests = T.wilcoxon(_scores(spark, d), 1).select("combo", F.round(F.exp(F.round("z", 6) / 100), 9).alias("p"))
-    return T.holm(tests).withColumn("holm_p", F.round("holm_p", 6))
-
-
-@query("SELECT * FROM (" + _SQL["holm"] + ") ORDER BY holm_p, combo LIMIT 10")
-def holm_first_ten(spark, d):
-    return holm(spark, d).orderBy("holm_p", "combo").limit(10)
-
-
 _Z = "(least(up, down) - n * (n + 1) / 4) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24)"
 _TESTS = f"(SELECT c.combo, coalesce(n, 0)::BIGINT AS n, z, coalesce(effect, 0.0) AS effect, CASE WHEN z IS NOT NULL THEN {_ERFC.format(x='z / sqrt(2)')} END AS p FROM {COMBOS} c LEFT JOIN (SELECT combo, n, {_Z} AS z, (up - down) / (up + down) AS effect FROM {_WSUM}) w USING (combo) WHERE c.combo <> 1)"
 _HOLM = f"(SELECT combo, least(1.0, max(p * (m - i + 1)) OVER (ORDER BY p, combo ROWS UNBOUNDED PRECEDING)) AS holm_p FROM (SELECT combo, p, row_number() OVER (ORDER BY p, combo) AS i, count(*) OVER () AS m FROM t WHERE p IS NOT NULL))"
@@ -563,6 +603,17 @@ def significance(spark, d):
     return out.withColumns({"z": F.round("z", 6), "effect": F.round("effect", 6), "p": _digits(F.col("p")), "holm_p": _digits(F.col("holm_p"))})
 
 
+@query("SELECT combo, p, holm_p, significant FROM (" + _SQL["significance"] + ")")
+def holm(spark, d):
+    """Holm's correction of the combinations' p values; without a p value there is no test."""
+    return significance(spark, d).select("combo", "p", "holm_p", "significant")
+
+
+@query("SELECT combo, p, holm_p, significant FROM (" + _SQL["significance"] + ") ORDER BY holm_p NULLS LAST, combo LIMIT 10")
+def holm_first_ten(spark, d):
+    return holm(spark, d).orderBy(F.asc_nulls_last("holm_p"), "combo").limit(10)
+
+
 # Sampling
 
 
@@ -594,6 +645,17 @@ def layout_classify(spark, d):
     return _classes(spark, d).groupBy("year", "category").agg(F.count("*").alias("n"))
 
 
+_BLOCKS = "SELECT l_orderkey AS paper_id, l_extendedprice % 400 AS x0, l_extendedprice % 400 + l_quantity AS x1, l_discount * 1000 AS y0, l_discount * 1000 + l_quantity AS y1 FROM {lineitem}"
+
+
+@query(f"SELECT paper_id, CASE WHEN len(list_filter(range(1, len(x)), lambda i: x[i + 1] - x[i] > 50)) > 0 THEN 'double' ELSE 'single' END AS layout FROM (SELECT paper_id, list_sort(list_distinct(list(round_even(x0, 0)::INT) FILTER (x1 - x0 > 5 AND y1 - y0 > 5))) AS x FROM ({_BLOCKS.format(lineitem='lineitem')}) GROUP BY paper_id)")
+def column_layout(spark, d):
+    """One or two columns by the gaps between the left edges of a paper's blocks, of which it has a page's."""
+    blocks = spark.sql(_BLOCKS, lineitem=spark.read.parquet(f"{d}/lineitem.parquet"))
+    pages = blocks.groupBy("paper_id").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("blocks"))
+    return pages.select("paper_id", R.column_layout(F.col("blocks")).alias("layout"))
+
+
 _QUOTAS = {"single_column": 10, "double_column": 10, "etd": 6, "scanned": 6}
 _QSQL = "CASE category WHEN 'single_column' THEN 10 WHEN 'double_column' THEN 10 WHEN 'etd' THEN 6 WHEN 'scanned' THEN 6 END"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from linkweir.functions.scalars import is_missing
 from linkweir.plans.fixtures import duck, load
 from linkweir.plans.registry import query
 from linkweir.sources import blobs, committed, files, nested_json
@@ -152,3 +153,23 @@ def committed_json(spark, d):
     committed.write_committed(rows.where("url % 2 = 0"), path)
     committed.write_committed(rows.where("url % 2 = 1"), path, mode="append")
     return committed.read_committed(spark, path, "paper_id long, url long, label string")
+
+
+_MARKS = ("NaN", "nan", "-nan", "NULL", "#N/A", "1.#IND", "<NA>", "None", "x NaN", "nil", "NAN")
+
+
+@query(f"SELECT {_ID} AS paper_id, CASE WHEN m NOT IN ('x NaN', 'nil', 'NAN') THEN NULL ELSE m END AS value, m NOT IN ('x NaN', 'nil') AS missing FROM (SELECT paper_id, ({list(_MARKS)})[1 + paper_id % {len(_MARKS)}] AS m FROM {_PAGES})")
+def missing_values(spark, d):
+    """Marks of missing values that a CSV file holds, and the guard for those it keeps."""
+    path = new_path(spark, "marks")
+    mark = F.element_at(F.array(*map(F.lit, _MARKS)), (1 + F.col("paper_id") % len(_MARKS)).cast("int"))
+    files.write_csv(load(spark, d, "urls").select(_key.alias("paper_id"), mark.alias("value")), path)
+    return files.read_csv(spark, path, "paper_id string, value string").withColumn("missing", is_missing(F.col("value")))
+
+
+@query(f"SELECT {_ID} AS paper_id, length(url)::BIGINT AS size FROM {_PAGES} WHERE paper_id % 5 = 1")
+def converted_files(spark, d):
+    """Papers of a sample whose derived path is a file, with its size."""
+    root = _written(spark, d, "converted", F.concat(_key, F.lit(".md")), F.col("url"), "paper_id % 5 = 1")
+    sample = load(spark, d, "urls").select(_key.alias("paper_id"), F.concat(F.lit(f"{root}/"), _key, F.lit(".pdf")).alias("pdf_path"))
+    return files.existing(sample.withColumn("path", files.converted_path(F.col("pdf_path")))).select("paper_id", "size")

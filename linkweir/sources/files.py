@@ -11,7 +11,8 @@ from .blobs import ask, copy_files
 STAGE = "filename string, url_count int, urls array<string>"
 GROUND_TRUTH = "arxiv_id string, URL string, OADS string, location string, `Spatial Complexity` string, `Lexicographical Complexity` string, `Representational Complexity` string"
 CONVERSION = "arxiv_id string, source_pdf_path string, target_xml_path string, status string, timestamp string, error string"
-NA = ("", "NA", "NaN", "nan", "N/A", "n/a", "NULL", "null", "None", "#N/A", "<NA>")
+#: What a reader of CSV takes for a missing value.
+NA = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
 def stem(path: Column, ext: str) -> Column:
