@@ -1,15 +1,18 @@
 """Packing into optimal length buckets.
 
-The global histogram of lengths (bins of width 1 up to ``EXACT``, beyond within 1/256 of the length, so their number is
-bounded) goes to the driver with each bin's largest length, where dynamic programming chooses among these the bucket
-boundaries that make the padding least (the lengths' sum is the same for all choices). Below ``EXACT`` that is the optimum;
-a best boundary inside a wider bin is missed by at most 1/256 of its length. Documents
-get the least boundary not below their length; inside a bucket, batches hold as many documents as fit the token budget when
-padded to the boundary, and at least one.
+The global histogram of lengths, a row for each length that occurs, goes to the driver, where dynamic programming chooses
+among these lengths the bucket boundaries that make the padding least (the lengths' sum is the same for all choices). Padded
+totals satisfy the quadrangle inequality, so the best last boundary moves one way as the texts grow longer, and each layer
+of the programme is solved by halving: all middles of a level at once, in n log n steps for n lengths and exact integers.
+The histogram has no more rows than the longest document has words, 16 bytes each, however many documents there are.
+Documents get the least boundary not below their length; inside a bucket, batches hold as many documents as fit the token
+budget when padded to the boundary, and at least one.
 
 To number documents without one task for each bucket, a bucket is dealt out by a hash of the id into chunks of about
 ``CHUNK_ROWS`` documents, and batches form inside a chunk in the order of doc_id; only a chunk's last batch can be short.
-Null lengths count as 0 and lengths below 0 as 0; a null id is packed like any other; repeated rows are packed each.
+Null lengths count as 0 and lengths below 0 as 0; a null id is packed like any other; repeated rows are packed each; an
+empty table gives no rows. Very long texts are a bucket and a batch of their own if that pads less. Columns of the
+documents other than doc_id, and text or what ``length`` reads, are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,32 +24,42 @@ from pyspark.sql import Window as W
 
 from .common import words_column
 
-BUCKETS, TOKEN_BUDGET, EXACT, CHUNK_ROWS = 16, 32_768, 2048, 10_000
+BUCKETS, TOKEN_BUDGET, CHUNK_ROWS = 16, 32_768, 10_000
+#: Stands for no way; sums with it stay below 2**63.
+_NONE = 1 << 62
 
 
-def bin_edge(length: Column) -> Column:
-    """Upper edge of a length's histogram bin."""
-    step = F.expr("1L") * F.pow(F.lit(2), F.greatest(F.length(F.bin(length)) - 9, F.lit(0))).cast("long")
-    return F.when(length <= EXACT, length).otherwise(F.ceil(length / step) * step).cast("long")
+def _layer(cost: np.ndarray, edges: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least padded total of the first j lengths for each j, with one more bucket than ``cost`` has, and where that bucket begins: the first of equal places."""
+    n = len(edges)
+    new, choice = np.full(n + 1, _NONE), np.zeros(n + 1, np.int64)
+    new[0] = 0
+    first, last, low, high = (np.array([x], np.int64) for x in (1, n, 0, n - 1))
+    while len(first):
+        middle = (first + last) // 2
+        sizes = np.minimum(high, middle - 1) - low + 1
+        starts = np.cumsum(sizes) - sizes
+        begin = np.arange(sizes.sum()) - np.repeat(starts - low, sizes)
+        j = np.repeat(middle, sizes)
+        way = cost[begin] + edges[j - 1] * (total[j] - total[begin])
+        least = np.minimum.reduceat(way, starts)
+        best = np.minimum.reduceat(np.where(way == np.repeat(least, sizes), begin, n), starts)
+        new[middle], choice[middle] = least, best
+        parts = (np.concatenate([first, middle + 1]), np.concatenate([middle - 1, last]), np.concatenate([low, best]), np.concatenate([best, high]))
+        some = parts[0] <= parts[1]
+        first, last, low, high = (p[some] for p in parts)
+    return new, choice
 
 
-def best_boundaries(edges: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
-    """Boundaries, of at most ``buckets``, with the least padded total; of equal choices the shorter lower buckets."""
-    n = len(edges)
-    if not n:
-        return []
-    total = np.concatenate([[0], np.cumsum(counts.astype(float))])
-    edges = edges.astype(float)
-    cost = np.concatenate([[0.0], np.full(n, np.inf)])
-    back = []
+def best_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
+    """Boundaries, of at most ``buckets``, with the least padded total, from ascending lengths; of equal choices the shorter lower buckets."""
+    n = len(lengths)
+    edges = np.asarray(lengths, np.int64)
+    total = np.concatenate([[0], np.cumsum(np.asarray(counts, np.int64))])
+    cost, back = np.full(n + 1, _NONE), []
+    cost[0] = 0
     for _ in range(min(buckets, n)):
-        new, choice = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
-        new[0] = 0.0
-        for j in range(1, n + 1):
-            way = cost[:j] + edges[j - 1] * (total[j] - total[:j])
-            i = int(np.argmin(way))
-            new[j], choice[j] = way[i], i
-        cost = new
+        cost, choice = _layer(cost, edges, total)
         back.append(choice)
     out, j = [], n
     for choice in reversed(back):
@@ -69,8 +82,8 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS,
     ``length`` defaults to the words of ``text`` and one end."""
     length = F.size(words_column(F.col("text"))) + 1 if length is None else length
     rows = docs.select("doc_id", F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)).cast("long").alias("length"))
-    hist = rows.groupBy(bin_edge(F.col("length")).alias("edge")).agg(F.count("*").alias("count"), F.max("length").alias("longest")).toPandas().sort_values("edge")
-    edges, counts = hist["longest"].to_numpy(), hist["count"].to_numpy()
+    hist = rows.groupBy("length").agg(F.count("*").alias("count")).toPandas().sort_values("length")
+    edges, counts = hist["length"].to_numpy(np.int64), hist["count"].to_numpy(np.int64)
     bounds = best_boundaries(edges, counts, buckets)
     sizes = np.bincount(np.searchsorted(bounds, edges), weights=counts, minlength=max(1, len(bounds))) if bounds else np.zeros(1)
     n = F.col("length")

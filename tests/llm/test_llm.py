@@ -470,8 +470,28 @@ def test_packing(spark, odd):
     full = got.groupby("batch_id").bucket_len.agg(["sum", "size"])
     assert ((full["sum"] <= 64) | (full["size"] == 1)).all()
     assert packing.pack(empty(spark)).count() == 0
-    edge = spark.createDataFrame([(x,) for x in (0, 1, 2048, 2049, 4095, 4097, 100_001)], "x long").select(packing.bin_edge(F.col("x")).alias("e"))
-    assert [r["e"] for r in edge.collect()] == [0, 1, 2048, 2056, 4096, 4112, 100_096]
+
+
+def test_packing_boundaries_are_the_first_optimum_at_any_length():
+    rng = np.random.default_rng(11)
+    for _ in range(150):
+        n, buckets = int(rng.integers(1, 40)), int(rng.integers(1, 8))
+        lengths, counts = np.sort(rng.choice(100_001, n, replace=False)).tolist(), rng.integers(1, 50, n).tolist()
+        sums = [0, *itertools.accumulate(counts)]
+        cost, back = [0] + [1 << 62] * n, []
+        for _ in range(min(buckets, n)):
+            ways = [[cost[i] + lengths[j - 1] * (sums[j] - sums[i]) for i in range(j)] for j in range(1, n + 1)]
+            back.append([0] + [w.index(min(w)) for w in ways])
+            cost = [0] + [min(w) for w in ways]
+        want, j = [], n
+        for choice in reversed(back):
+            if j:
+                want.append(lengths[j - 1])
+                j = choice[j]
+        assert packing.best_boundaries(np.array(lengths), np.array(counts), buckets) == sorted(want)
+    assert packing.best_boundaries(np.array([]), np.array([])) == []
+    many = packing.best_boundaries(np.arange(1, 100_001), np.ones(100_000, np.int64))
+    assert len(many) == packing.BUCKETS and many[-1] == 100_000
 
 
 # 10
