@@ -1,7 +1,7 @@
 """N-gram Jaccard join in the metric space of the Jaccard distance: neighbourhoods, Voronoi regions, triangle-inequality windows.
 
-A document's set holds the 64-bit hashes of its word shingles. Equal sets are one class from the start, named by a 64-bit
-hash of the set; both hashes are taken to be free of collisions. Two classes are linked if their distance is eps at most.
+A document's set holds the 64-bit hashes of its word shingles. Equal sets are one class from the start, told by 128 bits of
+the set and named by 64 of them, or by a name of its own where two sets share those. Two classes are linked if their distance is eps at most.
 
 * **Neighbourhoods.** Most documents are at distance 1 from nearly all others, so pivots drawn from the whole space would part
   nothing. A prefix holds the first n - ceil(t*n) + 1 shingles of a set in one fixed order of all shingles, so two linked
@@ -13,15 +13,18 @@ hash of the set; both hashes are taken to be free of collisions. Two classes are
 * **Odd sketches.** Every open class has the parities of its shingles' hash places. The Hamming distance of two sketches is
   at most the size of the symmetric difference, so a pair whose sketches are too far apart is not linked. A class without a
   possible partner in a neighbourhood leaves it, before any set is sent. Sizes are windows here: linked sets differ by the
-  factor t at most, so classes are compared in rings of that width, each with the ring below.
-* **Voronoi regions and windows.** A large neighbourhood takes pivots of its own. Every member goes to the region of its
+  factor t at most, so classes are compared in rings of that width, each with the ring below. Rings beyond one task's bound
+  are not compared before their members have met pivots.
+* **Voronoi regions and windows.** Every region takes pivots among its members. Every member goes to the region of its
   nearest pivot, and, by the triangle inequality, also to each region whose pivot is at most 2 * eps farther (the boundary
   documents); members at distance 1 - eps or more from all pivots form a region of the rest, to which those beyond 1 - 2 * eps
   are copied. Linked members thus meet in a region. Members within eps of a pivot are linked to it, and need no test with
   one another; of these, those farther than eps below the nearest member that is not linked are left out of the region.
-* **Recursion.** A region joins in the same way around pivots of its own until it is small or no longer comes apart; then
-  its pairs are tested by counting shared shingles. Neighbourhoods and regions beyond one task's bound are parted by Spark,
-  level by level; one that does not come apart is cut into pairs of blocks for several tasks.
+* **Recursion.** A region joins in the same way around pivots of its own, until its members are one component or none is
+  left. A pivot has met all members and leaves; where a region does not come apart, the next pivots are taken from those that
+  are not yet in its largest component. So every distance that is computed is one to a pivot. Neighbourhoods and regions
+  beyond one task's bound are parted by Spark, level by level; one that does not come apart is cut into pairs of blocks for
+  several tasks, each of which joins its block around pivots.
 
 The result is exact: components of the graph of all linked pairs. A null id has a set but no links (component null); repeated
 ids are one node with the links of all their rows; null and blank texts have an empty set, linked with nothing. Ties between
@@ -41,8 +44,8 @@ from .graph import components
 
 #: Documents of the sample that tells frequent shingles, and most of those shingles. Both only shape the order of shingles.
 SAMPLE_DOCS, MAX_FREQUENT, LEAST_SEEN = 4000, 1 << 18, 4
-#: Members of a region, and their shingles, that one task joins; members below which they are joined by counting.
-BLOCK, BLOCK_ITEMS, SMALL = 2000, 1 << 21, 64
+#: Members of a region, and their shingles, that one task joins.
+BLOCK, BLOCK_ITEMS = 2000, 1 << 21
 #: Pivots of a region that Spark parts, the most levels of such regions, and how far replication may swell one.
 PIVOTS, LEVELS, GROWTH = 16, 4, 3
 BITMAP_BITS = 1 << 24
@@ -100,7 +103,23 @@ def _frequent(docs: DataFrame, k: int) -> np.ndarray:
 
 def _name(items: np.ndarray) -> int:
     """Signed 64-bit name of a set."""
-    return int(np.array(xxhash.xxh3_64_intdigest(items.tobytes()), np.uint64).view(np.int64))
+    return _signed(xxhash.xxh3_64_intdigest(items.tobytes()))
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _check(items: np.ndarray) -> int:
+    """Another 64 bits, which tell sets of one name apart."""
+    return _signed(xxhash.xxh64_intdigest(items.tobytes(), 0x5EED))
+
+
+def _renamed(rows: DataFrame) -> dict[tuple[int, int], int]:
+    """Names for sets whose name is also another's, by name and check; some n * n / 2**65 sets of n, so they go to the driver."""
+    twice = rows.groupBy("key").agg(F.min("check").alias("a"), F.max("check").alias("z")).where("a != z").select("key")
+    both = rows.join(F.broadcast(twice), "key", "left_semi").select("key", "check").distinct().collect()
+    return {(r["key"], r["check"]): _signed(xxhash.xxh3_64_intdigest(f"{r['key']} {r['check']}")) for r in both}
 
 
 def _chosen(items: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -114,17 +133,17 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
 
 
 def _named_rows(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, str]:
-    """doc_id, n, key and the counted shingles of every row."""
+    """doc_id, n, key, check and the counted shingles of every row."""
 
     def run(batches):
         memory = _WordHashes()
         for b in batches:
             sets = [shingle_set(t, k, memory) for t in b.column("text").to_pylist()]
             counted = _lists([x[_chosen(x, num, den)] for x in sets])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_name(x) for x in sets], pa.int64()), counted], ["doc_id", "n", "key", "counted"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_name(x) for x in sets], pa.int64()), pa.array([_check(x) for x in sets], pa.int64()), counted], ["doc_id", "n", "key", "check", "counted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return written(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, key long, counted array<long>"), "named-rows")
+    return written(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, key long, check long, counted array<long>"), "named-rows")
 
 
 def odd_sketch(items: np.ndarray) -> np.ndarray:
@@ -183,7 +202,7 @@ def _bitmap(ids: DataFrame, column: str) -> np.ndarray:
     return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, k: int, num: int, den: int, frequent: np.ndarray) -> tuple[DataFrame, str]:
+def _sets(docs: DataFrame, wanted: DataFrame, k: int, num: int, den: int, frequent: np.ndarray, renamed: dict[tuple[int, int], int]) -> tuple[DataFrame, str]:
     """key, items, sketch and prefix (beyond the counted shingles) of the wanted classes (key, doc_id), computed anew from texts.
 
     ``rare`` is how many shingles of the prefix are not counted ones. Bitmaps pick the rows, so some classes come unasked
@@ -199,7 +218,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int, num: int, den: int, freque
                 keys, sets, sketches, prefixes, rare = [], [], [], [], []
                 for t in texts[start : start + 200]:
                     x = shingle_set(t, k, memory)
-                    if not len(x) or (key := _name(x)) in seen:
+                    if not len(x):
+                        continue
+                    key = _name(x)
+                    if renamed:
+                        key = renamed.get((key, _check(x)), key)
+                    if key in seen:
                         continue
                     seen.add(key)
                     size = len(x) - _needed(len(x), num, den) + 1
@@ -220,30 +244,6 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int, num: int, den: int, freque
     return written(given.mapInArrow(run, "key long, items array<long>, sketch binary, prefix array<long>, rare int"), "sets")
 
 
-def overlaps(sets: list[np.ndarray], first: int):
-    """For each of the ``first`` sets: (its number, others after it that share an item, sizes of the intersections)."""
-    sizes = np.array([len(s) for s in sets])
-    items = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    _, ids = np.unique(items, return_inverse=True)
-    order = np.argsort(ids, kind="stable")
-    lists = owner[order]
-    start = np.concatenate([[0], np.cumsum(np.bincount(ids))])
-    place = np.empty(len(ids), np.int64)
-    place[order] = np.arange(len(ids))
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    for i in range(first):
-        own = slice(at[i], at[i + 1])
-        a, z = place[own] + 1, start[ids[own] + 1]
-        a, z = a[z > a], z[z > a]
-        if len(a):
-            n = z - a
-            idx = np.arange(n.sum()) + np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-            count = np.bincount(lists[idx], minlength=len(sets))
-            hit = np.flatnonzero(count)
-            yield i, hit, count[hit]
-
-
 def shared_with(centers: list[np.ndarray], sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of every set (row) with every center (column)."""
     items = np.concatenate(centers)
@@ -283,7 +283,8 @@ def join_region(sets: list[np.ndarray], done: np.ndarray, num: int, den: int) ->
     """Linked pairs that, with those implied between ``done`` members, give the components of a region.
 
     ``done`` marks members known to be linked with one another. Of the pairs found only those that join two components are
-    returned, so there are fewer than members."""
+    returned, so there are fewer than members. Every pair that is tested is one of a pivot and a member of its region: pivots
+    leave the region once their distances are known, and where the regions do not come apart the others take their place."""
     sizes = np.array([len(s) for s in sets])
     found: list[tuple[int, int]] = []
     root = list(range(len(sets)))
@@ -304,42 +305,33 @@ def join_region(sets: list[np.ndarray], done: np.ndarray, num: int, den: int) ->
     for i in same[1:]:
         root[i] = same[0]
 
-    def count_pairs(idx: np.ndarray) -> None:
-        roots = np.array([find(i) for i in idx.tolist()])
-        kinds, n = np.unique(roots, return_counts=True)
-        open_ = roots != kinds[n.argmax()]  # pairs inside one component need no test, least of all in the largest
-        idx = np.concatenate([idx[open_], idx[~open_]])
-        for i, others, inter in overlaps([sets[j] for j in idx.tolist()], int(open_.sum())):
-            a, b = int(idx[i]), idx[others]
-            for j in b[den * inter >= num * (sizes[a] + sizes[b] - inter)].tolist():
-                link(a, j)
-
-    def recurse(idx: np.ndarray, depth: int) -> None:
-        roots = {find(i) for i in idx.tolist()}
-        if len(roots) < 2:
-            return
-        if len(idx) <= SMALL or depth > 8:
-            return count_pairs(idx)
-        pivots = idx[np.linspace(0, len(idx) - 1, min(PIVOTS, int(len(idx) ** 0.5))).astype(int)]
-        linked, d, inside = voronoi(sizes[idx], sizes[pivots], shared_with([sets[i] for i in pivots], [sets[i] for i in idx]), num, den)
-        for j, p in enumerate(pivots.tolist()):
-            for i in idx[linked[:, j]].tolist():
-                link(p, i)
-        for j in range(inside.shape[1]):
-            here = inside[:, j]
-            if j < len(pivots):
-                here = here.copy()
-                here[here] = in_window(d[here, j], linked[here, j], num, den)
-            if here.sum() > 0.7 * len(idx):
-                return count_pairs(idx)  # it no longer comes apart
-        for j in range(inside.shape[1]):
-            here = inside[:, j].copy()
-            if j < len(pivots) and here.any():
-                here[here] = in_window(d[here, j], linked[here, j], num, den)
-            if here.any():
-                recurse(idx[here], depth + 1)
-
-    recurse(np.arange(len(sets)), 0)
+    def recurse(idx: np.ndarray) -> None:
+        while len(idx) > 1:
+            roots = np.array([find(i) for i in idx.tolist()])
+            kinds, n = np.unique(roots, return_counts=True)
+            if len(kinds) < 2:
+                return
+            # pivots outside the largest component: when none is left there, all distances that matter are known
+            outside = idx[roots != kinds[n.argmax()]]
+            pivots = outside[np.linspace(0, len(outside) - 1, max(1, min(PIVOTS, int(len(outside) ** 0.5)))).astype(int)]
+            linked, d, inside = voronoi(sizes[idx], sizes[pivots], shared_with([sets[i] for i in pivots], [sets[i] for i in idx]), num, den)
+            for j, p in enumerate(pivots.tolist()):
+                for i in idx[linked[:, j]].tolist():
+                    link(p, i)
+            rest = ~np.isin(idx, pivots)  # a pivot has met every member of its region
+            idx, linked, d, inside = idx[rest], linked[rest], d[rest], inside[rest]
+            parts = []
+            for j in range(inside.shape[1]):
+                here = inside[:, j].copy()
+                if j < len(pivots) and here.any():
+                    here[here] = in_window(d[here, j], linked[here, j], num, den)
+                parts.append(idx[here])
+            if 2 * sum(len(x) ** 2 for x in parts) <= len(idx) ** 2:  # less than half of the pairs are left
+                for x in parts:
+                    recurse(x)
+                return
+
+    recurse(np.arange(len(sets)))
     return found
 
 
@@ -418,16 +410,17 @@ def _neighbourhoods(tokens: DataFrame, sketches: DataFrame, num: int, den: int,
         ring = F.col("n")
     rings = members.join(sketches, "key").select("cell", "key", "n", "sketch", F.explode(F.array(ring, ring + 1)).alias("ring"))
     rings = materialize(rings, "rings", parts)
-    kept = rings.groupBy("cell", "ring").agg(F.count("*").alias("c")).where("c > 1").select("cell", "ring", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    dealt = rings.join(kept, ["cell", "ring"]).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cell", "ring", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "key", "n", "sketch")
+    counts = rings.groupBy("cell", "ring").agg(F.count("*").alias("c")).where("c > 1").select("cell", "ring", (F.col("c") <= BLOCK).alias("small"))
+    dealt = rings.join(counts, ["cell", "ring"])
 
     def run(table):
         n = table.column("n").to_numpy()
         keep = possible(n, table.column("sketch").to_pylist(), num, den)
         return pa.RecordBatch.from_arrays([pa.array(table.column(c).to_numpy()[keep]) for c in ("cell", "key", "n")], ["cell", "key", "n"])
 
-    found = _by_runs(dealt, ["cell", "ring", "lo", "hi"], run, "cell long, key long, n long")
+    found = _by_runs(dealt.where("small").select("cell", "ring", "key", "n", "sketch"), ["cell", "ring"], run, "cell long, key long, n long")
+    # members of rings beyond one task's bound are not compared here at all: they meet pivots first
+    found = found.unionByName(dealt.where("not small").select("cell", "key", "n"))
     return materialize(found.distinct(), "neighbourhoods", parts)
 
 
@@ -480,7 +473,7 @@ def _join_cells(cells: DataFrame, items: DataFrame, num: int, den: int, parts: i
     return materialize(out.distinct(), "all-links", parts)
 
 
-def _links(docs: DataFrame, rows: DataFrame, path: str, classes: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame:
+def _links(docs: DataFrame, rows: DataFrame, path: str, classes: DataFrame, renamed: dict[tuple[int, int], int], k: int, num: int, den: int, parts: int) -> DataFrame:
     """Edges (a, b) between classes that give all components of the linked classes. The rows' table is given up on the way."""
     spark = docs.sparkSession
     alone = rows.where("n > 0 and doc_id is not null").select("key", F.explode("counted").alias("h")).groupBy("h").agg(F.min("key").alias("key"), F.max("key").alias("other")).where("key = other")
@@ -489,7 +482,7 @@ def _links(docs: DataFrame, rows: DataFrame, path: str, classes: DataFrame, k: i
     wanted = classes.join(alone, "key", "left").withColumn("more", (size - F.coalesce("alone", F.lit(0))).cast("int")).where("more > 0")
     wanted = materialize(wanted.select("key", "doc_id", "n", "more"), "open-classes", parts)
     discard(spark, path)
-    sets, sets_path = _sets(docs, wanted, k, num, den, _frequent(docs, k))
+    sets, sets_path = _sets(docs, wanted, k, num, den, _frequent(docs, k), renamed)
     # the counted shingles that stand alone come first and meet nothing; if the others do not fill the prefix, all counted ones are taken
     prefix = F.when(F.col("more") <= F.col("rare"), F.slice("prefix", F.lit(1), F.col("more"))).otherwise(F.col("prefix"))
     tokens = sets.select("key", "prefix", "rare").join(wanted.select("key", "more"), "key").select("key", F.explode(prefix).alias("h")).distinct()
@@ -509,11 +502,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
 
     Two documents are linked if ``den * |intersection| >= num * |union|`` of their sets of ``k``-word shingles."""
     given, path = _named_rows(docs, k, num, den)
+    renamed = _renamed(given)
+    if renamed:
+        table = docs.sparkSession.createDataFrame([(*k, v) for k, v in renamed.items()], "key long, check long, other long")
+        given = given.join(F.broadcast(table), ["key", "check"], "left").withColumn("key", F.coalesce("other", "key")).drop("other")
     rows = materialize(given.select("doc_id", "n", "key"), "rows")
     full = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = materialize(full.groupBy("key").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id")), "classes")
     parts = 8 + classes.count() // CLASSES_OF_TASK
-    links = _links(docs, given, path, classes, k, num, den, parts)
+    links = _links(docs, given, path, classes, renamed, k, num, den, parts)
     repeated = full.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a != z").select("doc_id", "a")  # ids of several texts
     several = full.select("doc_id", F.col("key").alias("b")).join(repeated, "doc_id").select("a", "b").distinct()
     roots = materialize(components(links.unionByName(several)), "roots", parts)
