@@ -7,21 +7,26 @@ hit the windows in which the item could lie are merged, and Myers's bit-parallel
 distance to any passage there. Within the budget the document holds the item. By the pigeonhole principle nothing within
 the budget is missed.
 
-Items come to the tasks in blocks of at most ``BLOCK_CHARS`` characters (so what is sent has a fixed size), one pass of the
-documents for each block. Null, empty and blank items match nothing; null and empty texts hold nothing; null ids are
+Items lie in files, in blocks of about ``BLOCK_CHARS`` characters and one item, which the tasks read themselves, one pass of
+the documents for each block; neither items nor pieces pass through the driver. Null, empty and blank items match nothing; null and empty texts hold nothing; null ids are
 reported as null, ids may be of any type; repeated rows are reported each; of places with the least distance the first end counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from linkweir.operators.ranking import running_totals
+
+from .common import fresh_path
+
 #: Characters of an item for each edit of its budget.
 BUDGET_STEP = 12
 BLOCK_CHARS = 1_000_000
@@ -121,21 +126,25 @@ class Matcher:
 
 
 @lru_cache(maxsize=2)
-def matcher(items: tuple[tuple[int | None, str], ...], step: int) -> Matcher:
-    return Matcher(items, step)
+def matcher(path: str, step: int) -> Matcher:
+    """The worker process's own matcher of a block of items, read from the block's files."""
+    where, at = fs.FileSystem.from_uri(path)
+    files = sorted(f.path for f in where.get_file_info(fs.FileSelector(at)) if f.base_name.endswith(".parquet"))
+    rows = [r for f in files for r in pq.read_table(f, filesystem=where, columns=["item_id", "text"], partitioning=None).to_pylist()]
+    return Matcher(tuple((r["item_id"], r["text"]) for r in rows), step)
+
 
+def blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> list[str]:
+    """Folders of the items in blocks of about ``chars`` characters, written by the tasks that hold them.
 
-def blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[tuple[tuple[int | None, str], ...]]:
-    """The items in blocks of at most ``chars`` characters (a longer item is a block of its own)."""
-    held, size = [], 0
-    for r in benchmark.select("item_id", "text").where(F.col("text").isNotNull()).toLocalIterator():
-        if held and size + len(r["text"]) > chars:
-            yield tuple(held)
-            held, size = [], 0
-        held.append((r["item_id"], r["text"]))
-        size += len(r["text"])
-    if held:
-        yield tuple(held)
+    Blocks come from a running total of the items' lengths, so only how many there are comes to the driver."""
+    items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text", F.length("text").cast("long").alias("_n"), F.xxhash64("text").alias("_h"))
+    totals = running_totals(items, ["item_id", "_h"], "_n", "_through")
+    placed = totals.select("item_id", "text", F.floor((F.col("_through") - F.col("_n")) / chars).alias("block"))
+    path = fresh_path(benchmark.sparkSession, "benchmark")
+    placed.repartition("block").write.partitionBy("block").parquet(path)
+    found = benchmark.sparkSession.read.schema("block long").parquet(path).select("block").distinct().collect()
+    return [f"{path}/block={r['block']}" for r in sorted(found)]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, step: int = BUDGET_STEP, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -143,10 +152,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, step: int = BUDGET_STEP, b
     doc_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {doc_kind}, item_id {item_kind}, distance int, budget int, end long"
     out, item_type = docs.sparkSession.createDataFrame([], schema), to_arrow_type(benchmark.schema["item_id"].dataType)
-    for items in blocks(benchmark, block_chars):
+    for block in blocks(benchmark, block_chars):
 
-        def run(batches, items=items):
-            m = matcher(items, step)
+        def run(batches, block=block):
+            m = matcher(block, step)
             for b in batches:
                 ids = b.column("doc_id").to_pylist()
                 rows = [(ids[i], *hit) for i, t in enumerate(b.column("text").to_pylist()) for hit in m.find(t)]
@@ -161,10 +170,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, step: int = BUDGET_STEP, b
 def remove_leaking(docs: DataFrame, benchmark: DataFrame, step: int = BUDGET_STEP, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item within its budget."""
     out = docs
-    for items in blocks(benchmark, block_chars):
+    for block in blocks(benchmark, block_chars):
 
-        def run(batches, items=items):
-            m = matcher(items, step)
+        def run(batches, block=block):
+            m = matcher(block, step)
             for b in batches:
                 yield b.filter(pa.array([not m.find(t, first_only=True) for t in b.column("text").to_pylist()], pa.bool_()))
 

@@ -1,6 +1,6 @@
 """Token-id output: ids concatenated in ascending doc_id order, document boundaries in Elias-Fano form.
 
-A file holds a run of documents, of about ``FILE_BYTES`` of ids at most (or one document)::
+A file holds a run of documents, of about ``FILE_BYTES`` of ids (or one document) and ``FILE_DOCS`` documents at most::
 
     8 bytes    magic b"LWTOK2\\0\\0"
     12 x int64 n_docs, n_null, n_tokens, id bytes (2 or 4), first doc id, and of boundaries and doc ids each: low bits,
@@ -41,8 +41,8 @@ from .common import fresh_path, materialize
 
 MAGIC = b"LWTOK2\0\0"
 SAMPLE = 256
-#: Bytes of ids after which a task closes a file and opens the next; documents whose boundaries are selected together.
-FILE_BYTES, RUN = 1 << 26, 8192
+#: Bytes of ids, or documents, after which a task closes a file and opens the next; documents whose boundaries are selected together.
+FILE_BYTES, FILE_DOCS, RUN = 1 << 26, 1 << 18, 8192
 #: Chunks that a worker remembers before it starts anew.
 REMEMBERED = 800_000
 _UNSAFE = re.compile(r"\s \s")
@@ -270,7 +270,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, part
         for b in batches:
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist())):
                 out.add(doc_id, ids, end)
-                if out.bytes > FILE_BYTES:
+                if out.bytes > FILE_BYTES or len(out.sizes) >= FILE_DOCS:
                     yield out.close()
         if out.sizes:
             yield out.close()
