@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+import time
 import xml.etree.ElementTree as ET
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
 from itertools import chain
 
@@ -13,7 +14,6 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.types import ArrayType, StringType
 
 from linkweir.functions import patterns as P
 from linkweir.functions import scalars as S
@@ -135,20 +135,36 @@ class _Anchors(HTMLParser):
             self.done = not self.depth
 
 
-def html_anchors(html: Column, tag: str | None = "div", name: str | None = "ltx_page_content") -> Column:
-    @F.pandas_udf(ArrayType(StringType()))
-    def run(pages: pd.Series) -> pd.Series:
-        def one(page):
-            p = _Anchors(tag, name)
-            try:
-                p.feed(page or "")
-            except AssertionError:  # the parser's answer to broken declarations
-                return []
-            return sorted(set(p.found))
+#: Characters that a parser is fed between two looks at the clock.
+FED = 1 << 16
+
+
+def _in_time(text: str, seconds: float) -> Iterator[str]:
+    """The text in parts; TimeoutError once they have taken longer."""
+    until = time.monotonic() + seconds
+    for i in range(0, len(text), FED):
+        if time.monotonic() > until:
+            raise TimeoutError
+        yield text[i : i + FED]
+
+
+def html_anchors_within(html: Column, tag: str | None = "div", name: str | None = "ltx_page_content", seconds: float = TEXT_SECONDS) -> Column:
+    """Targets of a page's anchors as a struct of urls and error."""
 
-        return pages.map(one)
+    def search(page):
+        p = _Anchors(tag, name)
+        try:
+            for part in _in_time(page, seconds):
+                p.feed(part)
+        except AssertionError:  # the parser's answer to broken declarations
+            return []
+        return p.found
+
+    return each_within(search, html)
 
-    return run(html)
+
+def html_anchors(html: Column, tag: str | None = "div", name: str | None = "ltx_page_content") -> Column:
+    return html_anchors_within(html, tag, name)["urls"]
 
 
 def html_links(html: Column, doc_id: Column) -> Column:
@@ -156,20 +172,26 @@ def html_links(html: Column, doc_id: Column) -> Column:
     return F.filter(html_anchors(html), lambda u: ~S.is_self_reference_html(u, doc_id))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _targets(docs: pd.Series) -> pd.Series:
-    def one(doc):
+def tei_targets_within(xml: Column, seconds: float = LATEX_SECONDS) -> Column:
+    """@target attributes of a document as a struct of urls and error; one that does not parse has none, and no error."""
+
+    def search(doc):
+        parser, found = ET.XMLPullParser(events=("start",)), []
         try:
-            return sorted({v for e in ET.fromstring(doc).iter() for k, v in e.attrib.items() if k.rpartition("}")[2] == "target"}) if doc else []
+            for part in _in_time(doc, seconds):
+                parser.feed(part)
+                found += (v for _, e in parser.read_events() for k, v in e.attrib.items() if k.rpartition("}")[2] == "target")
+            parser.close()
         except ET.ParseError:
             return []
+        return found
 
-    return docs.map(one)
+    return each_within(search, xml)
 
 
 def tei_targets(xml: Column, corpus: bool = False) -> Column:
     """@target attributes that are links; none of a document that does not parse."""
-    return F.filter(_targets(xml), lambda u: S.keeps_tei_target(u, corpus))
+    return F.filter(tei_targets_within(xml)["urls"], lambda u: S.keeps_tei_target(u, corpus))
 
 
 def markdown_links(text: Column) -> Column:

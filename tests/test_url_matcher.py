@@ -69,3 +69,13 @@ def test_a_slow_document_is_its_own_failure(spark):
     assert got == {1: ([], "timeout"), 2: (["http://a.org/b"], None), 3: ([], None), 4: ([], None)}
     layer = {r["i"]: r["u"]["urls"] for r in rows.select("i", X.text_layer_within(F.col("t")).alias("u")).collect()}
     assert layer == {1: [], 2: ["http://a.org/b."], 3: [], 4: []}
+
+
+def test_pages_and_tei_have_a_limit_for_each_document(spark):
+    page, tei = '<div class="ltx_page_content"><a href="/x&amp;y">t</a>%s<a href=/z></div><a href="/no">', '<TEI xmlns="n"><ref target="http://a.org/?a&amp;b"/>%s<p n:target="#b" xmlns:n="m"/></TEI>'
+    rows = spark.createDataFrame([(1, page % "", tei % ""), (2, page % ("<b>" * 200_000), tei % ("<p/>" * 200_000)), (3, "<![x", "<TEI>"), (4, None, "")], "i int, h string, t string").coalesce(1)
+    got = {r["i"]: (tuple(r["a"]), tuple(r["b"])) for r in rows.select("i", X.html_anchors_within(F.col("h")).alias("a"), X.tei_targets_within(F.col("t")).alias("b")).collect()}
+    both = (["/x&y", "/z"], None), (["#b", "http://a.org/?a&b"], None)
+    assert got == {1: both, 2: both, 3: (([], None), ([], None)), 4: (([], None), ([], None))}
+    late = {r["i"]: (r["a"]["error"], r["b"]["error"]) for r in rows.select("i", X.html_anchors_within(F.col("h"), seconds=0.0).alias("a"), X.tei_targets_within(F.col("t"), seconds=-1.0).alias("b")).collect()}
+    assert late[2] == ("timeout", "timeout") and late[4] == (None, None)
