@@ -71,6 +71,20 @@ def url_scheme(spark, d):
     return load(spark, d, "urls").select("paper_id", S.scheme(F.col("url")).alias("scheme"))
 
 
+@query(f"SELECT paper_id, (s // 86400)::VARCHAR || 'd ' || (s % 86400 // 3600)::VARCHAR || 'h ' || (s % 3600 // 60)::VARCHAR || 'm' AS elapsed, CASE WHEN s = 0 THEN 0.0 ELSE round(month * 60.0 / s, 6) END AS rate FROM (SELECT paper_id, month, paper_id * 977 % 1000000 * (paper_id % 5) AS s FROM {duck('papers')})")
+def elapsed_and_rate(spark, d):
+    """Running times as days, hours and minutes, and papers a minute, 0 where no time has passed."""
+    seconds = F.col("paper_id") * 977 % 1000000 * (F.col("paper_id") % 5)
+    return load(spark, d, "papers").select("paper_id", S.elapsed(seconds).alias("elapsed"), F.round(S.rate_per_minute(F.col("month"), seconds), 6).alias("rate"))
+
+
+@query(f"SELECT DISTINCT paper_id, unnest(regexp_extract_all(text, 'File `([^'']+\\.sty)'' not found', 1)) AS style FROM (SELECT paper_id, concat('! LaTeX Error: File `p', paper_id % 7, '.sty'' not found.', chr(10), 'File `x.tex'' not found', chr(10), 'File `a-', length(url), '.sty'' not found') AS text FROM {duck('urls')})")
+def missing_styles(spark, d):
+    """Style files that a conversion's log misses."""
+    log = F.concat(F.lit("! LaTeX Error: File `p"), (F.col("paper_id") % 7).cast("string"), F.lit(".sty' not found.\nFile `x.tex' not found\nFile `a-"), F.length("url").cast("string"), F.lit(".sty' not found"))
+    return load(spark, d, "urls").select("paper_id", F.explode(S.missing_styles(log)).alias("style"))
+
+
 _STRIP = r"""[.,;:)\]}>"'']+$"""
 
 
