@@ -22,20 +22,21 @@ def _written(spark: SparkSession, d: str, tag: str, path: Column, content: Colum
     return root
 
 
-_key = F.col("paper_id").cast("string")
+def _key() -> Column:
+    return F.col("paper_id").cast("string")
 
 
 @query(f"SELECT {_ID} AS paper_id, length(url)::BIGINT AS length FROM {_PAGES}")
 def list_files(spark, d):
-    root = _written(spark, d, "pdfs", F.concat(F.lit("set "), (F.col("paper_id") % 7).cast("string"), F.lit("/"), _key, F.lit(".pdf")), F.col("url"))
+    root = _written(spark, d, "pdfs", F.concat(F.lit("set "), (F.col("paper_id") % 7).cast("string"), F.lit("/"), _key(), F.lit(".pdf")), F.col("url"))
     return files.list_files(spark, root, "pdf").select("paper_id", "length")
 
 
 @query(f"SELECT {_ID} AS paper_id, CASE WHEN paper_id % 3 = 0 THEN '' ELSE url || chr(10) || '{{\"two\": \"lines\"}}' END AS content FROM {_PAGES}")
 def whole_text_files(spark, d):
     text = F.concat("url", F.lit('\n{"two": "lines"}'))
-    root = _written(spark, d, "texts", F.concat(_key, F.lit(".txt")), text, "paper_id % 3 > 0")
-    return files.with_content(load(spark, d, "urls").select(_key.alias("paper_id")), files.whole_texts(spark, root, "txt")).select("paper_id", "content")
+    root = _written(spark, d, "texts", F.concat(_key(), F.lit(".txt")), text, "paper_id % 3 > 0")
+    return files.with_content(load(spark, d, "urls").select(_key().alias("paper_id")), files.whole_texts(spark, root, "txt")).select("paper_id", "content")
 
 
 @query(f"SELECT {_ID} AS paper_id, CASE WHEN paper_id % 2 = 0 THEN 'b.tex' ELSE 'c.tex' END AS name, (CASE WHEN paper_id % 2 = 0 THEN 30 ELSE 24 END + length(url))::BIGINT AS size FROM {_PAGES}")
@@ -68,9 +69,9 @@ _NESTED = f"(SELECT year, paper_id, sum(num_urls)::BIGINT AS num_urls, list(DIST
 def nested_year_json(spark, d):
     """{year: {id: record}} files, each read by several tasks, with braces, quotes and backslashes in strings."""
     papers = load(spark, d, "corpus").groupBy("year", "paper_id").agg(F.sum("num_urls").cast("long").alias("num_urls"), F.array_sort(F.collect_set("format")).alias("formats"))
-    title = F.concat(F.lit('a "{brace}" \\ '), _key)
+    title = F.concat(F.lit('a "{brace}" \\ '), _key())
     record = F.to_json(F.struct("num_urls", F.transform("formats", lambda f: F.struct(f.alias("f"), F.lit("}{").alias("x"))).alias("urls"), title.alias("title")))
-    line = F.concat(F.lit('  "'), _key, F.lit('" : '), record)
+    line = F.concat(F.lit('  "'), _key(), F.lit('" : '), record)
     # a file holds the papers of a year of one thousand keys, so a group is bounded
     made = papers.groupBy("year", F.floor(F.col("paper_id") / 1000).alias("part")).agg(F.sort_array(F.collect_list(line)).alias("lines"))
     text = F.concat(F.lit('{\n "'), F.col("year").cast("string"), F.lit('": {\n'), F.array_join("lines", ",\n"), F.lit("\n }\n}\n"))
@@ -83,8 +84,8 @@ def nested_year_json(spark, d):
 @query(f"SELECT (1992 + paper_id % 5)::INT AS year, {_ID} AS paper_id, length(url)::BIGINT AS size FROM {_PAGES} WHERE paper_id % 3 > 0")
 def existing_of_manifest(spark, d):
     """The lines year|id|path of a committed manifest whose files exist."""
-    root = _written(spark, d, "present", F.concat(_key, F.lit(".pdf")), F.col("url"), "paper_id % 3 > 0")
-    listed = load(spark, d, "urls").select((1992 + F.col("paper_id") % 5).cast("int").alias("year"), _key.alias("paper_id"), F.concat(F.lit(f"{root}/"), _key, F.lit(".pdf")).alias("path"))
+    root = _written(spark, d, "present", F.concat(_key(), F.lit(".pdf")), F.col("url"), "paper_id % 3 > 0")
+    listed = load(spark, d, "urls").select((1992 + F.col("paper_id") % 5).cast("int").alias("year"), _key().alias("paper_id"), F.concat(F.lit(f"{root}/"), _key(), F.lit(".pdf")).alias("path"))
     path = new_path(spark, "manifest")
     committed.write_committed(listed, path, "text")
     rows = committed.read_committed(spark, path, "year int, paper_id string, path string", sep="|")
@@ -93,29 +94,29 @@ def existing_of_manifest(spark, d):
 
 @query(f"SELECT CASE WHEN paper_id % 5 = 0 THEN paper_id::VARCHAR || '_meta.json' ELSE {_ID} END AS paper_id, CASE WHEN paper_id % 5 = 0 THEN 'corrupted_json' WHEN paper_id % 2 = 0 THEN 'success' ELSE 'failed' END AS status, CASE WHEN paper_id % 5 > 0 AND paper_id % 2 = 1 THEN url END AS error FROM {_PAGES}")
 def conversion_records(spark, d):
-    good = F.to_json(F.struct(_key.alias("arxiv_id"), F.when(F.col("paper_id") % 2 == 0, "success").otherwise("failed").alias("status"), F.when(F.col("paper_id") % 2 == 1, F.col("url")).alias("error")))
+    good = F.to_json(F.struct(_key().alias("arxiv_id"), F.when(F.col("paper_id") % 2 == 0, "success").otherwise("failed").alias("status"), F.when(F.col("paper_id") % 2 == 1, F.col("url")).alias("error")))
     content = F.when(F.col("paper_id") % 5 == 0, '{"arxiv_id": "cut').otherwise(F.replace(good, F.lit(","), F.lit(",\n ")))
-    root = _written(spark, d, "meta", F.concat(_key, F.lit("_meta.json")), content)
+    root = _written(spark, d, "meta", F.concat(_key(), F.lit("_meta.json")), content)
     return files.read_status_files(spark, root).select("paper_id", "status", "error")
 
 
 @query(f"SELECT {_ID} AS arxiv_id, url AS html_path FROM {_PAGES} WHERE paper_id % 4 > 0")
 def success_markers(spark, d):
-    content = F.when(F.col("paper_id") % 4 == 0, "{broken").otherwise(F.to_json(F.struct(_key.alias("arxiv_id"), F.col("url").alias("html_path"))))
-    return files.read_success_markers(spark, _written(spark, d, "success", F.concat(_key, F.lit(".json")), content))
+    content = F.when(F.col("paper_id") % 4 == 0, "{broken").otherwise(F.to_json(F.struct(_key().alias("arxiv_id"), F.col("url").alias("html_path"))))
+    return files.read_success_markers(spark, _written(spark, d, "success", F.concat(_key(), F.lit(".json")), content))
 
 
 @query(f"SELECT DISTINCT (1990 + paper_id % 9)::INT AS year, {_ID} AS paper_id FROM {_PAGES} WHERE paper_id % 10 > 0")
 def tracker_logs(spark, d):
-    name = F.when(F.col("paper_id") % 10 == 0, F.concat(F.lit("other_"), _key, F.lit(".txt"))).otherwise(F.concat((1990 + F.col("paper_id") % 9).cast("string"), F.lit("_task_"), _key, F.lit(".log")))
-    return files.read_tracker_logs(spark, _written(spark, d, "logs", name, F.concat(_key, F.lit("\n\n "), _key, F.lit(" \n"))))
+    name = F.when(F.col("paper_id") % 10 == 0, F.concat(F.lit("other_"), _key(), F.lit(".txt"))).otherwise(F.concat((1990 + F.col("paper_id") % 9).cast("string"), F.lit("_task_"), _key(), F.lit(".log")))
+    return files.read_tracker_logs(spark, _written(spark, d, "logs", name, F.concat(_key(), F.lit("\n\n "), _key(), F.lit(" \n"))))
 
 
 @query(f"SELECT CASE paper_id % 3 WHEN 0 THEN 'A100' ELSE 'V100' END AS kind, count(*) AS logs FROM {_PAGES} WHERE paper_id % 3 < 2 GROUP BY ALL")
 def hardware_tally(spark, d):
     third = F.col("paper_id") % 3
     content = F.concat(F.lit("started\n"), F.when(third == 0, "on A100, V100\n").when(third == 1, "on V100\n").otherwise("on a CPU\n"), "url")
-    return files.hardware_tally(spark, _written(spark, d, "hardware", F.concat(_key, F.lit(".log")), content))
+    return files.hardware_tally(spark, _written(spark, d, "hardware", F.concat(_key(), F.lit(".log")), content))
 
 
 @query(f"SELECT DISTINCT (paper_id // 40)::VARCHAR AS paper_id, unnest([url || '/é', url]) AS url FROM {_PAGES}")
@@ -134,10 +135,10 @@ def scan_large_binary(spark, d):
 @query(f"SELECT 'c' || (paper_id % 3)::VARCHAR AS category, {_ID} AS paper_id, CASE WHEN paper_id % 4 > 0 THEN length(url)::BIGINT END AS copied FROM {_PAGES}")
 def copy_selected(spark, d):
     """Files copied to a folder a category, with what is missing told."""
-    root = _written(spark, d, "chosen", F.concat(_key, F.lit(".pdf")), F.col("url"), "paper_id % 4 > 0")
+    root = _written(spark, d, "chosen", F.concat(_key(), F.lit(".pdf")), F.col("url"), "paper_id % 4 > 0")
     target = new_path(spark, "copies")
     category = F.concat(F.lit("c"), (F.col("paper_id") % 3).cast("string"))
-    rows = load(spark, d, "urls").select(category.alias("category"), _key.alias("paper_id"), F.concat(F.lit(f"{root}/"), _key, F.lit(".pdf")).alias("path"))
+    rows = load(spark, d, "urls").select(category.alias("category"), _key().alias("paper_id"), F.concat(F.lit(f"{root}/"), _key(), F.lit(".pdf")).alias("path"))
     files.copy_selected(rows, target)
     copies = files.list_files(spark, target, "pdf").select("paper_id", F.col("length").alias("copied"))
     lists = spark.read.text(f"{target}/lists").select("category", files.stem(F.col("value"), "pdf").alias("paper_id"))
@@ -163,13 +164,13 @@ def missing_values(spark, d):
     """Marks of missing values that a CSV file holds, and the guard for those it keeps."""
     path = new_path(spark, "marks")
     mark = F.element_at(F.array(*map(F.lit, _MARKS)), (1 + F.col("paper_id") % len(_MARKS)).cast("int"))
-    files.write_csv(load(spark, d, "urls").select(_key.alias("paper_id"), mark.alias("value")), path)
+    files.write_csv(load(spark, d, "urls").select(_key().alias("paper_id"), mark.alias("value")), path)
     return files.read_csv(spark, path, "paper_id string, value string").withColumn("missing", is_missing(F.col("value")))
 
 
 @query(f"SELECT {_ID} AS paper_id, length(url)::BIGINT AS size FROM {_PAGES} WHERE paper_id % 5 = 1")
 def converted_files(spark, d):
     """Papers of a sample whose derived path is a file, with its size."""
-    root = _written(spark, d, "converted", F.concat(_key, F.lit(".md")), F.col("url"), "paper_id % 5 = 1")
-    sample = load(spark, d, "urls").select(_key.alias("paper_id"), F.concat(F.lit(f"{root}/"), _key, F.lit(".pdf")).alias("pdf_path"))
+    root = _written(spark, d, "converted", F.concat(_key(), F.lit(".md")), F.col("url"), "paper_id % 5 = 1")
+    sample = load(spark, d, "urls").select(_key().alias("paper_id"), F.concat(F.lit(f"{root}/"), _key(), F.lit(".pdf")).alias("pdf_path"))
     return files.existing(sample.withColumn("path", files.converted_path(F.col("pdf_path")))).select("paper_id", "size")
