@@ -8,7 +8,7 @@ import pytest
 
 from linkweir.plans import catalog
 
-TABLES = ("lineitem", "orders", "pages", "part")
+TABLES = ("lineitem", "orders", "pages", "part", "documents")
 
 
 def normal(frame):
