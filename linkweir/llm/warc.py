@@ -25,6 +25,7 @@ import re
 import uuid
 from collections.abc import Callable, Iterator
 from datetime import UTC, datetime, timedelta
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
@@ -256,7 +257,7 @@ def merge(spark: SparkSession, path: str, manifest: DataFrame, ranges: int | Non
             for i in b.column("i").to_pylist():
                 tree = iter(LoserTree([_read_files(path, x, *bounds[i]) for x in names], _order))
                 seq = 0
-                while rows := [line.split("\t") for line, _ in zip(tree, range(10_000))]:
+                while rows := [line.split("\t") for line in islice(tree, 10_000)]:
                     cols = list(zip(*rows))
                     number = lambda c: pa.array([int(x) if x else None for x in c], pa.int64())
                     n, seq = len(rows), seq + len(rows)

@@ -27,6 +27,18 @@ def test_merge_passes_keep_all_tasks_busy(spark, monkeypatch, fan_in, ranges):
     assert passes and min(passes) >= min(ranges, 60 // fan_in)
 
 
+def test_ranges_of_many_captures_lose_none(spark):
+    n = 20_003
+    pages = spark.range(n).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.org/"), "id").alias("url"), (F.col("id") % 7).cast("string").alias("html"))
+    path = common.fresh_path(spark, "warc")
+    index = warc.merge(spark, path, warc.write(pages, path), 1)
+    rows = index.orderBy("shard", "seq").collect()
+    assert [(r["shard"], r["seq"]) for r in rows] == [(0, i) for i in range(n)]
+    assert [r["url_key"] for r in rows] == sorted(f"org,h)/{i}" for i in range(n))
+    got = warc.read(spark, path, index)
+    assert sorted(r["page_id"] for r in got.select("page_id").collect()) == list(range(n))
+
+
 def test_bounds_part_the_marks_evenly():
     runs = [([f"r{i}"], 10, [f"k{j:03d}\t2020\t{i}\t0" for j in range(10)]) for i in range(20)]
     bounds = warc._bounds(runs, 8)
