@@ -22,16 +22,19 @@ end id).
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
 import zlib
+from collections.abc import Callable
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, groupby
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -43,9 +46,30 @@ MAGIC = b"LWTOK2\0\0"
 SAMPLE = 256
 #: Bytes of ids, or documents, after which a task closes a file and opens the next; documents whose boundaries are selected together.
 FILE_BYTES, FILE_DOCS, RUN = 1 << 26, 1 << 18, 8192
-#: Chunks that a worker remembers before it starts anew.
-REMEMBERED = 800_000
-_UNSAFE = re.compile(r"\s \s")
+#: Chunks that a worker remembers before it starts anew, and their bytes with those of their ids.
+REMEMBERED, REMEMBERED_BYTES = 800_000, 1 << 27
+#: Chunks that are encoded as one text; characters that the library, whose records of a token are large, is given at once.
+JOINED, GIVEN = 500, 1 << 20
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_UNSAFE, _ODD_END = f"{_SPACE} {_SPACE}", f"^$|^{_SPACE}|{_SPACE}$"
+_STEM = r"^(?P<stem>[A-Za-z]+)(?P<tail>[\x00-@\[-`{-\x7f](?s:.*))$"
+
+
+class _Memory:
+    """Texts and their ids."""
+
+    def __init__(self):
+        self.texts, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
+    def ids_of(self, texts: pa.Array, learn: Callable[[pa.Array], pa.Array]) -> pa.Array:
+        """Ids of distinct texts; those of new ones come from ``learn``."""
+        place = pc.index_in(texts, value_set=self.texts)
+        fresh = texts.filter(place.is_null())
+        place = place.fill_null(-1).to_numpy().astype(np.int64)
+        place[place < 0] = len(self.texts) + np.arange(len(fresh))
+        if len(fresh):
+            self.texts, self.ids = pa.concat_arrays([self.texts, fresh]), pa.concat_arrays([self.ids, learn(fresh)])
+        return self.ids.take(pa.array(place))
 
 
 class Encoder:
@@ -54,6 +78,10 @@ class Encoder:
     The library's split pattern never joins text across a single space whose neighbours are not both white space: the
     space opens the next piece. So a text without such places is cut before its spaces, every distinct chunk is encoded
     by the library once, and ids are joined. Other texts, and tokenizers of another kind, are encoded whole.
+
+    Nor does the pattern join a letter with what is none: a chunk of ASCII letters and a tail that begins with another ASCII
+    character has the ids of both, so fewer texts are new to the library. Chunks are told apart, looked up and joined as
+    Arrow arrays; only new ones become Python strings.
     """
 
     def __init__(self, path: str):
@@ -64,63 +92,111 @@ class Encoder:
 
         spec = json.loads(self.tok.to_str())
         pre = spec.get("pre_tokenizer") or {}
+        added = spec.get("added_tokens", [])
         self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
-        self.cuts = self.cuts and not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", []))
+        self.cuts = self.cuts and not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added)
+        #: Whether chunks are parted after their letters: no added token reaches from these into a tail.
+        self.parts = not any(re.match(r"[A-Za-z]+[^A-Za-z]", t["content"]) for t in added)
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.uint16 if self.width == 2 else np.uint32
         #: Which ids begin with a space: in a text cut before its spaces, those that begin a chunk.
         self.opens = np.array([(self.tok.id_to_token(i) or "").startswith("\u0120") for i in range(self.tok.get_vocab_size())])
-        self.heads: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        self._forget()
 
-    def _joined(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks, each after a space. They are encoded as long texts, whose ids are parted where a space begins one.
+    def _forget(self) -> None:
+        #: Texts that follow no space; letters or other undivided chunks, and all chunks, that follow one.
+        self.heads, self.stems, self.chunks = _Memory(), _Memory(), _Memory()
 
-        No chunk has a space inside; ends that are other white space would make the next space unsafe."""
+    def _whole(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        groups = [chunks[i : i + 4000] for i in range(0, len(chunks), 4000)]
-        for group, e in zip(groups, self.tok.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, self.dtype)
-            at = (np.flatnonzero(self.opens[ids]) * self.width).tolist()
-            if len(at) != len(group):
-                out += self._whole([" " + c for c in group])
-                continue
-            raw = ids.tobytes()
-            out += [raw[a:z] for a, z in zip(at, [*at[1:], len(raw)])]
+        for _, group in groupby(zip(texts, accumulate(map(len, texts))), lambda x: x[1] // GIVEN):
+            out += [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast([t for t, _ in group], add_special_tokens=False)]
         return out
 
-    def _learn(self, memory: dict[str, bytes], chunks: set[str], before: str) -> None:
-        fresh = list(chunks.difference(memory))
-        if before:
-            plain = [c for c in fresh if c and not c[0].isspace() and not c[-1].isspace()]
-            memory.update(zip(plain, self._joined(plain)))
-            fresh = [c for c in fresh if c not in memory] if len(plain) < len(fresh) else []
-        for i in range(0, len(fresh), 5000):
-            memory.update(zip(fresh[i : i + 5000], self._whole([before + c for c in fresh[i : i + 5000]])))
+    def _alone(self, texts: pa.Array) -> pa.Array:
+        """Ids of texts that follow no space."""
+        return pa.array(self._whole(texts.to_pylist()), pa.large_binary())
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _joined(self, chunks: pa.Array) -> pa.Array:
+        """Ids of chunks, each after a space. They are encoded as long texts, whose ids are parted where a space begins one.
+
+        No chunk has a space inside; ends that are other white space would make the next space unsafe."""
+        odd = pc.match_substring_regex(chunks, _ODD_END)
+        plain = chunks.filter(pc.invert(odd)).to_pylist()
+        raw, sizes = [], []
+        for at in range(0, len(plain), JOINED * 20):
+            groups = [plain[i : i + JOINED] for i in range(at, min(len(plain), at + JOINED * 20), JOINED)]
+            for group, e in zip(groups, self.tok.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
+                ids = np.array(e.ids, self.dtype)
+                starts = np.flatnonzero(self.opens[ids])
+                if len(starts) == len(group):
+                    raw.append(ids.tobytes())
+                    sizes.append(np.diff(starts, append=len(ids)) * self.width)
+                else:
+                    apart = self._whole([" " + c for c in group])
+                    raw += apart
+                    sizes.append(np.array([len(x) for x in apart]))
+        ends = np.cumsum(np.concatenate([[0], *sizes]), dtype=np.int64)
+        out = pa.Array.from_buffers(pa.large_binary(), len(plain), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(b"".join(raw))])
+        if len(plain) == len(chunks):
+            return out
+        odd = odd.to_numpy(zero_copy_only=False)
+        rest = self._alone(pc.binary_join_element_wise(pa.scalar("", chunks.type), chunks.filter(pa.array(odd)), pa.scalar(" ", chunks.type)))
+        place = np.where(odd, len(plain) + np.cumsum(odd) - 1, np.cumsum(~odd) - 1)
+        return pa.concat_arrays([out, rest]).take(pa.array(place))
+
+    def _after_space(self, chunks: pa.Array) -> pa.Array:
+        """Ids of distinct chunks, each after a space."""
+        if not self.parts:
+            return self._joined(chunks)
+        stem, tail = pc.extract_regex(chunks, _STEM).flatten()
+        stem, tail = pc.coalesce(stem, chunks).dictionary_encode(), pc.coalesce(tail, pa.scalar("", tail.type)).dictionary_encode()
+        first = self.stems.ids_of(stem.dictionary, self._joined).take(stem.indices)
+        then = self.heads.ids_of(tail.dictionary, self._alone).take(tail.indices)
+        return pc.binary_join_element_wise(first, then, pa.scalar(b"", pa.large_binary()))
+
+    def _cut(self, texts: pa.Array) -> list[bytes]:
+        """Ids of texts that are cut before their spaces."""
+        if not len(texts):
+            return []
+        lists = pc.split_pattern(texts, " ")
+        bounds = lists.offsets.to_numpy()
+        pieces = lists.values.dictionary_encode()
+        names, index, first = pieces.dictionary, pieces.indices.to_numpy().astype(np.int64), bounds[:-1]
+        after = np.ones(len(index), bool)  # the space; what begins a text follows none
+        after[first] = False
+        used = np.zeros(len(names), bool)
+        used[index[after]] = True
+        chunks = self.chunks.ids_of(names.filter(pa.array(used)), self._after_space)
+        head = names.take(pa.array(index[first])).dictionary_encode()
+        heads = self.heads.ids_of(head.dictionary, self._alone)
+        index = (np.cumsum(used) - 1)[index]
+        index[first] = len(chunks) + head.indices.to_numpy()
+        joined = pa.concat_arrays([chunks, heads]).take(pa.array(index))
+        _, ends, raw = joined.buffers()
+        ends = np.frombuffer(ends, np.int64, len(joined) + 1)[bounds].tolist()
+        raw = memoryview(raw or b"")
+        return [bytes(raw[a:z]) for a, z in zip(ends, ends[1:])]
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Ids of each text as little-endian integers of ``width`` bytes."""
+        texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         if not self.cuts:
-            return self._whole(texts)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        if len(self.heads) > REMEMBERED:
-            self.heads.clear()
-        whole = [_UNSAFE.search(t) is not None for t in texts]
-        chunks = [[t] if w else t.split(" ") for t, w in zip(texts, whole)]
-        heads = [c.pop(0) for c in chunks]  # of a text that isn't cut, all of it
-        self._learn(self.heads, set(heads), "")
-        self._learn(self.known, set(chain.from_iterable(chunks)), " ")
-        head, known = self.heads, self.known.__getitem__
-        return [head[h] + b"".join(map(known, c)) for h, c in zip(heads, chunks)]
+            return self._whole(texts.to_pylist())
+        held = self.heads, self.stems, self.chunks
+        if max(len(m.texts) for m in held) > REMEMBERED or sum(m.texts.nbytes + m.ids.nbytes for m in held) > REMEMBERED_BYTES:
+            self._forget()
+        unsafe = pc.match_substring_regex(texts, _UNSAFE)
+        known = texts.filter(unsafe).dictionary_encode()
+        whole = map(self._whole(known.dictionary.to_pylist()).__getitem__, known.indices.to_pylist())
+        cut = iter(self._cut(texts.filter(pc.invert(unsafe))))
+        return [next(whole if w else cut) for w in unsafe.to_pylist()]
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """The worker process's own encoder: what it remembers serves all its tasks."""
+    """The worker process's own encoder: what it remembers serves all its tasks, each of which has one core."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Encoder(path)
 
 
@@ -268,7 +344,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, part
         end = np.array([end_id], enc.dtype).tobytes()
         out = _Writer(path, enc.width)
         for b in batches:
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist())):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text"))):
                 out.add(doc_id, ids, end)
                 if out.bytes > FILE_BYTES or len(out.sizes) >= FILE_DOCS:
                     yield out.close()

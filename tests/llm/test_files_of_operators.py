@@ -60,6 +60,49 @@ def test_token_files_close_after_so_many_documents(spark, monkeypatch):
     assert manifest.agg(F.max("n_docs")).first()[0] <= token_file.FILE_DOCS or manifest.count() == 1
 
 
+def library_ids(texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return [np.array(e.ids, np.uint16).tobytes() for e in Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_letters_and_tails_of_chunks_meet_the_library_once():
+    import public_tokenizers
+
+    enc = token_file.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    given = []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return real.encode_batch_fast(texts, **options)
+
+    real, enc.tok = enc.tok, Counting()
+    rng = random.Random(5)
+    stems = ["".join(rng.choices("abcdefghij", k=12)) for _ in range(300)]
+    tails = ["", ".", ",", ".\nThe", "'s", "$$$", "7"]
+    texts = ["Text " + " ".join(s + t for s in stems) for t in tails]
+    assert enc.encode(texts) == library_ids(texts)
+    assert sum(map(len, given)) < 2 * sum(map(len, stems))
+    assert enc.encode(texts[:2]) == library_ids(texts[:2]) and sum(map(len, given)) < 2 * sum(map(len, stems))
+
+
+@pytest.mark.parametrize("remembered", [800_000, 60])
+def test_ids_of_odd_chunks_in_batches(monkeypatch, remembered):
+    import public_tokenizers
+
+    monkeypatch.setattr(token_file, "REMEMBERED", remembered)
+    monkeypatch.setattr(token_file, "JOINED", 7)
+    enc = token_file.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(6)
+    bits = ["a", "The", "don't", "I'll", "x's.", "it'S", "'re", "ab1", "1ab", "e\u0301x", "a\u0301", "é", "aé", "漢a", "a漢.", ".", ",b", "\n", "\n\n", "\r\n", "\t", "\x1f", "\x85", "\u2003", "\u3000", "\xa0", "\x00", "<|endoftext|>", "endoftext|>", "a<|endoftext|>b", "\u0120", "😀", ""]
+    for n in (0, 1, 900, 900, 300):
+        texts = ["".join(rng.choice(bits) + rng.choice(["", " ", " ", " ", "  "]) for _ in range(rng.randint(0, 30))) for _ in range(n)]
+        assert enc.encode(texts) == library_ids(texts)
+    assert enc.encode([""]) == [b""] and enc.encode(["", "  ", " ", "b c"]) == library_ids(["", "  ", " ", "b c"])
+
+
 def test_items_come_from_files_in_blocks(spark):
     rng = random.Random(21)
     words = [f"w{i}" for i in range(500)]
