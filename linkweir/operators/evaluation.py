@@ -47,9 +47,12 @@ def per_paper_masks(m: DataFrame) -> DataFrame:
 
 
 def per_paper_combos(m: DataFrame, combo_dim: DataFrame) -> DataFrame:
-    """paper_id, combo, gt, tp, ext of papers with ground truth."""
+    """paper_id, combo, gt, tp, ext of papers with ground truth.
+
+    A paper's masks, a bounded number, lie in one partition before they meet the combinations; else each partition that
+    has one of them would send a row a combination."""
     hit = (F.col("mask").bitwiseAND(F.col("combo")) != 0).cast("int")
-    out = per_paper_masks(m).crossJoin(F.broadcast(combo_dim.select("combo"))).groupBy("paper_id", "combo").agg(
+    out = per_paper_masks(m).repartition("paper_id").crossJoin(F.broadcast(combo_dim.select("combo"))).groupBy("paper_id", "combo").agg(
         F.sum(F.col("is_gt") * F.col("n")).alias("gt"), F.sum(F.col("is_gt") * hit * F.col("n")).alias("tp"), F.sum(hit * F.col("n")).alias("ext")
     )
     return out.where("gt > 0")

@@ -93,13 +93,15 @@ def hashed_draws(spark: SparkSession, reps: int, slots: int, papers: int) -> Dat
 def bootstrap_by_join(vectors: DataFrame, reps: int, draws: Callable[[SparkSession, int, int, int], DataFrame] = hashed_draws, population: DataFrame | None = None) -> DataFrame:
     """rep, combo, tp, ext, gt of resampled papers, by a join with multiplicities; papers are numbered in id order.
 
-    Papers are drawn from the ``population`` (default: those of the vectors); one without a vector adds nothing."""
+    Papers are drawn from the ``population`` (default: those of the vectors); one without a vector adds nothing. The
+    vectors are written once, as their table is far smaller than the shuffles that make it."""
+    vectors = written(vectors.select("paper_id", "combo", "gt", "tp", "ext"), "vectors")
     ids = (vectors if population is None else population).select("paper_id").distinct()
-    n = ids.count()
     numbers = ranking.numbered(ids, [F.col("paper_id")], "number").select("paper_id", (F.col("number") - 1).alias("place"))
-    mult = draws(vectors.sparkSession, reps, n, max(n, 1)).groupBy("rep", "place").agg(F.count("*").alias("m"))
-    numbered = vectors.join(numbers, "paper_id")
-    return numbered.join(mult, "place").groupBy("rep", "combo").agg(*(F.sum(F.col(c) * F.col("m")).alias(c) for c in ("gt", "tp", "ext")))
+    n = numbers.count()
+    mult = draws(vectors.sparkSession, reps, n, max(n, 1)).repartition("place").groupBy("rep", "place").agg(F.count("*").alias("m"))
+    drawn = numbers.join(mult, "place").select("paper_id", "rep", "m")
+    return vectors.join(drawn, "paper_id").groupBy("rep", "combo").agg(*(F.sum(F.col(c) * F.col("m")).alias(c) for c in ("gt", "tp", "ext")))
 
 
 def bootstrap_by_blocks(vectors: DataFrame, reps: int, seed: int = 42, papers: int = 4096, population: DataFrame | None = None, chunk: int = 250) -> DataFrame:

@@ -27,6 +27,8 @@ SQL = {
     "llm": "SELECT page_id AS paper_id, CASE page_id % 4 WHEN 0 THEN concat('```json', chr(10), '[\"', url, '\", \"', url, '/2\"]', chr(10), '```') WHEN 1 THEN concat('[\"', url, '\"]') WHEN 2 THEN concat('Sorry, ', url) ELSE '[]' END AS text FROM {pages}",
     "raw": "SELECT page_id AS paper_id, concat('%PDF (', url, ') /URI(', url, '/é) <', url, '>') AS text FROM {pages}",
 }
+#: The rows of "ext" as they come, for aggregates that copies don't change.
+SQL["ext_rows"] = SQL["ext"].replace("SELECT DISTINCT", "SELECT", 1)
 
 TABLES = ("lineitem", "orders", "pages", "part")
 
