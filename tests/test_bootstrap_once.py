@@ -1,5 +1,6 @@
 """What the bootstrap reads and shuffles: its vectors are made once, and no table of masks by combinations is sent."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from linkweir.operators import evaluation as E
@@ -20,9 +21,10 @@ def counted(spark, papers, combos):
     return rows.mapInArrow(tell, "paper_id long, combo int, gt int, tp long, ext long"), made
 
 
-def test_vectors_are_made_once(spark):
+@pytest.mark.parametrize("form", ["join", "blocks"])
+def test_vectors_are_made_once(spark, form):
     v, made = counted(spark, 90, 2)
-    got = R.bootstrap_by_join(v, 5)
+    got = R.bootstrap_by_join(v, 5) if form == "join" else R.bootstrap_by_blocks(v, 5, papers=9)
     assert {(r["rep"], r["combo"]): r["gt"] for r in got.collect()} == {(r, c): 90 for r in range(5) for c in (1, 2)}
     assert made.value == 180
 
@@ -45,6 +47,12 @@ def test_masks_meet_combinations_where_their_paper_lies(spark):
     assert {(r["paper_id"], r["combo"]): (r["gt"], r["tp"], r["ext"]) for r in got.collect()} == want
 
 
+def test_blocks_are_the_same_however_many_a_task_has(spark):
+    v, _ = counted(spark, 300, 3)
+    rows = lambda n: sorted(map(tuple, R.bootstrap_by_blocks(v, 40, papers=9, chunk=7, together=n).collect()))
+    assert rows(1) == rows(5) == rows(100) and len(rows(2)) == 120
+
+
 def test_masks_of_papers_need_no_first_row_and_no_distinct_rows(spark, sf):
     from linkweir.plans import catalog
     from linkweir.plans.fixtures import load
