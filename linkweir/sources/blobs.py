@@ -5,16 +5,21 @@ Paths are local or URIs of any file system that Arrow opens. The driver lists no
 
 from __future__ import annotations
 
+import contextlib
+import os
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 #: Bytes that a task holds of a file that it copies or reads on beyond its range.
 BLOCK = 1 << 16
 #: Bytes of the range of a file that one row of a scan stands for.
@@ -100,6 +105,63 @@ def ask(rows: DataFrame, path: str = "path", at_once: int = 500) -> DataFrame:
     return rows.mapInArrow(run, _fields(rows) + "size long")
 
 
+#: Characters of contents that a batch of files has before it is sent on, and folders that one task reads.
+SENT, FOLDERS = 4 << 20, 1000
+
+
+def _entries(where: fs.FileSystem, at: str) -> Iterator[str]:
+    """Names of what a folder holds, one after the other where the file system gives them so; none of a folder that is missing."""
+    if isinstance(where, fs.LocalFileSystem):
+        with contextlib.suppress(FileNotFoundError), os.scandir(at) as found:
+            yield from (e.name for e in found)
+    else:
+        yield from (x.base_name for x in where.get_file_info(fs.FileSelector(at, allow_not_found=True)))
+
+
+def names_in(spark: SparkSession, root: str, at_once: int = 10_000) -> DataFrame:
+    """``name`` of each entry of one folder. A folder is listed by one task, which holds ``at_once`` names."""
+
+    def run(batches):
+        for b in batches:
+            found = _entries(*opened(root.rstrip("/"))) if b.num_rows else iter(())
+            while names := list(islice(found, at_once)):
+                yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.string())})
+
+    return spark.range(0, 1, 1, 1).mapInArrow(run, "name string")
+
+
+def read_folders(names: DataFrame, root: str, endings: tuple[str, ...], per_task: int = FOLDERS) -> DataFrame:
+    """``name``, ``path``, ``size`` and ``content`` of all files at any depth below ``root``/``name`` whose names end so.
+
+    A file may stand in the place of a folder; a missing one has no files. Each task lists and reads folders of its own,
+    one at a time, so neither the driver nor a task holds a list of all files. Bytes that are no UTF-8 are left out."""
+    root = root.rstrip("/")
+
+    def run(batches):
+        where, base = opened(root)
+        cols, held = ([], [], [], []), 0
+        for b in batches:
+            for name in b.column("name").to_pylist():
+                top = where.get_file_info(f"{base}/{name}")
+                below = where.get_file_info(fs.FileSelector(top.path, recursive=True)) if top.type == fs.FileType.Directory else [top]
+                for x in sorted((x for x in below if x.type == fs.FileType.File and x.base_name.endswith(endings)), key=lambda x: x.path):
+                    with where.open_input_stream(x.path) as f:
+                        content = f.read().decode("utf-8", "ignore")
+                    for c, v in zip(cols, (name, root + x.path[len(base) :], x.size, content)):
+                        c.append(v)
+                    held += len(content)
+                    if held >= SENT or len(cols[0]) >= 1000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["name", "path", "size", "content"])
+                        cols, held = ([], [], [], []), 0
+        if cols[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["name", "path", "size", "content"])
+
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.string())
+    names = written(names.select("name").where("name <> ''").distinct(), "folders")
+    tasks = max(names.sparkSession.sparkContext.defaultParallelism, -(-names.count() // per_task))
+    return names.repartition(tasks, "name").mapInArrow(run, "name string, path string, size long, content string")
+
+
 def ranges(files: DataFrame, size: Column | str, step: int = RANGE) -> DataFrame:
     """A row for each range of ``step`` bytes of the files: ``first`` and ``last`` byte, the last one excluded. Empty files have none."""
     n = F.col(size) if isinstance(size, str) else size

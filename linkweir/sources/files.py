@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .blobs import ask, copy_files
+from .blobs import ask, copy_files, names_in, read_folders
 
 STAGE = "filename string, url_count int, urls array<string>"
 GROUND_TRUTH = "arxiv_id string, URL string, OADS string, location string, `Spatial Complexity` string, `Lexicographical Complexity` string, `Representational Complexity` string"
@@ -36,12 +36,12 @@ def with_content(papers: DataFrame, texts: DataFrame) -> DataFrame:
     return papers.join(texts.select("paper_id", "content"), "paper_id", "left").withColumn("content", F.coalesce("content", F.lit("")))
 
 
-def latex_sources(spark: SparkSession, root: str) -> DataFrame:
-    """.tex and .bbl files with the paper that their first folder below ``root`` names."""
-    t = spark.read.option("pathGlobFilter", "*.{tex,bbl}").option("recursiveFileLookup", True).text(root, wholetext=True)
-    path = F.col("_metadata.file_path")
-    below = F.substring_index(path, root.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
-    return t.select(F.substring_index(below, "/", 1).alias("paper_id"), path.alias("path"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("content"))
+def latex_sources(spark: SparkSession, root: str, papers: DataFrame | None = None) -> DataFrame:
+    """.tex and .bbl files with the paper that their first folder below ``root`` names, listed and read by tasks.
+
+    ``papers`` has the paper_id of each folder that is wanted; without it all that ``root`` holds are read."""
+    names = names_in(spark, root) if papers is None else papers.select(F.col("paper_id").cast("string").alias("name"))
+    return read_folders(names, root, (".tex", ".bbl")).withColumnRenamed("name", "paper_id")
 
 
 def main_file(sources: DataFrame) -> DataFrame:
