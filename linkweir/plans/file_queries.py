@@ -48,7 +48,7 @@ def main_tex_file(spark, d):
     three = {"a.tex": F.lit("note"), "b.tex": chapter, "c.tex": F.concat("url", F.lit("a long text, no class   ")), "d.bbl": F.lit("\\documentclass")}
     rows = pages.select("paper_id", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), c.alias("content")) for n, c in three.items()))).alias("f"))
     blobs.write_files(rows.select(F.concat_ws("/", "paper_id", "f.name").alias("path"), "f.content"), root)
-    main = files.main_file(files.latex_sources(spark, root))
+    main = files.main_file(files.latex_sources(spark, root, pages))
     return main.select("paper_id", F.substring_index("path", "/", -1).alias("name"), "size")
 
 

@@ -47,8 +47,11 @@ def latex_sources(spark: SparkSession, root: str, papers: DataFrame | None = Non
 def main_file(sources: DataFrame) -> DataFrame:
     """The main .tex of each paper: the longest that starts a document, else the largest file."""
     has = F.col("content").rlike(r"\\documentclass|\\begin\{document\}")
-    rank = F.row_number().over(W.partitionBy("paper_id").orderBy(has.desc(), F.when(has, F.length("content")).otherwise(F.col("size")).desc(), "path"))
-    return sources.where(F.col("path").endswith(".tex")).withColumn("_n", rank).where("_n = 1").drop("_n")
+    tex = sources.where(F.col("path").endswith(".tex")).withColumn("_has", has)
+    # as columns, so that a content is searched once and goes no further than its task unless it is asked for
+    tex = tex.withColumn("_long", F.when(F.col("_has"), F.length("content")).otherwise(F.col("size")))
+    rank = F.row_number().over(W.partitionBy("paper_id").orderBy(F.desc("_has"), F.desc("_long"), "path"))
+    return tex.withColumn("_n", rank).where("_n = 1").drop("_n", "_has", "_long")
 
 
 def first_file(files: DataFrame) -> DataFrame:

@@ -55,3 +55,12 @@ def test_the_driver_lists_no_files_and_tasks_have_many(spark, tmp_path):
         assert got.rdd.getNumPartitions() == 4 and got.count() == 900
     assert blobs.read_folders(blobs.names_in(spark, src, at_once=7), src, (".bbl",), per_task=30).rdd.getNumPartitions() == 10
     assert blobs.names_in(spark, src, at_once=7).distinct().count() == 300
+
+
+def test_main_files_are_chosen_by_columns_without_contents(spark):
+    rows = [("p", "x/a.tex", 9, "note long"), ("p", "x/b.tex", 5, "\\documentclass"), ("p", "x/c.tex", 3, "\\begin{document} longer"), ("p", "x/d.tex", 99, None), ("q", "y/b.tex", 7, "é"), ("q", "y/a.tex", 7, "éé"), ("q", "y/z.bbl", 70, "\\documentclass")]
+    main = files.main_file(spark.createDataFrame(rows, "paper_id string, path string, size long, content string").repartition(3))
+    assert main.columns == ["paper_id", "path", "size", "content"]
+    assert {r["paper_id"]: (r["path"], r["size"], r["content"]) for r in main.collect()} == {"p": ("x/c.tex", 3, "\\begin{document} longer"), "q": ("y/a.tex", 7, "éé")}
+    plan = main.select("paper_id", "path")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 1 and not any("content" in x for x in plan.splitlines() if "Window" in x)
